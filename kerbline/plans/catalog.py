@@ -1,15 +1,454 @@
-"""All queries of the library by name, with SQL twins."""
+"""All queries over the domain by name, with SQL twins."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return queries()["athlete_coverage"](spark, sf_dir)
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from kerbline.functions import geo
+from kerbline.operators import activities as act
+from kerbline.operators import areas, coverage, graph, network, routes
+from kerbline.plans.twins import CELL, bearing, hav, sql
+from kerbline.sources.domain import Domain
 
-def queries():
-    return {}
+_QUERIES: dict[str, Callable[[Domain], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
 
-def oracle_sql():
-    return {}
+def query(name: str, twin: str | None = None, recursive: bool = False):
+    def add(f: Callable[[Domain], DataFrame]):
+        _QUERIES[name] = f
+        if twin is not None:
+            _SQL[name] = sql(twin.strip(), recursive)
+        return f
+
+    return add
+
+
+def r6(c, name: str) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: (lambda spark, sf_dir, f=f: f(Domain(spark, sf_dir))) for k, f in _QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return athlete_coverage(Domain(spark, sf_dir))
+
+
+# Parts that many queries share.
+
+
+def segments(d: Domain) -> DataFrame:
+    return network.build_segments(d.ways, d.way_nodes, d.nodes)
+
+
+def moving(d: Domain) -> DataFrame:
+    return act.moving(act.biking(d.activities), d.points)
+
+
+def rides(d: Domain) -> DataFrame:
+    return d.points.join(moving(d).select("activity_id"), "activity_id", "left_semi")
+
+
+def legs(d: Domain) -> DataFrame:
+    return coverage.legs(rides(d))
+
+
+def ridden(d: Domain) -> DataFrame:
+    return coverage.ridden(rides(d), segments(d))
+
+
+def required(d: Domain) -> DataFrame:
+    left = segments(d).where(~F.col("is_avoided")).join(ridden(d), ["way_id", "pos"], "left_anti")
+    return areas.select_in_boxes(left, d.boxes)
+
+
+def edges(d: Domain) -> DataFrame:
+    return graph.saved(required(d).select("area_id", "u", "v", F.round("length_m").alias("w")))
+
+
+# Network.
+
+query("filter_routable", "SELECT way_id, highway FROM ways WHERE highway <> 'motorway'")(lambda d: network.routable(d.ways).select("way_id", "highway"))
+query("filter_access", "SELECT way_id FROM ways WHERE coalesce(access, '') NOT IN ('private', 'no')")(lambda d: network.open_access(d.ways).select("way_id"))
+
+
+@query("filter_network_profile", "SELECT 'overlay' AS profile, highway, count(*) AS n FROM ways WHERE highway <> 'motorway' GROUP BY ALL UNION ALL SELECT 'display', highway, count(*) FROM ways WHERE highway NOT IN ('motorway', 'trunk', 'trunk_link', 'motorway_link') GROUP BY ALL")
+def _(d):
+    of = lambda p: network.network_profile(d.ways, p).groupBy("highway").agg(F.count("*").alias("n")).select(F.lit(p).alias("profile"), "highway", "n")
+    return of("overlay").union(of("display"))
+
+
+@query("flag_avoided", "SELECT way_id, highway IN ('trunk', 'trunk_link') AS base, highway IN ('trunk', 'trunk_link', 'primary', 'secondary', 'tertiary') AS major, highway IN ('trunk', 'trunk_link', 'cycleway', 'track') AS trails, highway IN ('trunk', 'trunk_link') OR surface IN ('gravel', 'dirt') AS gravel FROM ways")
+def _(d):
+    return d.ways.select("way_id", network.avoided().alias("base"), network.avoided(major=True).alias("major"), network.avoided(trails=True).alias("trails"), network.avoided(gravel=True).alias("gravel"))
+
+
+@query("segment_weight", "SELECT way_id, pos, round(length_m * CASE highway WHEN 'trunk' THEN 12e0 WHEN 'trunk_link' THEN 30e0 ELSE 1e0 END, 6) AS weight, round(length_m * CASE highway WHEN 'trunk' THEN 2e0 WHEN 'trunk_link' THEN 5e0 ELSE 1e0 END, 6) AS weight_open FROM segments")
+def _(d):
+    return segments(d).select("way_id", "pos", r6("weight", "weight"), r6(network.weight(F.col("length_m"), F.col("highway"), F.col("is_avoided"), False), "weight_open"))
+
+
+query("flag_construction", "SELECT way_id, pos, has_construction FROM segments")(lambda d: segments(d).select("way_id", "pos", "has_construction"))
+query("build_segments", "SELECT way_id, pos, u, v, round(length_m, 6) AS length_m, highway, is_avoided, has_construction FROM segments")(lambda d: segments(d).select("way_id", "pos", "u", "v", r6("length_m", "length_m"), "highway", "is_avoided", "has_construction"))
+query("way_segments", "SELECT * FROM pairs")(lambda d: network.pairs(d.way_nodes))
+query("join_way_nodes", "SELECT way_id, pos, node_id, lat, lon FROM way_nodes JOIN nodes USING (node_id)")(lambda d: d.way_nodes.join(d.nodes, "node_id").select("way_id", "pos", "node_id", "lat", "lon"))
+query("adjacency", "SELECT way_id, pos, u, v FROM segments UNION ALL SELECT way_id, pos, v, u FROM segments")(lambda d: network.adjacency(segments(d)).select("way_id", "pos", "u", "v"))
+query("way_polyline", "SELECT way_id, count(*) AS n, round(sum(lat), 6) AS sum_lat FROM way_nodes JOIN nodes USING (node_id) GROUP BY 1 HAVING count(*) >= 2")(lambda d: network.polylines(d.way_nodes, d.nodes).select("way_id", F.size("line").cast("bigint").alias("n"), r6(F.aggregate("line", F.lit(0.0), lambda a, x: a + x["lat"]), "sum_lat")))
+query("select_whole_network", "SELECT s.way_id, s.pos FROM segments s ANTI JOIN ridden r ON s.way_id = r.way_id AND s.pos = r.pos WHERE NOT is_avoided AND u <> v")(lambda d: segments(d).where(~F.col("is_avoided") & (F.col("u") != F.col("v"))).join(ridden(d), ["way_id", "pos"], "left_anti").select("way_id", "pos"))
+query("filter_fresh_links", "SELECT s.way_id, s.pos FROM segments s ANTI JOIN ridden r ON s.way_id = r.way_id AND s.pos = r.pos WHERE NOT is_avoided AND highway NOT IN ('cycleway', 'track')")(lambda d: segments(d).where(~F.col("is_avoided") & ~F.col("highway").isin("cycleway", "track")).join(ridden(d), ["way_id", "pos"], "left_anti").select("way_id", "pos"))
+query("unridden_anti_join", "SELECT s.way_id, s.pos FROM segments s ANTI JOIN ridden r ON s.way_id = r.way_id AND s.pos = r.pos")(lambda d: segments(d).join(ridden(d), ["way_id", "pos"], "left_anti").select("way_id", "pos"))
+
+# Activities.
+
+query("filter_biking", "SELECT activity_id FROM biking")(lambda d: act.biking(d.activities).select("activity_id"))
+query("filter_stationary", "SELECT activity_id FROM moving")(lambda d: moving(d).select("activity_id"))
+query("activity_extent", "SELECT activity_id, round(south, 6) AS south, round(west, 6) AS west, round(north, 6) AS north, round(east, 6) AS east, round(diagonal_m, 6) AS diagonal_m FROM extents")(lambda d: act.extents(d.points).select("activity_id", *(r6(c, c) for c in ("south", "west", "north", "east", "diagonal_m"))))
+query("ride_records", f"SELECT athlete_id, round(sum(distance_m) / 1609.344e0, 6) AS total_mi, round(max(distance_m) / 1609.344e0, 6) AS longest_mi, round(max(gain_m) * 3.28084e0, 6) AS biggest_climb_ft, count(DISTINCT start_date[1:10]) AS active_days FROM moving GROUP BY 1")(lambda d: act.records(moving(d)).select("athlete_id", r6("total_mi", "total_mi"), r6("longest_mi", "longest_mi"), r6("biggest_climb_ft", "biggest_climb_ft"), "active_days"))
+query("rides_per_year", "SELECT athlete_id, start_date[1:4]::INT AS year, count(*) AS rides, round(sum(distance_m) / 1609.344e0, 6) AS miles FROM moving GROUP BY ALL")(lambda d: moving(d).groupBy("athlete_id", act.ride_year(F.col("start_date")).alias("year")).agg(F.count("*").alias("rides"), r6(F.sum("distance_m") / geo.MILE_M, "miles")))
+query("ride_day", "SELECT activity_id, start_date[1:10] AS day FROM activities")(lambda d: d.activities.select("activity_id", act.ride_day(F.col("start_date")).alias("day")))
+query("ride_year", "SELECT activity_id, start_date[1:4]::INT AS year FROM activities")(lambda d: d.activities.select("activity_id", act.ride_year(F.col("start_date")).alias("year")))
+query("age_days", "SELECT activity_id, datediff('day', start_date[1:10]::DATE, DATE '2024-03-01') - CASE WHEN start_date[12:19] > '00:00:00' THEN 1 ELSE 0 END AS age_days FROM activities")(lambda d: d.activities.select("activity_id", F.floor((F.unix_timestamp(F.lit("2024-03-01 00:00:00")) - F.unix_timestamp(F.to_timestamp("start_date"))) / 86400).alias("age_days")))
+query("total_elevation_ft", "SELECT athlete_id, round(sum(gain_m) * 3.28084e0, 6) AS feet FROM moving GROUP BY 1")(lambda d: moving(d).groupBy("athlete_id").agg(r6(F.sum("gain_m") * geo.FOOT, "feet")))
+query("drop_counts", "SELECT (SELECT count(*) FROM activities) AS n_all, (SELECT count(*) FROM biking) AS n_biking, (SELECT count(*) FROM moving) AS n_moving")(lambda d: d.activities.agg(F.count("*").alias("n_all")).crossJoin(act.biking(d.activities).agg(F.count("*").alias("n_biking"))).crossJoin(moving(d).agg(F.count("*").alias("n_moving"))))
+
+_FTP = "WITH a AS (SELECT event_id, spot AS q FROM tokens WHERE lower(tok) = 'ftp'), n AS (SELECT event_id, tok::INT AS watts, spot AS p FROM tokens WHERE regexp_full_match(tok, '[0-9]{2,3}') AND tok::INT BETWEEN 50 AND 600), b AS (SELECT event_id, arg_min(watts, abs(p - q) * 100000 + p) AS x FROM n JOIN a USING (event_id) GROUP BY 1), f AS (SELECT event_id, arg_min(watts, p) AS y FROM n WHERE event_id NOT IN (SELECT event_id FROM a) GROUP BY 1)"
+query("ftp_from_comment", f"{_FTP} SELECT c.event_id, x AS ftp FROM comments c LEFT JOIN b USING (event_id)")(lambda d: act.ftp_readings(d.comments).select("event_id", "ftp"))
+query("ftp_from_named", f"{_FTP} SELECT c.event_id, coalesce(x, y) AS ftp FROM comments c LEFT JOIN b USING (event_id) LEFT JOIN f USING (event_id)")(lambda d: act.ftp_readings(d.comments, True).select("event_id", "ftp"))
+query("latest_ftp", f"{_FTP}, r AS (SELECT athlete_id, x AS ftp, x - lag(x) OVER w AS change, row_number() OVER (PARTITION BY athlete_id ORDER BY ts DESC, event_id DESC) AS k FROM comments JOIN b USING (event_id) WINDOW w AS (PARTITION BY athlete_id ORDER BY ts, event_id)) SELECT athlete_id, ftp, change FROM r WHERE k = 1")(lambda d: act.latest(act.ftp_readings(d.comments)))
+
+# Scalars over segments and points.
+
+_ENDS = [F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]
+query("haversine_m", f"SELECT way_id, pos, round({hav('lat1', 'lon1', 'lat2', 'lon2')}, 6) AS m FROM segments")(lambda d: segments(d).select("way_id", "pos", r6(geo.haversine_m(*_ENDS), "m")))
+query("bearing_deg", f"SELECT way_id, pos, round({bearing('lat1', 'lon1', 'lat2', 'lon2')}, 6) AS deg FROM segments")(lambda d: segments(d).select("way_id", "pos", r6(geo.bearing_deg(*_ENDS), "deg")))
+query("angle_diff", "SELECT event_id, least(abs(event_id % 360 - event_id * 7 % 360), 360 - abs(event_id % 360 - event_id * 7 % 360))::DOUBLE AS deg FROM events")(lambda d: d.table("events").select("event_id", geo.angle_diff((F.col("event_id") % 360).cast("double"), (F.col("event_id") * 7 % 360).cast("double")).alias("deg")))
+
+
+@query("project_to_segment", f"""SELECT activity_id, seq, round(t, 6) AS t, round({hav('lat', 'lon', '(lat0 + (lat2 - lat0) * t)', '(lon0 + (lon2 - lon0) * t)')}, 6) AS m FROM (SELECT *, greatest(0e0, least(1e0, coalesce(((lon - lon0) * (lon2 - lon0) * cos(radians(lat0)) * cos(radians(lat0)) + (lat - lat0) * (lat2 - lat0)) / nullif(power((lon2 - lon0) * cos(radians(lat0)), 2) + power(lat2 - lat0, 2), 0e0), 0e0))) AS t FROM legs WHERE lat0 IS NOT NULL AND lat2 IS NOT NULL)""")
+def _(d):
+    t, y, x = geo.project(*(F.col(c) for c in ("lat", "lon", "lat0", "lon0", "lat2", "lon2")))
+    return legs(d).where("lat0 is not null and lat2 is not null").select("activity_id", "seq", r6(t, "t"), r6(geo.haversine_m(F.col("lat"), F.col("lon"), y, x), "m"))
+
+
+query("cell_key", f"SELECT node_id, floor(lat / {CELL})::BIGINT AS ci, floor(lon / {CELL})::BIGINT AS cj FROM nodes")(lambda d: d.nodes.select("node_id", geo.cell(F.col("lat")).alias("ci"), geo.cell(F.col("lon")).alias("cj")))
+query("cell_center", f"SELECT node_id, round((floor(lat / {CELL}) + 0.5e0) * {CELL}, 6) AS lat FROM nodes")(lambda d: d.nodes.select("node_id", r6(geo.cell_center(geo.cell(F.col("lat"))), "lat")))
+query("place_bucket", "SELECT node_id, round(floor(lat * 20 + 0.5e0) / 20, 6) AS lat, round(floor(lon * 20 + 0.5e0) / 20, 6) AS lon FROM nodes")(lambda d: d.nodes.select("node_id", r6(geo.place_bucket(F.col("lat")) / 20, "lat"), r6(geo.place_bucket(F.col("lon")) / 20, "lon")))
+query("units", "SELECT node_id, round(lat * 3.28084e0, 6) AS ft, round(lon / 1609.344e0, 6) AS mi, floor(lat * (2147483648.0e0 / 180.0e0) + 0.5e0)::BIGINT AS semicircles FROM nodes")(lambda d: d.nodes.select("node_id", r6(F.col("lat") * geo.FOOT, "ft"), r6(F.col("lon") / geo.MILE_M, "mi"), geo.semicircles(F.col("lat")).alias("semicircles")))
+query("xml_escape", "SELECT event_id, replace(replace(replace(replace(replace(props, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') AS safe FROM events")(lambda d: d.table("events").select("event_id", geo.xml_escape(F.col("props")).alias("safe")))
+query("snap_bbox_to_tiles", "SELECT area_id, floor(south / 0.005e0)::BIGINT AS s, floor(west / 0.005e0)::BIGINT AS w, ceil(north / 0.005e0)::BIGINT AS n, ceil(east / 0.005e0)::BIGINT AS e FROM boxes")(lambda d: d.boxes.select("area_id", F.floor(F.col("south") / 0.005).alias("s"), F.floor(F.col("west") / 0.005).alias("w"), F.ceil(F.col("north") / 0.005).alias("n"), F.ceil(F.col("east") / 0.005).alias("e")))
+query("bbox_of_corners", "SELECT way_id, pos, least(lat1, lat2) AS south, greatest(lat1, lat2) AS north, least(lon1, lon2) AS west, greatest(lon1, lon2) AS east FROM segments")(lambda d: segments(d).select("way_id", "pos", F.least("lat1", "lat2").alias("south"), F.greatest("lat1", "lat2").alias("north"), F.least("lon1", "lon2").alias("west"), F.greatest("lon1", "lon2").alias("east")))
+
+
+@query("union_bbox", "SELECT area_id, round(min(s) - 0.0001e0, 6) AS south, round(min(w) - 0.0001e0, 6) AS west, round(max(n) + 0.0001e0, 6) AS north, round(max(e) + 0.0001e0, 6) AS east FROM (SELECT area_id, south AS s, west AS w, north AS n, east AS e FROM boxes UNION ALL SELECT polygon_id, y1, x1, y1, x1 FROM corners) GROUP BY 1")
+def _(d):
+    both = d.boxes.unionByName(areas.polygon_bounds(d.rings).withColumnRenamed("polygon_id", "area_id"))
+    return both.groupBy("area_id").agg(r6(F.min("south") - 0.0001, "south"), r6(F.min("west") - 0.0001, "west"), r6(F.max("north") + 0.0001, "north"), r6(F.max("east") + 0.0001, "east"))
+
+
+# Coverage.
+
+_CELLS = "SELECT athlete_id, count(*) AS cells FROM (SELECT DISTINCT athlete_id, ci, cj FROM cells) GROUP BY 1"
+
+
+@query("athlete_coverage", f"WITH c AS ({_CELLS}), m AS (SELECT athlete_id, count(*) AS rides, sum(distance_m) / 1609.344e0 AS miles FROM moving GROUP BY 1) SELECT athlete_id, rides, round(miles, 6) AS miles, cells, round(cells * 15.0e0 / 1609.344e0, 6) AS unique_miles FROM c JOIN m USING (athlete_id)")
+def athlete_coverage(d):
+    cells = coverage.cells(legs(d)).select("athlete_id", "ci", "cj").distinct().groupBy("athlete_id").agg(F.count("*").alias("cells"))
+    totals = moving(d).groupBy("athlete_id").agg(F.count("*").alias("rides"), F.sum("distance_m").alias("m"))
+    return totals.join(cells, "athlete_id").select("athlete_id", "rides", r6(F.col("m") / geo.MILE_M, "miles"), "cells", r6(F.col("cells") * geo.CELL_M / geo.MILE_M, "unique_miles"))
+
+
+query("coverage_cells", "SELECT athlete_id, ci, cj FROM (SELECT DISTINCT athlete_id, ci, cj FROM cells)")(lambda d: coverage.cells(legs(d)).select("athlete_id", "ci", "cj").distinct())
+query("cells_union", "SELECT DISTINCT ci, cj FROM cells")(lambda d: coverage.cells(legs(d)).select("ci", "cj").distinct())
+query("unique_miles", "SELECT activity_id, round(count(*) * 15.0e0 / 1609.344e0, 6) AS miles FROM cells GROUP BY 1")(lambda d: coverage.cells(legs(d)).groupBy("activity_id").agg(r6(F.count("*") * geo.CELL_M / geo.MILE_M, "miles")))
+query("exploration_pct", f"WITH c AS ({_CELLS}), m AS (SELECT athlete_id, sum(distance_m) AS m FROM moving GROUP BY 1) SELECT athlete_id, round(CASE WHEN m > 0 THEN coalesce(cells, 0) * 15.0e0 / m * 100 ELSE 0 END, 6) AS pct FROM m LEFT JOIN c USING (athlete_id)")(
+    lambda d: moving(d).groupBy("athlete_id").agg(F.sum("distance_m").alias("m")).join(coverage.cells(legs(d)).select("athlete_id", "ci", "cj").distinct().groupBy("athlete_id").agg(F.count("*").alias("cells")), "athlete_id", "left").select("athlete_id", r6(F.when(F.col("m") > 0, F.coalesce("cells", F.lit(0)) * geo.CELL_M / F.col("m") * 100).otherwise(0.0), "pct"))
+)
+query("new_cells", "SELECT activity_id, count(*) AS fresh FROM (SELECT athlete_id, ci, cj, min(activity_id) AS activity_id FROM cells GROUP BY ALL) GROUP BY 1")(lambda d: coverage.cells(legs(d)).groupBy("athlete_id", "ci", "cj").agg(F.min("activity_id").alias("activity_id")).groupBy("activity_id").agg(F.count("*").alias("fresh")))
+query("segment_lengths", "SELECT activity_id, seq, round(leg_m, 6) AS leg_m FROM legs")(lambda d: legs(d).select("activity_id", "seq", r6("leg_m", "leg_m")))
+query("densify_trace", "SELECT activity_id, count(*) AS n, round(avg(lat), 6) AS mean_lat FROM densified GROUP BY 1")(lambda d: coverage.densified(legs(d)).groupBy("activity_id").agg(F.count("*").alias("n"), r6(F.avg("lat"), "mean_lat")))
+query("match_candidates", "SELECT way_id, pos, count(*) AS n FROM near GROUP BY ALL")(lambda d: coverage.candidates(coverage.densified(legs(d)), segments(d)).groupBy("way_id", "pos").agg(F.count("*").alias("n")))
+query("segment_coverage", "SELECT way_id, pos, round(t0, 6) AS t0, round(t1, 6) AS t1, (t1 - t0) * len >= 11.0e0 OR t1 - t0 >= 0.6e0 AS ridden FROM touched")(lambda d: coverage.segment_coverage(coverage.candidates(coverage.densified(legs(d)), segments(d))).select("way_id", "pos", r6("t0", "t0"), r6("t1", "t1"), "ridden"))
+_RUNS = "SELECT way_id, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY way_id ORDER BY pos) AS island FROM ridden) GROUP BY way_id, island"
+query("ridden_runs", _RUNS)(lambda d: coverage.ridden_runs(ridden(d)))
+
+
+@query("overlay_union", f"WITH r AS ({_RUNS}), f AS (SELECT way_id, pos AS first_pos, pos AS last_pos, 1 AS n FROM segments WHERE way_id % 5 = 0) SELECT 'stored' AS part, * FROM r UNION ALL SELECT 'fresh', * FROM f")
+def _(d):
+    fresh = segments(d).where("way_id % 5 = 0").select("way_id", F.col("pos").alias("first_pos"), F.col("pos").alias("last_pos"), F.lit(1).cast("bigint").alias("n"))
+    return coverage.ridden_runs(ridden(d)).withColumn("part", F.lit("stored")).unionByName(fresh.withColumn("part", F.lit("fresh"))).select("part", "way_id", "first_pos", "last_pos", "n")
+
+
+@query("ridden_flag_join", f"SELECT DISTINCT way_id, pos FROM (SELECT s.way_id, s.pos, s.lat1, s.lon1, s.lat2, s.lon2, p.lat, p.lon, greatest(0e0, least(1e0, coalesce(((p.lon - lon1) * (lon2 - lon1) * cos(radians(lat1)) * cos(radians(lat1)) + (p.lat - lat1) * (lat2 - lat1)) / nullif(power((lon2 - lon1) * cos(radians(lat1)), 2) + power(lat2 - lat1, 2), 0e0), 0e0))) AS t FROM segments s JOIN rides p ON p.lat BETWEEN least(lat1, lat2) - 0.0004e0 AND greatest(lat1, lat2) + 0.0004e0 AND p.lon BETWEEN least(lon1, lon2) - 0.0006e0 AND greatest(lon1, lon2) + 0.0006e0) WHERE t BETWEEN 0.05e0 AND 0.95e0 AND {hav('lat', 'lon', '(lat1 + (lat2 - lat1) * t)', '(lon1 + (lon2 - lon1) * t)')} <= 25e0")
+def _(d):
+    return coverage.ridden_flag(rides(d), segments(d))
+
+
+_NET = f"SELECT DISTINCT floor((lat1 + (lat2 - lat1) * k / st) / {CELL})::BIGINT AS ci, floor((lon1 + (lon2 - lon1) * k / st) / {CELL})::BIGINT AS cj FROM (SELECT *, unnest(range(0, st::BIGINT + 1)) AS k FROM (SELECT *, greatest(1e0, ceil(length_m / 15e0)) AS st FROM segments))"
+
+
+def network_cells(d: Domain) -> DataFrame:
+    s = segments(d).select("way_id", "pos", "lat1", "lon1", "lat2", "lon2", F.col("length_m").alias("leg_m"))
+    as_legs = s.select(F.col("way_id").alias("activity_id"), F.col("way_id").alias("athlete_id"), F.col("lat1").alias("lat0"), F.col("lon1").alias("lon0"), F.col("lat2").alias("lat"), F.col("lon2").alias("lon"), "leg_m")
+    return coverage.cells(as_legs).select("ci", "cj").distinct()
+
+
+query("cells_semi_join", f"WITH net AS ({_NET}) SELECT DISTINCT athlete_id, c.ci, c.cj FROM cells c SEMI JOIN net n ON c.ci = n.ci AND c.cj = n.cj")(lambda d: coverage.cells(legs(d)).select("athlete_id", "ci", "cj").distinct().join(network_cells(d), ["ci", "cj"], "left_semi").select("athlete_id", "ci", "cj"))
+query("cells_intersect", f"WITH net AS ({_NET}) SELECT ci, cj FROM cells INTERSECT SELECT ci, cj FROM net")(lambda d: coverage.cells(legs(d)).select("ci", "cj").intersect(network_cells(d)))
+
+# Areas and places.
+
+query("select_in_boxes", "SELECT area_id, u, v, round(length_m, 6) AS length_m FROM required")(lambda d: required(d).select("area_id", "u", "v", r6("length_m", "length_m")))
+query("pip_join", "SELECT polygon_id, node_id FROM inside")(lambda d: areas.points_in_polygons(d.nodes, d.rings, ["node_id"]))
+query("polygon_bounds", "SELECT polygon_id, round(min(y1), 6) AS south, round(min(x1), 6) AS west, round(max(y1), 6) AS north, round(max(x1), 6) AS east FROM corners GROUP BY 1")(lambda d: areas.polygon_bounds(d.rings).select("polygon_id", *(r6(c, c) for c in ("south", "west", "north", "east"))))
+
+
+@query("select_in_polygons", "SELECT DISTINCT polygon_id AS area_id, least(u, v) AS u, greatest(u, v) AS v FROM segments s JOIN inside i ON i.node_id IN (s.u, s.v) WHERE NOT is_avoided")
+def _(d):
+    inside = areas.points_in_polygons(d.nodes, d.rings, ["node_id"])
+    ends = segments(d).where(~F.col("is_avoided")).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), F.explode(F.array("u", "v")).alias("node_id"))
+    return ends.join(inside, "node_id").select(F.col("polygon_id").alias("area_id"), F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+
+
+@query("network_in_city", "WITH m AS (SELECT way_id, node_id FROM (SELECT *, row_number() OVER (PARTITION BY way_id ORDER BY pos) - 1 AS k, count(*) OVER (PARTITION BY way_id) AS n FROM way_nodes) WHERE k = n // 2) SELECT polygon_id, way_id FROM m JOIN inside USING (node_id)")
+def _(d):
+    lines = network.polylines(d.way_nodes, d.nodes)
+    middle = lines.select("way_id", F.element_at("line", F.floor(F.size("line") / 2).cast("int") + 1).alias("m")).select("way_id", "m.lat", "m.lon")
+    return areas.points_in_polygons(middle, d.rings, ["way_id"])
+
+
+@query("osm_footprint", "SELECT athlete_id, count(*) AS tiles, count(*) > 5000 AS too_many FROM (SELECT DISTINCT athlete_id, floor(lat / 0.02e0) AS y, floor(lon / 0.02e0) AS x FROM rides) GROUP BY 1")
+def _(d):
+    tiles = rides(d).select("athlete_id", geo.cell(F.col("lat"), 0.02).alias("y"), geo.cell(F.col("lon"), 0.02).alias("x")).distinct()
+    return tiles.groupBy("athlete_id").agg(F.count("*").alias("tiles")).withColumn("too_many", F.col("tiles") > 5000)
+
+
+query("filter_oversized", "SELECT activity_id FROM extents WHERE north - south <= 0.005e0 AND east - west <= 0.005e0")(lambda d: act.extents(d.points).where((F.col("north") - F.col("south") <= 0.005) & (F.col("east") - F.col("west") <= 0.005)).select("activity_id"))
+
+
+@query("quality_sparse_tiles", "SELECT ty, tx, count(*) AS n, count(*) < least(500, floor(0.0004e0 * 100000 + 0.5e0)) AS suspect FROM (SELECT floor(lat1 / 0.02e0)::BIGINT AS ty, floor(lon1 / 0.02e0)::BIGINT AS tx FROM segments) GROUP BY ALL")
+def _(d):
+    tiles = segments(d).groupBy(geo.cell(F.col("lat1"), 0.02).alias("ty"), geo.cell(F.col("lon1"), 0.02).alias("tx")).agg(F.count("*").alias("n"))
+    return tiles.withColumn("suspect", F.col("n") < F.least(F.lit(500), F.floor(F.lit(0.02 * 0.02) * 100000 + 0.5)))
+
+
+@query("quality_bbox_covered", "WITH e AS (SELECT min(lat) AS s, min(lon) AS w, max(lat) AS n, max(lon) AS e FROM nodes) SELECT area_id, s <= south + 0.01e0 AND w <= west + 0.01e0 AND n >= north - 0.01e0 AND e >= east - 0.01e0 AS covered FROM boxes CROSS JOIN e")
+def _(d):
+    e = d.nodes.agg(F.min("lat").alias("s"), F.min("lon").alias("w"), F.max("lat").alias("n"), F.max("lon").alias("e"))
+    ok = (F.col("s") <= F.col("south") + 0.01) & (F.col("w") <= F.col("west") + 0.01) & (F.col("n") >= F.col("north") - 0.01) & (F.col("e") >= F.col("east") - 0.01)
+    return d.boxes.join(F.broadcast(e)).select("area_id", ok.alias("covered"))  # one row
+
+
+query("centroid", "SELECT activity_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM centers")(lambda d: areas.centers(rides(d)).select("activity_id", r6("lat", "lat"), r6("lon", "lon")))
+query("place_lookup_join", "SELECT activity_id, city, county, state, country FROM located")(lambda d: areas.locate(rides(d), d.places).select("activity_id", "city", "county", "state", "country"))
+query("load_places", "SELECT * FROM places")(lambda d: d.places)
+query("geographies", "SELECT DISTINCT athlete_id, 'country' AS level, country AS name, NULL AS parent FROM located UNION SELECT athlete_id, 'state', state, country FROM located UNION SELECT athlete_id, 'county', county, state FROM located UNION SELECT athlete_id, 'city', city, county FROM located")(
+    lambda d: areas.locate(rides(d), d.places).select("athlete_id", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.col(k).alias("name"), (F.col(p) if p else F.lit(None).cast("string")).alias("parent")) for k, p in (("country", None), ("state", "country"), ("county", "state"), ("city", "county"))))).alias("g")).select("athlete_id", "g.*").distinct()
+)
+query("places_drilldown", "SELECT activity_id, city FROM located WHERE country <> 'ASIA' AND county IN ('County 0', 'County 1', 'County 2', 'County 3')")(lambda d: areas.locate(rides(d), d.places).where((F.col("country") != "ASIA") & F.col("county").isin("County 0", "County 1", "County 2", "County 3")).select("activity_id", "city"))
+query("top_cities", "SELECT athlete_id, city, n FROM (SELECT *, row_number() OVER (PARTITION BY athlete_id ORDER BY n DESC, city) AS k FROM (SELECT athlete_id, city, count(*) AS n FROM located GROUP BY ALL)) WHERE k <= 5")(
+    lambda d: areas.locate(rides(d), d.places).groupBy("athlete_id", "city").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(W.partitionBy("athlete_id").orderBy(F.desc("n"), "city"))).where("k <= 5").drop("k")
+)
+
+
+def city_coverage(d: Domain) -> DataFrame:
+    """Cells of each polygon's network, and how many of them were ridden."""
+    center = network_cells(d).select("ci", "cj", geo.cell_center(F.col("ci")).alias("lat"), geo.cell_center(F.col("cj")).alias("lon"))
+    inside = areas.points_in_polygons(center, d.rings, ["ci", "cj"])
+    done = coverage.cells(legs(d)).select("ci", "cj").distinct().withColumn("done", F.lit(1))
+    counts = inside.join(done, ["ci", "cj"], "left").groupBy("polygon_id").agg(F.count("*").alias("total"), F.count("done").alias("ridden"))
+    filled = d.rings.select("polygon_id").join(counts, "polygon_id", "left").na.fill(0, ["total", "ridden"])
+    return filled.withColumn("pct", F.round(F.when(F.col("total") > 0, F.col("ridden") * 100.0 / F.col("total")).otherwise(0.0), 6))
+
+
+_CITY = f"WITH net AS ({_NET}), c AS (SELECT ci, cj, (ci + 0.5e0) * {CELL} AS lat, (cj + 0.5e0) * {CELL} AS lon FROM net), i AS (SELECT polygon_id, ci, cj FROM corners JOIN c ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0e0) + x1 GROUP BY ALL HAVING count(*) % 2 = 1), done AS (SELECT DISTINCT ci, cj FROM cells), k AS (SELECT polygon_id, count(*) AS total, count(d.ci) AS ridden FROM i LEFT JOIN done d USING (ci, cj) GROUP BY 1), city AS (SELECT s_suppkey AS polygon_id, coalesce(total, 0) AS total, coalesce(ridden, 0) AS ridden, round(CASE WHEN total > 0 THEN ridden * 100e0 / total ELSE 0 END, 6) AS pct FROM supplier LEFT JOIN k ON s_suppkey = polygon_id)"
+query("city_coverage", f"{_CITY} SELECT * FROM city")(city_coverage)
+query("cities_by_percent", f"{_CITY} SELECT polygon_id, least(pct, 100) AS pct, row_number() OVER (ORDER BY pct DESC, polygon_id) AS place FROM city ORDER BY place LIMIT 20")(lambda d: city_coverage(d).orderBy(F.desc("pct"), "polygon_id").limit(20).select("polygon_id", F.least("pct", F.lit(100.0)).alias("pct"), F.row_number().over(W.orderBy(F.desc("pct"), "polygon_id")).cast("bigint").alias("place")))
+
+# Snapshots.
+
+_OLD = "SELECT o_custkey AS key, o_orderdate AS fetched_at, o_orderkey AS version, o_totalprice AS payload FROM orders"
+
+
+def snapshots(d: Domain) -> DataFrame:
+    return d.table("orders").select(F.col("o_custkey").alias("key"), F.col("o_orderdate").alias("fetched_at"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("payload"))
+
+
+def upsert_latest(rows: DataFrame) -> DataFrame:
+    """The newest row of each key; the larger version wins a tie."""
+    return rows.groupBy("key").agg(F.max(F.struct("fetched_at", "version", "payload")).alias("x")).select("key", "x.fetched_at", "x.version", "x.payload")
+
+
+query("upsert_latest", f"SELECT key, fetched_at, version, payload FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY fetched_at DESC, version DESC) AS k FROM ({_OLD})) WHERE k = 1")(lambda d: upsert_latest(snapshots(d)))
+query("filter_fresh", f"SELECT key, version FROM ({_OLD}) WHERE fetched_at >= TIMESTAMP '1998-08-01' - INTERVAL 30 DAY AND version >= 100")(lambda d: snapshots(d).where((F.col("fetched_at") >= F.expr("timestamp'1998-08-01' - interval 30 days")) & (F.col("version") >= 100)).select("key", "version"))
+query("evict_oldest", f"SELECT key, version FROM ({_OLD}) ORDER BY fetched_at DESC, version LIMIT 300")(lambda d: snapshots(d).orderBy(F.desc("fetched_at"), "version").limit(300).select("key", "version"))
+
+
+@query("merge_tiles", "SELECT node_id, tile FROM (SELECT node_id, tile, row_number() OVER (PARTITION BY node_id ORDER BY tile) AS k FROM (SELECT node_id, unnest([floor(lat / 0.005e0)::BIGINT, floor((lat + 0.001e0) / 0.005e0)::BIGINT]) AS tile FROM nodes)) WHERE k = 1")
+def _(d):
+    tiles = d.nodes.select("node_id", F.explode(F.array(geo.cell(F.col("lat"), 0.005), geo.cell(F.col("lat") + 0.001, 0.005))).alias("tile"))
+    return tiles.groupBy("node_id").agg(F.min("tile").alias("tile"))
+
+
+# Routes.
+
+query("cumulative_profile", f"SELECT activity_id, seq, floor(sum(coalesce({hav('lat0', 'lon0', 'lat', 'lon', '6371008.8e0')}, 0e0)) OVER (PARTITION BY activity_id ORDER BY seq) / 1609.344e0 * 100 + 0.5e0) / 100 AS distance_mi, floor(ele * 3.28084e0 + 0.5e0) AS elevation_ft FROM legs")(lambda d: routes.cumulative_profile(legs(d)))
+query("downsample_route", "WITH n AS (SELECT activity_id, count(*) AS len, least(count(*), greatest(50, least(2000, floor(coalesce(sum(leg_m) / 1609.344e0, 0) * 200 + 0.5e0))))::BIGINT AS want FROM legs GROUP BY 1), p AS (SELECT activity_id, i, (floor(i * (len - 1) / greatest(want - 1, 1) + 0.5e0) + 1)::BIGINT AS seq FROM (SELECT *, unnest(range(0, want)) AS i FROM n)) SELECT p.activity_id, p.i, p.seq, round(lat, 6) AS lat FROM p JOIN legs l ON l.activity_id = p.activity_id AND l.seq = p.seq")(lambda d: routes.downsample(legs(d)).select("activity_id", "i", F.col("seq").cast("bigint").alias("seq"), r6("lat", "lat")))
+query("interpolate_elevation", "WITH x AS (SELECT activity_id, seq, ele, max(CASE WHEN ele IS NOT NULL THEN seq END) OVER (PARTITION BY activity_id ORDER BY seq) AS a, min(CASE WHEN ele IS NOT NULL THEN seq END) OVER (PARTITION BY activity_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM legs) SELECT x.activity_id, x.seq, round(coalesce(p.ele + (q.ele - p.ele) * coalesce((x.seq - a)::DOUBLE / nullif(b - a, 0), 0), p.ele, q.ele), 6) AS ele FROM x LEFT JOIN legs p ON p.activity_id = x.activity_id AND p.seq = a LEFT JOIN legs q ON q.activity_id = x.activity_id AND q.seq = b")(lambda d: routes.interpolated(legs(d)).select("activity_id", "seq", r6("ele", "ele")))
+query("ascent_descent", "SELECT activity_id, sum(greatest(coalesce(ele, 0) - coalesce(ele0, 0), 0)) AS up, sum(greatest(coalesce(ele0, 0) - coalesce(ele, 0), 0)) AS down FROM legs WHERE seq > 1 GROUP BY 1")(lambda d: legs(d).where("seq > 1").groupBy("activity_id").agg(*(F.sum(F.greatest(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0)), F.lit(0.0))).alias(n) for a, b, n in (("ele", "ele0", "up"), ("ele0", "ele", "down")))))
+query("elevation_gain_ft", "SELECT activity_id, floor(sum(greatest(f - g, 0)) + 0.5e0) AS feet FROM (SELECT activity_id, floor(ele * 3.28084e0 + 0.5e0) AS f, floor(ele0 * 3.28084e0 + 0.5e0) AS g FROM legs) WHERE f IS NOT NULL AND g IS NOT NULL GROUP BY 1")(lambda d: legs(d).select("activity_id", geo.half_up(F.col("ele") * geo.FOOT).alias("f"), geo.half_up(F.col("ele0") * geo.FOOT).alias("g")).where("f is not null and g is not null").groupBy("activity_id").agg(geo.half_up(F.sum(F.greatest(F.col("f") - F.col("g"), F.lit(0.0)))).alias("feet")))
+query("route_time_estimate", "SELECT activity_id, sum(greatest(1, floor(leg_m / 5 + 0.5e0)))::BIGINT AS seconds FROM legs WHERE lat0 IS NOT NULL GROUP BY 1")(lambda d: legs(d).where("lat0 is not null").groupBy("activity_id").agg(F.sum(F.greatest(F.lit(1), F.floor(F.col("leg_m") / 5 + 0.5))).alias("seconds")))
+_TURN = f"SELECT *, least(abs(b1 - b2), 360 - abs(b1 - b2)) AS turn FROM (SELECT *, {bearing('lat0', 'lon0', 'lat', 'lon')} AS b1, {bearing('lat', 'lon', 'lat2', 'lon2')} AS b2 FROM legs)"
+query("uturn_density", f"SELECT activity_id, round(avg(CASE WHEN turn > 150 THEN 1e0 ELSE 0e0 END), 6) AS share FROM ({_TURN}) WHERE turn IS NOT NULL GROUP BY 1")(lambda d: routes.turn(legs(d)).where("turn is not null").groupBy("activity_id").agg(r6(F.avg((F.col("turn") > 150).cast("double")), "share")))
+query("junctions", f"SELECT activity_id, seq, round(turn, 4) AS turn FROM ({_TURN}) WHERE turn > 45")(lambda d: routes.turn(legs(d)).where("turn > 45").select("activity_id", "seq", F.round("turn", 4).alias("turn")))
+query("max_gap", f"SELECT activity_id, seq, round(m, 6) AS gap_m FROM (SELECT *, {hav('a', 'b', 'lat', 'lon')} AS m FROM (SELECT activity_id, seq, lat, lon, lag(lat) OVER (PARTITION BY activity_id ORDER BY seq) AS a, lag(lon) OVER (PARTITION BY activity_id ORDER BY seq) AS b FROM rides WHERE seq % 3 = 1)) WHERE m > 150")(lambda d: coverage.legs(rides(d).where("seq % 3 = 1")).where("leg_m > 150").select("activity_id", "seq", r6("leg_m", "gap_m")))
+query("collapse_duplicates", "SELECT activity_id, seq FROM legs WHERE lat0 IS NULL OR lat <> lat0 OR lon <> lon0")(lambda d: legs(d).where("lat0 is null or lat <> lat0 or lon <> lon0").select("activity_id", "seq"))
+query("construction_runs", "SELECT activity_id, construction, min(seq) AS first_seq, max(seq) AS last_seq FROM (SELECT *, sum(c) OVER (PARTITION BY activity_id ORDER BY seq) AS run FROM (SELECT *, CASE WHEN lag(construction) OVER (PARTITION BY activity_id ORDER BY seq) <> construction THEN 1 ELSE 0 END AS c FROM legs)) GROUP BY activity_id, run, construction")(lambda d: routes.runs(rides(d), "construction").select("activity_id", "construction", "first_seq", "last_seq"))
+query("computed_endpoint", "SELECT activity_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM legs WHERE seq = n")(lambda d: rides(d).groupBy("activity_id").agg(F.max_by(F.struct("lat", "lon"), "seq").alias("e")).select("activity_id", r6("e.lat", "lat"), r6("e.lon", "lon")))
+_MARK = f"SELECT activity_id, n, lat0 + (lat - lat0) * (n * 400e0 + 200e0 - a) / leg_m AS lat, lon0 + (lon - lon0) * (n * 400e0 + 200e0 - a) / leg_m AS lon, {bearing('lat0', 'lon0', 'lat', 'lon')} AS angle FROM (SELECT *, unnest(range(lo, hi + 1)) AS n FROM (SELECT *, greatest(0, ceil((a - 200e0) / 400e0))::BIGINT AS lo, ceil((b - 200e0) / 400e0)::BIGINT - 1 AS hi FROM (SELECT *, b - leg_m AS a FROM (SELECT * EXCLUDE (n), sum(leg_m) OVER (PARTITION BY activity_id ORDER BY seq) AS b FROM legs WHERE leg_m > 0))) WHERE hi >= lo)"
+query("marker_candidates", f"SELECT activity_id, n, round(lat, 6) AS lat, round(lon, 6) AS lon, round(angle, 4) AS angle FROM ({_MARK})")(lambda d: routes.marker_candidates(legs(d)).select("activity_id", "n", r6("lat", "lat"), r6("lon", "lon"), F.round("angle", 4).alias("angle")))
+query("marker_thinning")(lambda d: routes.thin_markers(graph.saved(routes.marker_candidates(legs(d)))).select("activity_id", "n"))
+
+
+@query("edge_traversals", "SELECT least(a, b) AS u, greatest(a, b) AS v, count(*) AS visits FROM (SELECT activity_id, k AS a, lag(k) OVER (PARTITION BY activity_id ORDER BY seq) AS b FROM (SELECT activity_id, seq, (floor((lat - 47.6e0) * 1000 + 0.5e0) * 20 + floor((lon + 117.4e0) * 1000 + 0.5e0))::BIGINT AS k FROM legs)) WHERE a <> b GROUP BY ALL")
+def _(d):
+    k = (F.floor((F.col("lat") - 47.6) * 1000 + 0.5) * 20 + F.floor((F.col("lon") + 117.4) * 1000 + 0.5)).alias("a")
+    step = rides(d).select("activity_id", "seq", k).withColumn("b", F.lag("a").over(W.partitionBy("activity_id").orderBy("seq")))
+    return step.where("a <> b").groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.count("*").alias("visits"))
+
+
+query("decode_polyline", "SELECT activity_id, seq, floor(lat * 1e5 + 0.5e0) / 1e5 AS lat, floor(lon * 1e5 + 0.5e0) / 1e5 AS lon FROM points")(lambda d: routes.decode_polyline(routes.encode_polyline(d.points)).select("activity_id", F.col("seq").cast("bigint").alias("seq"), "lat", "lon"))
+query("write_gpx")(lambda d: routes.gpx(rides(d)))
+query("write_tcx")(lambda d: routes.tcx(legs(d)))
+query("write_geojson")(lambda d: routes.geojson(rides(d)))
+
+
+@query("scan_track_files", "SELECT activity_id, seq, round(lat, 6) AS lat, round(lon, 6) AS lon, ele FROM rides")
+def _(d):
+    path = graph.saved(routes.gpx(rides(d)))
+    back = routes.parse_tracks(path.select(F.col("activity_id").alias("file"), F.col("gpx").alias("value")))
+    return back.select(F.col("file").alias("activity_id"), F.col("seq").cast("bigint").alias("seq"), r6("lat", "lat"), r6("lon", "lon"), "ele")
+
+
+@query("write_stats_payload")
+def _(d):
+    year = moving(d).groupBy("athlete_id", act.ride_year(F.col("start_date")).alias("year")).agg(F.count("*").alias("rides"), r6(F.sum("distance_m") / geo.MILE_M, "miles"))
+    years = year.groupBy("athlete_id").agg(F.array_sort(F.collect_list(F.struct("year", "rides", "miles"))).alias("ridesPerYear"))
+    return act.records(moving(d)).join(years, "athlete_id").select("athlete_id", F.to_json(F.struct("total_mi", "longest_mi", "biggest_climb_ft", "active_days", "ridesPerYear")).alias("payload"))
+
+
+@query("scan_osm_elements", "SELECT 'node' AS type, count(*) AS n, round(sum(lat), 5) AS total FROM nodes UNION ALL SELECT 'way', count(DISTINCT way_id), count(*)::DOUBLE FROM way_nodes")
+def _(d):
+    """Write the network as element documents, read them back with a fixed schema and split them by type."""
+    node = d.nodes.select(F.floor(F.col("node_id") / 500).alias("doc"), F.struct(F.lit("node").alias("type"), F.col("node_id").alias("id"), "lat", "lon", F.lit(None).cast("array<bigint>").alias("nodes")).alias("e"))
+    way = d.way_nodes.groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda s: s["node_id"]).alias("nodes"))
+    none = F.lit(None).cast("double")
+    way = way.select((F.col("way_id") % 7).alias("doc"), F.struct(F.lit("way").alias("type"), F.col("way_id").alias("id"), none.alias("lat"), none.alias("lon"), "nodes").alias("e"))
+    docs = graph.saved(node.union(way).groupBy("doc").agg(F.to_json(F.struct(F.collect_list("e").alias("elements"))).alias("json")))
+    schema = "elements array<struct<type:string,id:bigint,lat:double,lon:double,nodes:array<bigint>>>"
+    e = docs.select(F.explode(F.from_json("json", schema)["elements"]).alias("e")).select("e.*")
+    size = F.when(F.col("type") == "way", F.size("nodes").cast("double")).otherwise(F.col("lat"))
+    return e.groupBy("type").agg(F.count("*").alias("n"), F.round(F.sum(size), 5).alias("total"))
+
+
+# Nearest neighbours and graphs.
+
+
+@query("nearest_node_join", f"SELECT area_id, arg_min(node_id, m * 1000000 + node_id * 1e-9) AS node_id, round(min(m), 6) AS m FROM (SELECT area_id, node_id, {hav('(south + north) / 2', '(west + east) / 2', 'lat', 'lon')} AS m FROM boxes CROSS JOIN nodes) GROUP BY 1")
+def nearest_node(d):
+    """Nearest node to each box's centre: rings of cells widen until the nearest found is surely nearest; the rest meets all nodes."""
+    q = d.boxes.select("area_id", ((F.col("south") + F.col("north")) / 2).alias("qlat"), ((F.col("west") + F.col("east")) / 2).alias("qlon"))
+    size, ring = 0.005, F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    cells = d.nodes.withColumn("ci", geo.cell(F.col("lat"), size)).withColumn("cj", geo.cell(F.col("lon"), size))
+    near = q.withColumn("a", ring).withColumn("b", ring).withColumn("ci", geo.cell(F.col("qlat"), size) + F.col("a")).withColumn("cj", geo.cell(F.col("qlon"), size) + F.col("b"))
+    m = geo.haversine_m(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon"))
+    best = F.min(F.struct(m.alias("m"), "node_id")).alias("x")
+    found = near.join(cells, ["ci", "cj"]).groupBy("area_id", "qlat").agg(best)
+    sure = found.where(F.col("x.m") <= size * geo.DEGREE_M * F.cos(F.radians("qlat")) * 0.99).select("area_id", "x")
+    rest = q.join(sure, "area_id", "left_anti").crossJoin(d.nodes).groupBy("area_id").agg(best)
+    return sure.union(rest).select("area_id", "x.node_id", r6("x.m", "m"))
+
+
+@query("node_degree", "SELECT area_id, node_id, count(*) AS degree FROM (SELECT area_id, unnest([u, v]) AS node_id FROM required) GROUP BY ALL")
+def node_degree(d):
+    return network.node_degree(required(d))
+
+
+query("odd_nodes", "SELECT area_id, node_id FROM (SELECT area_id, unnest([u, v]) AS node_id FROM required) GROUP BY ALL HAVING count(*) % 2 = 1")(lambda d: network.node_degree(required(d)).where("degree % 2 = 1").select("area_id", "node_id"))
+
+_REACH = "WITH e AS MATERIALIZED (SELECT * FROM required), b AS (SELECT area_id, u, v FROM e UNION SELECT area_id, v, u FROM e), reach AS (SELECT area_id, u AS node_id, u AS label FROM b UNION SELECT r.area_id, b.v, r.label FROM reach r JOIN b ON r.area_id = b.area_id AND r.node_id = b.u WHERE r.label <= b.v), comp AS (SELECT area_id, node_id, min(label) AS label FROM reach GROUP BY ALL)"
+query("connected_components", f"{_REACH} SELECT area_id, node_id, label FROM comp", True)(lambda d: graph.connected_components(edges(d)).select("area_id", "node_id", "label"))
+
+
+def component_sizes(d: Domain) -> DataFrame:
+    return graph.connected_components(edges(d)).groupBy("area_id", "label").agg(F.count("*").alias("n"))
+
+
+query("components_by_size", f"{_REACH} SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY n DESC, label) AS place FROM (SELECT area_id, label, count(*) AS n FROM comp GROUP BY ALL)", True)(lambda d: component_sizes(d).withColumn("place", F.row_number().over(W.partitionBy("area_id").orderBy(F.desc("n"), "label")).cast("bigint")))
+query("largest_component", f"{_REACH} SELECT area_id, label, n FROM (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY n DESC, label) AS k FROM (SELECT area_id, label, count(*) AS n FROM comp GROUP BY ALL)) WHERE k = 1", True)(lambda d: component_sizes(d).groupBy("area_id").agg(F.max_by(F.struct("label", "n"), F.struct("n", -F.col("label"))).alias("x")).select("area_id", "x.label", "x.n"))
+
+
+def sources(e: DataFrame) -> DataFrame:
+    return e.groupBy("area_id").agg(F.min("u").alias("node_id"))
+
+
+def paths(d: Domain) -> DataFrame:
+    e = edges(d)
+    return graph.shortest_paths(e, sources(e))
+
+
+_DIST = """WITH e AS MATERIALIZED (SELECT area_id, u, v, round(length_m) AS w FROM required), b AS (SELECT * FROM e UNION ALL SELECT area_id, v, u, w FROM e), s AS (SELECT area_id, min(u) AS node_id FROM e GROUP BY 1),
+reach AS (SELECT area_id, node_id, 0e0 AS dist, 0 AS hops FROM s UNION ALL SELECT * FROM (SELECT area_id, node_id, min(dist) AS dist, hops FROM (SELECT r.area_id, b.v AS node_id, r.dist + b.w AS dist, r.hops + 1 AS hops FROM reach r JOIN b ON r.area_id = b.area_id AND r.node_id = b.u WHERE r.hops < 36) GROUP BY area_id, node_id, hops))"""
+query("shortest_path_multi_source", f"{_DIST} SELECT area_id, node_id, min(dist) AS dist FROM reach GROUP BY ALL", True)(lambda d: paths(d).select("area_id", "node_id", "dist"))
+
+
+@query("path_edges")
+def _(d):
+    """The node sequence from each area's farthest node back to the source, by following `prev` a hop a round."""
+    p = graph.saved(paths(d))
+    now = graph.saved(p.groupBy("area_id").agg(F.max_by("node_id", F.struct("dist", "node_id")).alias("node_id")).withColumn("hop", F.lit(0)))
+    out = now
+    while not now.isEmpty():
+        now = graph.saved(now.join(p, ["area_id", "node_id"]).where("prev is not null").select("area_id", F.col("prev").alias("node_id"), (F.col("hop") + 1).alias("hop")))
+        out = out.union(now)
+    return out
+
+
+def odd_distances(d: Domain, most: float = 400.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    e = edges(d)
+    odd = graph.saved(network.node_degree(e).where("degree % 2 = 1").select("area_id", "node_id"))
+    dist = graph.shortest_paths(e, odd, most).join(odd, ["area_id", "node_id"], "left_semi").where("node_id <> source")
+    return e, odd, graph.saved(dist.select("area_id", F.col("source").alias("u"), F.col("node_id").alias("v"), "dist"))
+
+
+query("distances_between")(lambda d: odd_distances(d)[2])
+query("odd_node_pairing")(lambda d: graph.mutual_pairs(odd_distances(d)[2]))
+query("closest_target")(lambda d: (lambda e: graph.nearest_of(e, sources(e).union(e.groupBy("area_id").agg(F.max("v")))))(edges(d)))
+
+
+@query("sweep_length_bounds")
+def _(d):
+    """Required length, odd nodes, a lower bound (half of the nearest-odd distances, where one lies within reach) and a greedy estimate."""
+    e, odd, dist = odd_distances(d)
+    total = e.groupBy("area_id").agg(F.sum("w").alias("required_m"))
+    near = dist.groupBy("area_id", "u").agg(F.min("dist").alias("d")).groupBy("area_id").agg((F.sum("d") / 2).alias("half"))
+    greedy = graph.mutual_pairs(dist).groupBy("area_id").agg(F.sum("dist").alias("paired"))
+    out = total.join(odd.groupBy("area_id").agg(F.count("*").alias("n_odd")), "area_id", "left").join(near, "area_id", "left").join(greedy, "area_id", "left").na.fill(0)
+    return out.select("area_id", "required_m", "n_odd", (F.col("required_m") + F.col("half")).alias("lower_m"), (F.col("required_m") + F.col("paired")).alias("greedy_m"))
+
+
+@query("far_corner", f"SELECT area_id, arg_max(corner, m * 1000 - corner) AS corner FROM (SELECT area_id, corner, {hav('47.6e0', '(-117.4e0)', 'y', 'x')} AS m FROM (SELECT area_id, unnest([south, south, north, north]) AS y, unnest([west, east, west, east]) AS x, unnest([0, 1, 2, 3]) AS corner FROM boxes)) GROUP BY 1")
+def _(d):
+    corners = F.posexplode(F.array(*(F.struct(F.col(y).alias("y"), F.col(x).alias("x")) for y, x in (("south", "west"), ("south", "east"), ("north", "west"), ("north", "east"))))).alias("corner", "p")
+    c = d.boxes.select("area_id", corners)
+    m = geo.haversine_m(F.lit(47.6), F.lit(-117.4), F.col("p.y"), F.col("p.x"))
+    return c.groupBy("area_id").agg(F.max_by("corner", m * 1000 - F.col("corner")).alias("corner"))
