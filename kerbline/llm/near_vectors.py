@@ -100,10 +100,15 @@ def join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     )
     rows = common.written(rows.select("vec_id", good.alias("good"), F.when(good, F.col("e")).alias("e")), "vectors")
     classes = rows.where("good").groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
-    biggest = F.array_max(F.transform("e", F.abs))  # divided out first: no overflow
-    scaled = F.transform("e", lambda x: x / biggest)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    units = common.written(classes.where("rep is not null").select("rep", "m", scaled.alias("s"), norm.alias("norm")).select("rep", "m", F.transform("s", lambda x: x / F.col("norm")).alias("u")), "units")
+
+    def unit(batches):
+        for batch in batches:
+            v = batch.column("e").flatten().to_numpy().reshape(-1, dims)
+            v = v / np.abs(v).max(1, keepdims=True)  # first, so that squares do not overflow
+            v = v / np.sqrt((v * v).sum(1, keepdims=True))
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("m"), pa.array(list(v), pa.list_(pa.float64()))], names=["rep", "m", "u"])
+
+    units = common.written(classes.where("rep is not null").select("rep", "m", "e").mapInArrow(unit, "rep bigint, m bigint, u array<double>"), "units")
     k = min(BOUNDS, dims)
     axes = principal_axes(units, dims, k)
     eps = float(np.sqrt(2 - 2 * cosine))
