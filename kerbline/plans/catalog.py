@@ -128,9 +128,9 @@ query("latest_ftp", f"{_FTP}, r AS (SELECT athlete_id, x AS ftp, x - lag(x) OVER
 
 # Scalars over segments and points.
 
-_ENDS = [F.col(c) for c in ("lat1", "lon1", "lat2", "lon2")]
-query("haversine_m", f"SELECT way_id, pos, round({hav('lat1', 'lon1', 'lat2', 'lon2')}, 6) AS m FROM segments")(lambda d: segments(d).select("way_id", "pos", r6(geo.haversine_m(*_ENDS), "m")))
-query("bearing_deg", f"SELECT way_id, pos, round({bearing('lat1', 'lon1', 'lat2', 'lon2')}, 6) AS deg FROM segments")(lambda d: segments(d).select("way_id", "pos", r6(geo.bearing_deg(*_ENDS), "deg")))
+_ENDS = ("lat1", "lon1", "lat2", "lon2")
+query("haversine_m", f"SELECT way_id, pos, round({hav('lat1', 'lon1', 'lat2', 'lon2')}, 6) AS m FROM segments")(lambda d: segments(d).select("way_id", "pos", r6(geo.haversine_m(*map(F.col, _ENDS)), "m")))
+query("bearing_deg", f"SELECT way_id, pos, round({bearing('lat1', 'lon1', 'lat2', 'lon2')}, 6) AS deg FROM segments")(lambda d: segments(d).select("way_id", "pos", r6(geo.bearing_deg(*map(F.col, _ENDS)), "deg")))
 query("angle_diff", "SELECT event_id, least(abs(event_id % 360 - event_id * 7 % 360), 360 - abs(event_id % 360 - event_id * 7 % 360))::DOUBLE AS deg FROM events")(lambda d: d.table("events").select("event_id", geo.angle_diff((F.col("event_id") % 360).cast("double"), (F.col("event_id") * 7 % 360).cast("double")).alias("deg")))
 
 
