@@ -9,7 +9,9 @@ detection; long texts are scanned whole; repeated rows are scanned each for itse
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
+from itertools import accumulate, groupby
 
 import ahocorasick
 import pyarrow as pa
@@ -96,6 +98,20 @@ Unicode-DFS | unicode(?:, inc\.)? licen[sc]e agreement | unicode.org/copyright
 
 #: What a rule of each kind looks for; the higher number wins.
 KINDS = {"tag": 90, "address": 80, "grant": 70, "name": 60, "family": 30}
+#: Words of license names that make poor keywords, as they stand in many names or in other texts.
+COMMON = {"licen", "public", "software", "general", "open", "source", "the", "you", "what", "want", "same", "terms", "free", "server", "side", "common"}
+
+#: Keywords of the names that begin with alternatives.
+EITHER = {"CC0-1.0": ("cc0", "creative commons")}
+
+
+def keyword_of(regex: str) -> tuple[str, ...]:
+    """The most telling word that every match of a name holds: groups, classes and escapes are left out, innermost first."""
+    bare = re.sub(r"\[.*?\]|\\.", " ", regex)
+    while (less := re.sub(r"\([^()]*\)\??", " ", bare)) != bare:
+        bare = less
+    words = re.findall(r"[a-z0-9]{3,}", bare)
+    return tuple(sorted(words, key=lambda w: (w in COMMON, -len(w), w))[:1])
 
 
 @dataclass(frozen=True)
@@ -103,7 +119,8 @@ class Rule:
     label: str
     kind: str
     priority: int
-    keyword: str
+    #: One of these stands in every text that the rule can match; none: the rule always runs.
+    keywords: tuple[str, ...]
     regex: str
 
 
@@ -111,17 +128,18 @@ def rules() -> list[Rule]:
     """All rules in order of priority, built from the table by the kinds above."""
     out = []
 
-    def add(label: str, kind: str, keyword: str, regex: str) -> None:
-        out.append(Rule(label, kind, KINDS[kind], keyword, regex))
+    def add(label: str, kind: str, keywords: tuple[str, ...], regex: str) -> None:
+        out.append(Rule(label, kind, KINDS[kind], keywords, regex))
 
-    def four(label: str, name: str, address: str) -> None:
+    def four(label: str, name: str, address: str, keywords: tuple[str, ...] = ()) -> None:
         low = re.escape(label.lower())
-        add(label, "tag", "spdx", rf"spdx-license-identifier:\s*\(?{low}(?:-only|-or-later|\+)?(?![\w.-])")
-        add(label, "address", address.split("/")[0], rf"\b{re.escape(address)}(?![\w-])")
+        if not keywords:
+            keywords = EITHER.get(label) or keyword_of(name)
+        add(label, "tag", ("spdx-license-identifier",), rf"spdx-license-identifier:\s*\(?{low}(?:-only|-or-later|\+)?(?![\w.-])")
+        add(label, "address", (address,), rf"\b{re.escape(address)}(?![\w-])")
         grant = r"(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?"
-        add(label, "grant", "under", rf"\b{grant}(?:{name})")
-        words = re.findall(r"[a-z0-9]{3,}", re.sub(r"\[.*?\]|\(\?:.*?\)|\\.", " ", name))
-        add(label, "name", max(words, key=len) if words else "", rf"\b(?:{name})")
+        add(label, "grant", keywords, rf"\b{grant}(?:{name})")
+        add(label, "name", keywords, rf"\b(?:{name})")
 
     for line in LICENSES.split("\n"):
         four(*(x.strip() for x in line.split(" | ")))
@@ -131,22 +149,23 @@ def rules() -> list[Rule]:
             named = r"[ -]+".join(parts[p] for p in kind.split("-"))
             short = kind.replace("-", "[ -]")
             name = rf"(?:cc[ -]{short}|creative commons[ -]+{named})(?: international| unported| generic)?[ ,-]+(?:v(?:ersion)? ?)?{re.escape(version)}"
-            four(f"CC-{kind.upper()}-{version}", name, f"creativecommons.org/licenses/{kind}/{version}")
-    for label, keyword, regex in (
+            keys = (*(f"cc{a}{kind.replace('-', b)}" for a in " -" for b in " -"), "creative commons")
+            four(f"CC-{kind.upper()}-{version}", name, f"creativecommons.org/licenses/{kind}/{version}", tuple(dict.fromkeys(keys)))
+    for label, keywords, regex in (
         ("gpl", "gpl", r"\bgpl(?:v?[123])?\b"),
-        ("gpl", "general", r"\bgnu general public licen[sc]e\b"),
+        ("gpl", "gnu general public licen", r"\bgnu general public licen[sc]e\b"),
         ("lgpl", "lgpl", r"\blgpl(?:v?[23](?:\.1)?)?\b"),
         ("agpl", "agpl", r"\bagpl(?:v?3)?\b"),
         ("apache", "apache", r"\bapache(?: software)? licen[sc]e\b"),
         ("mit", "mit", r"\bmit(?:[ -]style)? licen[sc]e\b"),
         ("bsd", "bsd", r"\bbsd(?:[ -]style)? licen[sc]e\b"),
-        ("cc-by", "cc", r"\bcc[ -]by\b"),
-        ("creative-commons", "creative", r"\bcreative commons\b"),
-        ("public-domain", "domain", r"\bpublic domain\b"),
-        ("all-rights-reserved", "reserved", r"\ball rights reserved\b"),
-        ("proprietary", "confidential", r"\bproprietary and confidential\b"),
+        ("cc-by", "cc by|cc-by", r"\bcc[ -]by\b"),
+        ("creative-commons", "creative commons", r"\bcreative commons\b"),
+        ("public-domain", "public domain", r"\bpublic domain\b"),
+        ("all-rights-reserved", "all rights reserved", r"\ball rights reserved\b"),
+        ("proprietary", "proprietary and confidential", r"\bproprietary and confidential\b"),
     ):
-        add(label, "family", keyword, regex)
+        add(label, "family", tuple(keywords.split("|")), regex)
     return sorted(out, key=lambda r: -r.priority)
 
 
@@ -158,11 +177,12 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 class Scanner:
     def __init__(self, own: list[Rule]):
         self.rules = [(r, re.compile(r.regex.encode())) for r in own]
-        self.always = [i for i, (r, _) in enumerate(self.rules) if not r.keyword]
+        self.always = [i for i, (r, _) in enumerate(self.rules) if not r.keywords]
         by: dict[str, list[int]] = {}
         for i, (r, _) in enumerate(self.rules):
-            if r.keyword:
-                by.setdefault(r.keyword, []).append(i)
+            for k in r.keywords:
+                by.setdefault(k, []).append(i)
+        by.setdefault("spdx-license-identifier", [])
         self.automaton = ahocorasick.Automaton()
         for k, v in by.items():
             self.automaton.add_word(k, tuple(v))
@@ -177,11 +197,17 @@ class Scanner:
         hits = [(r, m) for i in sorted(found) for r, rx in (self.rules[i],) for m in rx.finditer(low)]
         hits.sort(key=lambda x: (-x[0].priority, x[1].start(), -x[1].end(), x[0].label))
         taken: list[tuple[int, int, Rule]] = []
-        for r, m in hits:
-            a, b = m.span()
-            if not any(s <= a and b <= e for s, e, _ in taken):
-                taken.append((a, b, r))
-        return sorted(taken, key=lambda x: x[:2])
+        for _, level in groupby(hits, key=lambda x: x[0].priority):
+            above, reach, furthest = taken, list(accumulate((e for _, e, _ in taken), max)), -1
+            starts, own = [a for a, _, _ in above], []
+            for r, m in level:
+                a, b = m.span()
+                k = bisect_right(starts, a)
+                if b > furthest and not (k and reach[k - 1] >= b):
+                    own.append((a, b, r))
+                    furthest = b
+            taken = sorted(above + own, key=lambda x: x[:2])
+        return taken
 
 
 def base_places(raw: bytes) -> tuple[int, list[int], set[str]]:
