@@ -4,22 +4,26 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the shared folder of spark.checkpoint.dir (a temporary folder where that is unset)."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of spark.checkpoint.dir (a temporary folder where that is unset)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table in the shared folder."""
+    path = folder(df.sparkSession, "graph")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:

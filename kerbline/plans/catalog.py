@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions import geo
 from kerbline.operators import activities as act
-from kerbline.operators import areas, coverage, graph, network, routes
+from kerbline.operators import areas, coverage, graph, network, routes, snapping
 from kerbline.plans.twins import CELL, bearing, hav, sql
 from kerbline.sources.domain import Domain
 
@@ -363,19 +363,11 @@ def _(d):
 # Nearest neighbours and graphs.
 
 
-@query("nearest_node_join", f"SELECT area_id, arg_min(node_id, m * 1000000 + node_id * 1e-9) AS node_id, round(min(m), 6) AS m FROM (SELECT area_id, node_id, {hav('(south + north) / 2', '(west + east) / 2', 'lat', 'lon')} AS m FROM boxes CROSS JOIN nodes) GROUP BY 1")
+@query("nearest_node_join", f"SELECT area_id, node_id, m FROM (SELECT area_id, node_id, m, row_number() OVER (PARTITION BY area_id ORDER BY m, node_id) AS place FROM (SELECT area_id, node_id, round({hav('(south + north) / 2', '(west + east) / 2', 'lat', 'lon')}, 3) AS m FROM boxes CROSS JOIN nodes)) WHERE place = 1")
 def nearest_node(d):
-    """Nearest node to each box's centre: rings of cells widen until the nearest found is surely nearest; the rest meets all nodes."""
+    """Nearest node to each box's centre."""
     q = d.boxes.select("area_id", ((F.col("south") + F.col("north")) / 2).alias("qlat"), ((F.col("west") + F.col("east")) / 2).alias("qlon"))
-    size, ring = 0.005, F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    cells = d.nodes.withColumn("ci", geo.cell(F.col("lat"), size)).withColumn("cj", geo.cell(F.col("lon"), size))
-    near = q.withColumn("a", ring).withColumn("b", ring).withColumn("ci", geo.cell(F.col("qlat"), size) + F.col("a")).withColumn("cj", geo.cell(F.col("qlon"), size) + F.col("b"))
-    m = geo.haversine_m(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon"))
-    best = F.min(F.struct(m.alias("m"), "node_id")).alias("x")
-    found = near.join(cells, ["ci", "cj"]).groupBy("area_id", "qlat").agg(best)
-    sure = found.where(F.col("x.m") <= size * geo.DEGREE_M * F.cos(F.radians("qlat")) * 0.99).select("area_id", "x")
-    rest = q.join(sure, "area_id", "left_anti").crossJoin(d.nodes).groupBy("area_id").agg(best)
-    return sure.union(rest).select("area_id", "x.node_id", r6("x.m", "m"))
+    return snapping.nearest_node(q, ["area_id"], d.nodes)
 
 
 @query("node_degree", "SELECT area_id, node_id, count(*) AS degree FROM (SELECT area_id, unnest([u, v]) AS node_id FROM required) GROUP BY ALL")

@@ -6,11 +6,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from kerbline.plans import catalog
+from kerbline.plans import catalog, snapping  # noqa: F401  (snapping adds its queries to the catalog)
 
 DATA = "/root/testdata/sf0.001"
 ITERATIVE = {"connected_components", "components_by_size", "largest_component", "shortest_path_multi_source", "path_edges", "closest_target"}
-ITERATIVE |= {"distances_between", "odd_node_pairing", "sweep_length_bounds"}
+ITERATIVE |= {"distances_between", "odd_node_pairing", "sweep_length_bounds", "pocket_report"}
 
 
 def rows(df):
