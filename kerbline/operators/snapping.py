@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from kerbline.functions import geo
 from kerbline.operators.graph import saved
 
-#: First cell size in degrees, and by how much it grows for points with nothing near; beyond WORLD one cell ring holds everything.
-FIRST, GROWTH, WORLD = 0.002, 4.0, 360.0
+#: First cell size in degrees, and by how much it grows for points with nothing near; above FLAT the bound on what lies outside the
+#: ring would not hold, so WORLD follows, whose ring holds everything.
+FIRST, GROWTH, FLAT, WORLD = 0.002, 4.0, 8.0, 360.0
 
 
 def samples(size: float) -> Column:
@@ -39,7 +40,7 @@ def around(points: DataFrame, size: float, k: int = 1) -> DataFrame:
 
 def nearest(points: DataFrame, keys: list[str], cells: Callable[[float], DataFrame], best: Column, sure: float) -> DataFrame:
     """For each point the least `best` (a struct that begins with metres) in the 3 x 3 cells around it, if that is within `sure`
-    cells, so that nothing outside can be nearer; other points look again in larger cells. Points without any candidate go."""
+    cells, so that nothing outside can be nearer; other points look again in larger cells. Points without any candidate go. Cells do not join at 180 degrees east."""
     size, out, rest = FIRST, None, saved(points)
     while not rest.isEmpty():
         found = around(rest, size).join(cells(size), ["ci", "cj"]).groupBy(*keys, "qlat").agg(F.min(best).alias("x"))
@@ -48,7 +49,7 @@ def nearest(points: DataFrame, keys: list[str], cells: Callable[[float], DataFra
         out = done if out is None else out.union(done)
         if size >= WORLD:
             break
-        rest, size = saved(rest.join(done, keys, "left_anti")), size * GROWTH
+        rest, size = saved(rest.join(done, keys, "left_anti")), size * GROWTH if size < FLAT else WORLD
     return out if out is not None else points.join(cells(FIRST), F.lit(False)).select(*keys, best.alias("x"))
 
 
