@@ -91,6 +91,18 @@ def test_license(spark, docs):
     assert len(license_scan.rules()) > 300 and license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_license_keywords():
+    own = license_scan.rules()
+    plain = license_scan.Scanner([license_scan.Rule(r.label, r.kind, r.priority, (), r.regex) for r in own])
+    gated = license_scan.Scanner(own)
+    seen = lambda s, t: [(a, b, r.label, r.kind) for a, b, r in s.detect(t.encode())]
+    for text in (
+        "new BSD license, simplified bsd licence; 3-clause BSD license", "CC0 1.0 universal or Creative Commons Zero", "cc-by-sa 4.0 and CC BY 3.0",
+        "creative commons attribution-sharealike 4.0", "SPDX-License-Identifier: (MIT", "released under the terms of the ISC license", "zero-clause bsd license é " * 30,
+    ):
+        assert seen(gated, text) == seen(plain, text) != []
+
+
 def test_ngram_join(spark, docs):
     base = LONG.split()[:60]
     texts = [t for _, t in of(docs)] + [" ".join(base), " ".join(base[:58]), " ".join(base[:30] + ["x"] + base[31:]), " ".join(base[:20]), "Re And OF", "re and of"]
