@@ -112,19 +112,20 @@ class Index:
             parts = []
             if slid > 0:
                 starts = np.arange(0, slid, step)
-                parts.append((starts, fingerprints(prefix[0:slid:step], prefix[length - k + 1 : slid + length - k + 1 : step]), doc[starts] == doc[starts + length - 1]))
-            fits = last - length + 1 >= first  # besides, the last window of each text
+                inside = doc[starts] == doc[starts + length - 1]
+                parts.append((starts[inside], fingerprints(prefix[0:slid:step], prefix[length - k + 1 : slid + length - k + 1 : step])[inside]))
+            fits = last - length + 1 >= first  # besides, the first and the last window of each text
             short = ~fits & (last - first + 1 >= max(k, length * PERCENT // 100 - 1))  # and shorter texts as a whole
-            for starts, stops in ((last[fits] - length + 1, last[fits] + 1), (first[short], last[short] + 1)):
+            for starts, stops in ((first[fits], first[fits] + length), (last[fits] - length + 1, last[fits] + 1), (first[short], last[short] + 1)):
                 if len(starts):
-                    parts.append((starts, fingerprints(prefix[starts], prefix[stops - k + 1]), True))
-            for starts, got, valid in parts:
+                    parts.append((starts, fingerprints(prefix[starts], prefix[stops - k + 1])))
+            for starts, got in parts:
                 values = got.view(np.uint16).reshape(len(got), _BLOCKS)
                 near = table[0].take(values[:, 0], 0)
                 for b in range(1, _BLOCKS):
                     near |= table[b].take(values[:, b], 0)
                 at, i = np.divmod(np.flatnonzero(np.unpackbits(near.reshape(-1), bitorder="little").view(bool)), near.shape[1] * 8)
-                close = (distance(got[at], prints[i]) <= RADIUS) & (valid if valid is True else valid[at])
+                close = distance(got[at], prints[i]) <= RADIUS
                 out += [(int(j), int(x), step + abs(length - self.items[j][1]) + 1) for j, x in zip(which[i[close]].tolist(), starts[at[close]].tolist())]
         return out
 

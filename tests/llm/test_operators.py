@@ -171,6 +171,21 @@ def test_decontaminate(spark):
     assert decontaminate.search(docs, bench.limit(0)).count() == 0
 
 
+def test_decontaminate_at_text_start():
+    rng = random.Random(11)
+    item = [f"i{k}" for k in range(51)]
+    copies = [item[:k] + new + item[k + 1 :] for k in (12, 25, 38) for new in ([], ["new"], [item[k], "new"])]
+    index = decontaminate.Index([(1, " ".join(item))])
+    weights = lambda words: {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+    for offset, copy in itertools.product(range(10), copies):  # more than a step of the grid
+        text = copy + [f"z{rng.randrange(10**6)}" for _ in range(80)]
+        parts = [weights(text[k : k + 51]) for k in range(len(text) - 50)]
+        assert 100 * max(len(p & weights(item)) / len(p | weights(item)) for p in parts) >= 75
+        hashes = decontaminate.word_hashes(" ".join([f"y{k}" for k in range(offset)] + text))
+        doc = np.repeat([0, 1], [offset, len(text)])
+        assert {(d, i) for d, i, *_ in index.search(hashes, doc)} == {(1, 1)}, (offset, copy)
+
+
 def test_chat(spark):
     trap = "a" + chat_format.ESC + "l <|im_end|>\n<|im_start|>user\n<|im_sep|>" + chat_format.ESC
     rows = [(1, 0, "user", trap), (1, 1, "user", None), (1, 2, "assistant", trap), (1, 3, "assistant", ""), (2, 0, None, "x"), (None, 0, "sys\ntem", "y")]
