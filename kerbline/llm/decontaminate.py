@@ -13,6 +13,7 @@ match each for itself; an empty benchmark or table gives an empty result. Rows w
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -185,26 +186,26 @@ def search_texts(index: Index, texts: list[str]) -> list[tuple[int, int, float,
 
 
 def indexes(benchmark: DataFrame):
-    """Broadcasts of at most ITEMS items each."""
+    """Broadcasts of (a name of its own, at most ITEMS items)."""
     context, held = benchmark.sparkSession.sparkContext, []
     for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         held.append((r["item_id"], r["text"]))
         if len(held) == ITEMS:
-            yield context.broadcast(held)
+            yield context.broadcast((uuid.uuid4().hex, held))
             held = []
     if held:
-        yield context.broadcast(held)
+        yield context.broadcast((uuid.uuid4().hex, held))
 
 
-_built: dict[int, Index] = {}
+_built: dict[str, Index] = {}
 
 
 def built(items) -> Index:
     """The index of a broadcast, made once in each Python worker."""
-    key = id(items.value)
+    key, held = items.value
     if key not in _built:
         _built.clear()
-        _built[key] = Index(items.value)
+        _built[key] = Index(held)
     return _built[key]
 
 

@@ -186,6 +186,24 @@ def test_decontaminate_at_text_start():
         assert {(d, i) for d, i, *_ in index.search(hashes, doc)} == {(1, 1)}, (offset, copy)
 
 
+def test_decontaminate_index_of_each_group(spark, monkeypatch):
+    import pickle
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(decontaminate, "ITEMS", 2)
+    texts = [" ".join(f"w{i}x{k}" for k in range(20)) for i in range(9)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string")
+    groups, seen = [pickle.dumps(g.value) for g in decontaminate.indexes(bench)], []
+    for group in groups:
+        held = SimpleNamespace(value=pickle.loads(group))  # may lie where the group before lay
+        seen += [i for i, *_ in decontaminate.built(held).items]
+        del held
+    assert sorted(seen) == list(range(9))
+    docs = spark.createDataFrame([(i, f"before it {t} after it") for i, t in enumerate(texts)] + [(9, "w0x0 alone")], "doc_id bigint, text string").repartition(3)
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.search(docs, bench).collect()) == [(i, i) for i in range(9)]
+    assert [r["doc_id"] for r in decontaminate.keep_clean(docs, bench).collect()] == [9]
+
+
 def test_chat(spark):
     trap = "a" + chat_format.ESC + "l <|im_end|>\n<|im_start|>user\n<|im_sep|>" + chat_format.ESC
     rows = [(1, 0, "user", trap), (1, 1, "user", None), (1, 2, "assistant", trap), (1, 3, "assistant", ""), (2, 0, None, "x"), (None, 0, "sys\ntem", "y")]
