@@ -11,6 +11,7 @@ gives an empty table.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from array import array
 
@@ -89,8 +90,11 @@ def unpack(image: bytes) -> np.ndarray:
 class Words(dict):
     """Parts between plain spaces and line feeds to the bytes of their ids; the tokenizer takes no token across these."""
 
-    #: A full stop or comma that follows a letter or digit is a token of its own, so it can be set apart; after a sign it cannot.
-    SIGNS = re.compile(r"(?:[^\w\s]|_)[.,] ").search
+    #: Letters that end in a mark once the tokenizer has normalised them, so that a sign after them joins the mark.
+    MARKED = "".join(c for c in map(chr, range(1 << 16)) if c.isalnum() and unicodedata.category(unicodedata.normalize("NFC", c).lower()[-1])[0] not in "LN")
+    #: A full stop or comma that follows a letter or digit is a token of its own, so it can be set apart; after a sign it cannot
+    #: (nor after U+001C to U+001F, which are spaces for Python alone).
+    SIGNS = re.compile(rf"(?:[^\w\s]|[_\x1c-\x1f{MARKED}])[.,] ").search
 
     def __init__(self, path: str):
         super().__init__()

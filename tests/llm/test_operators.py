@@ -53,6 +53,15 @@ def test_token_files(spark, docs):
     assert token_files.written_and_read(docs.limit(0)).count() == 0
 
 
+def test_token_parts():
+    words = token_files.Words(P.path(token_files.VOCABULARY))
+    texts = [f"{c}{sign} {after}" for c in ("İ", "ab İ", "\u0958", "\u095c", "\ufb2a", "e\u0301", "é", "ß", "字", "५", "²", "a\x1c", "a\x85", "_", "") for sign in ".," for after in ("x", "\u0301x", "")]
+    texts += [f"ab{chr(c)}, x" for c in range(0x110000) if chr(c).isalnum() or chr(c).isspace()]
+    whole = words.one.encode_batch_fast(texts, add_special_tokens=False)
+    got = words.encode(texts, token_files.END)
+    assert [t for t, e, g in zip(texts, whole, got) if [*e.ids, token_files.END] != g.tolist()] == []
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 70_000])
 def test_blocks(n):
     ids = np.random.default_rng(n).integers(0, 49_408, n).astype(np.int32)
