@@ -14,6 +14,9 @@ from kerbline.operators import areas, coverage, graph, network, routes, snapping
 from kerbline.plans.twins import CELL, bearing, hav, sql
 from kerbline.sources.domain import Domain
 
+#: Weight of a ridden street in the pairing of odd nodes.
+RIDDEN = 4.0
+
 _QUERIES: dict[str, Callable[[Domain], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -415,10 +418,18 @@ def _(d):
     return out
 
 
-def odd_distances(d: Domain, most: float = 400.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ways_through(d: Domain) -> DataFrame:
+    """(area_id, u, v, w): all streets of the boxes, avoided ones at their weight and ridden ones at RIDDEN times it."""
+    took = segments(d).join(ridden(d).select("way_id", "pos", F.lit(RIDDEN).alias("times")), ["way_id", "pos"], "left")
+    every = took.withColumn("length_m", F.round("weight") * F.coalesce("times", F.lit(1.0)))
+    return graph.saved(areas.select_in_boxes(every, d.boxes).select("area_id", "u", "v", F.col("length_m").alias("w")))
+
+
+def odd_distances(d: Domain) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Required streets, their odd nodes, and the distances of all pairs of those over all streets of the area, however far."""
     e = edges(d)
     odd = graph.saved(network.node_degree(e).where("degree % 2 = 1").select("area_id", "node_id"))
-    dist = graph.shortest_paths(e, odd, most).join(odd, ["area_id", "node_id"], "left_semi").where("node_id <> source")
+    dist = graph.shortest_paths(ways_through(d), odd).join(odd, ["area_id", "node_id"], "left_semi").where("node_id <> source")
     return e, odd, graph.saved(dist.select("area_id", F.col("source").alias("u"), F.col("node_id").alias("v"), "dist"))
 
 
@@ -429,7 +440,7 @@ query("closest_target")(lambda d: (lambda e: graph.nearest_of(e, sources(e).unio
 
 @query("sweep_length_bounds")
 def _(d):
-    """Required length, odd nodes, a lower bound (half of the nearest-odd distances, where one lies within reach) and a greedy estimate."""
+    """Required length, odd nodes, a lower bound (half of the nearest-odd distances) and a greedy estimate; ways added count by their weight."""
     e, odd, dist = odd_distances(d)
     total = e.groupBy("area_id").agg(F.sum("w").alias("required_m"))
     near = dist.groupBy("area_id", "u").agg(F.min("dist").alias("d")).groupBy("area_id").agg((F.sum("d") / 2).alias("half"))
