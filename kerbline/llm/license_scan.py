@@ -149,8 +149,7 @@ def rules() -> list[Rule]:
             named = r"[ -]+".join(parts[p] for p in kind.split("-"))
             short = kind.replace("-", "[ -]")
             name = rf"(?:cc[ -]{short}|creative commons[ -]+{named})(?: international| unported| generic)?[ ,-]+(?:v(?:ersion)? ?)?{re.escape(version)}"
-            keys = (*(f"cc{a}{kind.replace('-', b)}" for a in " -" for b in " -"), "creative commons")
-            four(f"CC-{kind.upper()}-{version}", name, f"creativecommons.org/licenses/{kind}/{version}", tuple(dict.fromkeys(keys)))
+            four(f"CC-{kind.upper()}-{version}", name, f"creativecommons.org/licenses/{kind}/{version}", ("cc by", "cc-by", "creative commons"))
     for label, keywords, regex in (
         ("gpl", "gpl", r"\bgpl(?:v?[123])?\b"),
         ("gpl", "gnu general public licen", r"\bgnu general public licen[sc]e\b"),

@@ -112,6 +112,46 @@ def test_license_keywords():
         assert seen(gated, text) == seen(plain, text) != []
 
 
+def matches_of(regex, rng):
+    """A text that the expression matches, with branches, repeats and members of classes drawn at random."""
+    import re._parser as parser
+
+    def draw(parsed):
+        out = ""
+        for op, arg in parsed:
+            match str(op):
+                case "LITERAL":
+                    out += chr(arg)
+                case "IN":
+                    chars = [chr(a) for o, a in arg if str(o) == "LITERAL"]
+                    out += rng.choice(chars) if chars else " "
+                case "MAX_REPEAT":
+                    out += "".join(draw(arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+                case "SUBPATTERN":
+                    out += draw(arg[3])
+                case "BRANCH":
+                    out += draw(rng.choice(arg[1]))
+        return out
+
+    return draw(parser.parse(regex))
+
+
+def test_license_keywords_of_all_rules():
+    rng, missed = random.Random(5), []
+    for rule in license_scan.rules():
+        hits = 0
+        for _ in range(40):
+            text = matches_of(rule.regex, rng)
+            if license_scan.re.search(rule.regex, text):
+                hits += 1
+                if rule.keywords and not any(k in text for k in rule.keywords):
+                    missed.append((rule.label, rule.kind, text))
+        assert hits, rule
+    assert missed == []
+    scanner = license_scan.Scanner(license_scan.rules())
+    assert "CC-BY-NC-SA-4.0" in {r.label for _, _, r in scanner.detect(b"CC BY-NC SA 4.0")}
+
+
 def test_ngram_join(spark, docs):
     base = LONG.split()[:60]
     texts = [t for _, t in of(docs)] + [" ".join(base), " ".join(base[:58]), " ".join(base[:30] + ["x"] + base[31:]), " ".join(base[:20]), "Re And OF", "re and of"]
