@@ -11,6 +11,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
+class Recent(dict):
+    """Remembers what `make` gave for the last keys asked for: two generations of at most `most` each, so frequent keys stay."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def room(self, n: int = 1) -> None:
+        if len(self) + n > self.most:
+            self.older = dict(self)
+            self.clear()
+
+    def __missing__(self, key):
+        self.room()
+        got = self.older.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
+        return got
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,7 +1,8 @@
 """Token ids in patched frame-of-reference blocks.
 
 Documents are ordered by id (null first, then text) over range partitions; each partition writes segments of whole documents.
-A segment is a binary image: header, document table, block starts, then blocks of 512 ids. A block keeps its minimum and packs
+A segment is a binary image (counts, block table with starts, exceptions, blocks of 512 ids); its documents and where they end stand
+in list columns beside it. Block starts let a reader unpack only the blocks that a document lies in. A block keeps its minimum and packs
 the differences at the width that a percentile of them needs; the larger ones stand in a list of exceptions. Segments lie in
 one column of a Parquet table, so any file system that Spark writes will do and a lost executor's attempt leaves nothing behind.
 Null and empty texts hold only the end id; a long text is a segment of its own; repeated rows follow each other; an empty table
@@ -11,7 +12,6 @@ gives an empty table.
 from __future__ import annotations
 
 import re
-import unicodedata
 import zlib
 from array import array
 
@@ -25,8 +25,8 @@ from . import common
 
 VOCABULARY, END = "word_bpe_49k.json", 2
 BLOCK, SEGMENT, PERCENTILE = 512, 1 << 16, 90
-#: Words remembered by a task; the memory is emptied when full.
-REMEMBERED = 1_200_000
+#: Parts in each of the two generations that a worker remembers.
+REMEMBERED = 200_000
 
 
 def widths_of(sorted_: np.ndarray, percentile: int) -> np.ndarray:
@@ -63,7 +63,8 @@ def pack(ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
     return head + table + c.astype(np.uint16).tobytes() + extra.astype(np.uint32).tobytes() + b"".join(packed)
 
 
-def unpack(image: bytes) -> np.ndarray:
+def unpack(image: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
+    """The ids from `first` to before `last` (all), read from the blocks that hold them."""
     n, blocks, extras = np.frombuffer(image, np.uint32, 3).tolist()
     at = 12
 
@@ -76,60 +77,107 @@ def unpack(image: bytes) -> np.ndarray:
     low, width, count, starts = take(np.uint32, blocks), take(np.uint8, blocks), take(np.uint16, blocks), take(np.uint32, blocks)
     place, extra = take(np.uint16, extras), take(np.uint32, extras)
     body = np.frombuffer(image, np.uint8, offset=at)
-    diff = np.zeros((blocks, BLOCK), np.uint32)
+    last = n if last is None else min(last, n)
+    a, b = first // BLOCK, -(-last // BLOCK)
+    before = np.concatenate([[0], np.cumsum(count, dtype=np.int64)]).tolist()
+    low, width, count, starts, some = low[a:b], width[a:b], count[a:b], starts[a:b], slice(before[a], before[max(a, b)])
+    diff = np.zeros((len(low), BLOCK), np.uint32)
     for w in np.unique(width):
         mine = np.flatnonzero(width == w)
         if w:
             raw = body[starts[mine].astype(np.int64)[:, None] + np.arange(int(w) * BLOCK // 8)]
             bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(mine), BLOCK, int(w)).astype(np.uint32)
             diff[mine] = (bits << np.arange(w, dtype=np.uint32)).sum(2, dtype=np.uint32)
-    diff[np.repeat(np.arange(blocks), count), place] = extra
-    return (diff + low[:, None]).reshape(-1)[:n].astype(np.int32)
+    diff[np.repeat(np.arange(len(low)), count), place[some]] = extra[some]
+    return (diff + low[:, None]).reshape(-1)[first - a * BLOCK : last - a * BLOCK].astype(np.int32)
 
 
-class Words(dict):
-    """Parts between plain spaces and line feeds to the bytes of their ids; the tokenizer takes no token across these."""
+class Words(common.Recent):
+    """Parts between spaces to the bytes of their ids; the tokenizer takes no token across a space.
 
-    #: Letters that end in a mark once the tokenizer has normalised them, so that a sign after them joins the mark.
-    MARKED = "".join(c for c in map(chr, range(1 << 16)) if c.isalnum() and unicodedata.category(unicodedata.normalize("NFC", c).lower()[-1])[0] not in "LN")
-    #: A full stop or comma that follows a letter or digit is a token of its own, so it can be set apart; after a sign it cannot
-    #: (nor after U+001C to U+001F, which are spaces for Python alone).
-    SIGNS = re.compile(rf"(?:[^\w\s]|[_\x1c-\x1f{MARKED}])[.,] ").search
+    Most parts hold only printable ASCII and Latin letters that stay as they are when normalised. Those are put in lower case and cut
+    into the tokenizer's pieces here, and only pieces not met lately go through its merges; all other parts, such as those of another
+    script or with special tokens, go through the whole tokenizer.
+    """
+
+    LETTERS = "A-Za-z" + "".join(chr(c) for c in range(0xC0, 0x17F) if c not in (0xD7, 0xF7, 0x130, 0x149))
+    ODD = re.compile(rf"[^{LETTERS}!-~ \t\n\r]|<\|").search
+    #: The tokenizer's own pieces, over these characters.
+    PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[!-/:-@\[-`{{-~]+").findall
+    #: Bytes that the vocabulary writes as other characters: those that do not print, numbered from 256.
+    BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
+        super().__init__(self._whole, REMEMBERED)
         self.one = Tokenizer.from_file(path)
+        self.merges = Tokenizer(self.one.model)
+        words = self.one.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(words.values()) + 1, bool)  # ids that end a piece
+        self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
+        self.pieces = common.Recent(lambda piece: self._merged([piece])[0], REMEMBERED)
+
+    def _whole(self, part: str) -> bytes:
+        return array("i", self.one.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        (found,) = self.merges.encode_batch_fast([[p if p.isascii() else p.encode().decode("latin-1").translate(self.BYTES) for p in pieces]], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, np.int32)
+        cuts = [0, *((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])] if len(cuts) == len(pieces) + 1 else [self._whole(p) for p in pieces]
 
     def cut(self, text: str) -> list[str]:
-        text = text.replace("\n", " ")
-        if not self.SIGNS(text):
-            text = text.replace(", ", " , ").replace(". ", " . ")
-        return text.split(" ")
+        if not self.ODD(text):
+            return text.lower().split()
+        return [p if self.ODD(p) else p.lower() for p in text.replace("\n", " ").split(" ")]
 
     def fill(self, missing: set[str]) -> None:
-        if len(self) + len(missing) > REMEMBERED:
-            self.clear()
-        every = list(missing)
-        for at in range(0, len(every), 4096):
-            some = every[at : at + 4096]
+        """Learn parts that are not remembered, many in one call of the tokenizer."""
+        self.room(len(missing))
+        known = missing & self.older.keys()
+        self.update((p, self.older[p]) for p in known)
+        plain, others = [], []
+        for p in missing - known:
+            (others if self.ODD(p) else plain).append(p)
+        for at in range(0, len(others), 2048):
+            some = others[at : at + 2048]
             for p, e in zip(some, self.one.encode_batch_fast(some, add_special_tokens=False)):
                 self[p] = array("i", e.ids).tobytes()
+        cut = list(map(self.PIECES, plain))
+        new = {x for c in cut for x in c}.difference(self.pieces)
+        self.pieces.room(len(new))
+        new = [x for x in new if x not in self.pieces.older]
+        for at in range(0, len(new), 2048):
+            self.pieces.update(zip(new[at : at + 2048], self._merged(new[at : at + 2048])))
+        piece = self.pieces.__getitem__
+        for p, c in zip(plain, cut):
+            self[p] = piece(c[0]) if len(c) == 1 else b"".join(map(piece, c))
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
-        last, out = array("i", [end]).tobytes(), []
-        for at in range(0, len(texts), 200):
-            cut = [self.cut(t) for t in texts[at : at + 200]]
-            missing: set[str] = set()
-            for parts in cut:
-                missing.update(p for p in parts if p not in self)
-            kept = dict.__len__(self) + len(missing) <= REMEMBERED
-            self.fill(missing if kept else {p for parts in cut for p in parts})
+        last, out, at = array("i", [end]).tobytes(), [], 0
+        while at < len(texts):
+            cut, seen = [], set()
+            while at < len(texts) and len(cut) < 200 and len(seen) < REMEMBERED // 4:
+                cut.append(self.cut(texts[at]))
+                seen.update(cut[-1])
+                at += 1
+            self.fill(seen.difference(self))
             out += [np.frombuffer(b"".join(map(self.__getitem__, parts)) + last, np.int32) for parts in cut]
         return out
 
 
+_words: dict[str, Words] = {}
+
+
+def words_of(path: str) -> Words:
+    """One for each Python worker, which serves many tasks."""
+    if path not in _words:
+        _words[path] = Words(path)
+    return _words[path]
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END) -> None:
     """Write (part, place, first: ids of the part before this segment, n_ids, doc_ids, ends, image) rows to `path`."""
     tokenizer = tokenizer or public_tokenizers.path(VOCABULARY)
@@ -145,7 +193,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end:
     types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
     def run(batches):
-        words, place, first = Words(tokenizer), 0, 0
+        words, place, first = words_of(tokenizer), 0, 0
         part, held, ids, size = None, [], [], 0
 
         def close() -> pa.RecordBatch:

@@ -57,6 +57,7 @@ def test_token_parts():
     words = token_files.Words(P.path(token_files.VOCABULARY))
     texts = [f"{c}{sign} {after}" for c in ("İ", "ab İ", "\u0958", "\u095c", "\ufb2a", "e\u0301", "é", "ß", "字", "५", "²", "a\x1c", "a\x85", "_", "") for sign in ".," for after in ("x", "\u0301x", "")]
     texts += [f"ab{chr(c)}, x" for c in range(0x110000) if chr(c).isalnum() or chr(c).isspace()]
+    texts += [f"{a}{sign}{b}" for a in ("don", "I", "\u00c0b", "x9", "\u0130") for sign in ("'t", "'S ", "\u2019s", ".'re", "<|endoftext|>", "<|", "\u0149", "\t", "\r\n", "\xa0", "\x01", "_") for b in ("", "a", "7")]
     whole = words.one.encode_batch_fast(texts, add_special_tokens=False)
     got = words.encode(texts, token_files.END)
     assert [t for t, e, g in zip(texts, whole, got) if [*e.ids, token_files.END] != g.tolist()] == []
@@ -65,7 +66,10 @@ def test_token_parts():
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 70_000])
 def test_blocks(n):
     ids = np.random.default_rng(n).integers(0, 49_408, n).astype(np.int32)
-    assert (token_files.unpack(token_files.pack(ids)) == ids).all()
+    image = token_files.pack(ids)
+    assert (token_files.unpack(image) == ids).all()
+    for a, b in ((0, 0), (n // 3, n // 2), (n // 2, n), (max(0, n - 1), n)):
+        assert (token_files.unpack(image, a, b) == ids[a:b]).all()
 
 
 def test_secrets(spark, docs):
