@@ -59,15 +59,20 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that no part holds much more than `limit` bytes of one string column (a single long text stays whole)."""
-    col = batch.column(batch.schema.get_field_index(column))
-    sizes = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
+def parts(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, part): parts of a string column of not much more than `limit` bytes (a single long text stays whole)."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes) // limit
-    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(column)]
     for a, b in zip(edges, edges[1:]):
         if b > a:
-            yield batch.slice(a, b - a)
+            yield a, column.slice(a, b - a)
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut a batch as parts() cuts one of its string columns."""
+    for at, part in parts(batch.column(batch.schema.get_field_index(column)), limit):
+        yield batch.slice(at, len(part))
 
 
 def map_batches(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:

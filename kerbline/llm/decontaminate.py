@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .ngram_join import _MIX, WORDS, mixed, word_hashes
+from .words import mixed, runs_of, word_hashes
 
-PERCENT, BITS, RADIUS, RATIO, STEPS = 75, 128, 35, 1.15, 6
+WORDS, PERCENT, BITS, RADIUS, RATIO, STEPS = 5, 75, 128, 35, 1.15, 6
 ITEMS, PART = 2048, 16_000
 _BLOCKS = BITS // 16
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -34,38 +34,28 @@ _SALT = np.uint64(0x5851F42D4C957F2D)
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int16) * 2 - 1
 
 
-def sums_of(shingles: np.ndarray) -> np.ndarray:
-    """Running sums of +1 or -1 for each bit of each shingle's hash: a row more than there are shingles."""
+def sums_of(shingles: np.ndarray, kind: type = np.int16) -> np.ndarray:
+    """Running sums of +1 or -1 for each bit of each shingle's hash: a row more than there are shingles. They may wrap around:
+    only differences of rows less than half the type's range apart are used."""
     n, rows = len(shingles), 32
     wide = np.zeros((-(-n // rows) * rows, 2), np.uint64)
     wide[:n, 0], wide[:n, 1] = shingles, mixed(shingles + _SALT)
-    a = _SIGNS.take(wide.view(np.uint8), 0).reshape(-1, rows, BITS)
+    a = _SIGNS.astype(kind, copy=False).take(wide.view(np.uint8), 0).reshape(-1, rows, BITS)
     for j in range(1, rows):  # in steps over many short runs: much faster than one long running sum
         a[:, j] += a[:, j - 1]
-    a[1:] += np.cumsum(a[:-1, -1], 0, dtype=np.int16)[:, None]
-    return np.concatenate([np.zeros((1, BITS), np.int16), a.reshape(-1, BITS)[:n]])
+    a[1:] += np.cumsum(a[:-1, -1], 0, dtype=kind)[:, None]
+    return np.concatenate([np.zeros((1, BITS), kind), a.reshape(-1, BITS)[:n]])
 
 
 def fingerprints(before: np.ndarray, after: np.ndarray) -> np.ndarray:
     """BITS / 64 numbers for each pair of rows of running sums."""
-    return np.packbits((after > before).reshape(-1)).view(np.uint64).reshape(-1, BITS // 64)
+    return np.packbits((after - before > 0).reshape(-1)).view(np.uint64).reshape(-1, BITS // 64)
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(a[:, k] ^ b[:, k]) for k in range(BITS // 64))
 
 
-def run_of(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words."""
-    n = len(hashes) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out += (hashes[i : n + i] ^ np.uint64(i)) * _MIX[i]
-    return mixed(out + np.uint64(k))
-
-
 def near_values(value: int, radius: int) -> np.ndarray:
     """All 16-bit numbers within `radius` bits."""
     all_ = np.arange(1 << 16, dtype=np.uint16)
@@ -78,14 +68,18 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.classes: dict[tuple[int, int], list] = {}
         self.items = []
+        self.kind = np.int16
         for item, text in items:
-            h = word_hashes(text)
+            h = word_hashes(pa.array([text]))[0]
             if not len(h):
                 continue
             k = min(WORDS, len(h))
-            sh = run_of(h, k)
+            sh = runs_of(h, k)
             length = len(h) if len(h) <= 2 * WORDS else round(2 * WORDS * RATIO ** round(np.log(len(h) / (2 * WORDS)) / np.log(RATIO)))
-            self.classes.setdefault((length, k), []).append((len(self.items), fingerprints(sums_of(sh)[:1], sums_of(sh)[-1:])[0]))
+            sums = sums_of(sh, np.int32)
+            self.classes.setdefault((length, k), []).append((len(self.items), fingerprints(sums[:1], sums[-1:])[0]))
+            if length > 32_000:
+                self.kind = np.int32
             self.items.append((item, len(h), k, Counter(sh.tolist())))
         self.tables = {}
         for key, own in self.classes.items():
@@ -107,7 +101,7 @@ class Index:
         sums: dict[int, np.ndarray] = {}
         for (length, k), (which, prints, table) in self.tables.items():
             if k not in sums:
-                sums[k] = sums_of(run_of(hashes, k))
+                sums[k] = sums_of(runs_of(hashes, k), self.kind)
             prefix, step = sums[k], max(1, length // STEPS)
             slid = n - length + 1
             parts = []
@@ -138,7 +132,7 @@ class Index:
         for i, at, slack in self.hits(hashes, doc):
             item, length, k, weights = self.items[i]
             if k not in own:
-                own[k] = run_of(hashes, k).tolist()
+                own[k] = runs_of(hashes, k).tolist()
             d, done, seen = int(doc[at]), tried.setdefault(i, set()), own[k]
             lo, hi = int(np.searchsorted(doc, d)), int(np.searchsorted(doc, d, "right"))
             for s in range(max(lo, at - slack), max(lo, min(at + slack, hi - length)) + 1):
@@ -155,7 +149,7 @@ class Index:
         return [(d, self.items[i][0], *v) for (d, i), v in best.items()]
 
 
-def search_texts(index: Index, texts: list[str]) -> list[tuple[int, int, float, int, int]]:
+def search_texts(index: Index, texts: pa.Array) -> list[tuple[int, int, float, int, int]]:
     """As Index.search, for any texts: short ones together, long ones in overlapping parts."""
     out: dict[tuple[int, int], tuple] = {}
     held: list[tuple[int, int, np.ndarray]] = []
@@ -173,8 +167,9 @@ def search_texts(index: Index, texts: list[str]) -> list[tuple[int, int, float,
         size = 0
 
     lap = 2 * index.longest
-    for i, t in enumerate(texts):
-        h = word_hashes(t)
+    every, ends = word_hashes(texts)
+    for i in range(len(texts)):
+        h = every[ends[i] : ends[i + 1]]
         for base in range(0, len(h), PART):
             part = h[base : base + PART + lap]
             if size + len(part) > PART + lap:
@@ -219,7 +214,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
                 ids = batch.column("doc_id").to_pylist()
-                rows = [(ids[i], *rest) for i, *rest in search_texts(index, common.texts_of(batch.column("text")))]
+                rows = [(ids[i], *rest) for i, *rest in search_texts(index, batch.column("text"))]
                 types = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
                 return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[x.split()[0] for x in schema.split(", ")])
 
@@ -233,18 +228,23 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, that hold no item."""
-    for items in indexes(benchmark):
+def holds_none(items):
+    """A column function: whether a text holds no item of the group."""
 
-        def run(batches, items=items):
-            index = built(items)
-            for whole in batches:
-                for batch in common.slices(whole, "text"):
-                    found = {i for i, *_ in search_texts(index, common.texts_of(batch.column("text")))}
-                    yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
+        index, kept = built(items), np.ones(len(text), bool)
+        for at, part in common.parts(text):
+            kept[[at + i for i, *_ in search_texts(index, part)]] = False
+        return pa.array(kept)
 
-        docs = docs.mapInArrow(run, docs.schema)
+    return clean
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, that hold no item; only texts go to Python."""
+    for items in indexes(benchmark):
+        docs = docs.where(holds_none(items)("text"))
     return docs
 
 

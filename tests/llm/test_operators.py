@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,7 +235,7 @@ def test_decontaminate_at_text_start():
         text = copy + [f"z{rng.randrange(10**6)}" for _ in range(80)]
         parts = [weights(text[k : k + 51]) for k in range(len(text) - 50)]
         assert 100 * max(len(p & weights(item)) / len(p | weights(item)) for p in parts) >= 75
-        hashes = decontaminate.word_hashes(" ".join([f"y{k}" for k in range(offset)] + text))
+        hashes = decontaminate.word_hashes(pa.array([" ".join([f"y{k}" for k in range(offset)] + text)]))[0]
         doc = np.repeat([0, 1], [offset, len(text)])
         assert {(d, i) for d, i, *_ in index.search(hashes, doc)} == {(1, 1)}, (offset, copy)
 
