@@ -44,7 +44,7 @@ def statistics(raw: bytes, words: list[bytes], counts: Counter) -> list[float]:
     ]
 
 
-_buckets: dict[bytes, int] = {}
+_buckets = common.Recent(lambda word: xxhash.xxh3_64_intdigest(word) % WORDS, 1 << 16)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray, list[float]]:
@@ -52,16 +52,9 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, list[float]]:
     raw = text.encode()
     words = raw.split()
     counts = Counter(words)
-    if len(_buckets) > 500_000:
-        _buckets.clear()
-    merged: dict[int, int] = {}
-    for k, v in counts.items():
-        b = _buckets.get(k)
-        if b is None:
-            b = _buckets[k] = xxhash.xxh3_64_intdigest(k) % WORDS
-        merged[b] = merged.get(b, 0) + v
-    ids = np.fromiter(merged.keys(), np.int32, len(merged))
-    x = np.sqrt(np.fromiter(merged.values(), np.float32, len(merged)))
+    buckets, inverse = np.unique(np.fromiter(map(_buckets.__getitem__, counts), np.int32, len(counts)), return_inverse=True)
+    ids = buckets.astype(np.int32)
+    x = np.sqrt(np.bincount(inverse, np.fromiter(counts.values(), np.float64, len(counts)), len(ids))).astype(np.float32)
     return ids, x / max(1e-9, float(np.sqrt((x * x).sum()))), statistics(raw, words, counts)
 
 
@@ -167,13 +160,11 @@ def op5_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Machine, cut: float = CUT) -> DataFrame:
-    """The rows of `docs`, all columns, whose text scores at least `cut`."""
+    """The rows of `docs`, all columns, whose text scores at least `cut`; only texts go to Python."""
 
-    def run(batches):
-        for whole in batches:
-            for batch in common.slices(whole, "text"):
-                texts = common.texts_of(batch.column("text"))
-                s = np.concatenate([model.score(texts[k : k + 64]) for k in range(0, len(texts), 64)])
-                yield batch.filter(pa.array(s >= cut))
+    @F.arrow_udf("double")
+    def scored(text: pa.Array) -> pa.Array:
+        out = [model.score(common.texts_of(part.slice(k, 64))) for _, part in common.parts(text) for k in range(0, len(part), 64)]
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(scored("text") >= cut)
