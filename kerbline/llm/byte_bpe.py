@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from . import common
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pre-tokens remembered by a task; the memory is emptied when full.
-REMEMBERED = 1_000_000
+#: Pre-tokens in each of the two generations that a worker remembers.
+REMEMBERED = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -91,23 +91,21 @@ def merge(piece: bytes, rank: dict[bytes, int]) -> list[int]:
     return ids
 
 
-class Pieces(dict):
-    """Pre-token to the int32 bytes of its ids; what is missing goes through the two tiers."""
+class Pieces(common.Recent):
+    """Pre-token to the int32 bytes of its ids, the last ones remembered; what is missing goes through the two tiers."""
 
     def __init__(self, rank: dict[bytes, int]):
-        super().__init__()
+        super().__init__(self.tiers, REMEMBERED)
         self.rank, keys = rank, list(rank)
         self.hash, self.ids = PerfectHash(keys), [rank[k] for k in keys]
 
-    def __missing__(self, piece: str) -> bytes:
+    def tiers(self, piece: str) -> bytes:
         raw = piece.encode()
         i = self.hash.find(raw)
-        got = array("i", (self.ids[i],) if i >= 0 else merge(raw, self.rank)).tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(raw) < 100:
-            self[piece] = got
-        return got
+        return array("i", (self.ids[i],) if i >= 0 else merge(raw, self.rank)).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        return super().__missing__(piece) if len(piece) < 100 else self.tiers(piece)
 
 
 class Codec:
