@@ -24,7 +24,7 @@ from . import common
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens in each of the two generations that a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -59,7 +59,7 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def parts(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, pa.Array]]:
+def parts(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, pa.Array]]:
     """(first row, part): parts of a string column of not much more than `limit` bytes (a single long text stays whole)."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes) // limit
@@ -69,7 +69,7 @@ def parts(column: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, pa.Arra
             yield a, column.slice(a, b - a)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch as parts() cuts one of its string columns."""
     for at, part in parts(batch.column(batch.schema.get_field_index(column)), limit):
         yield batch.slice(at, len(part))
