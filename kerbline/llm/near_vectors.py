@@ -6,9 +6,10 @@ joined recursively, four parts at a time, and pairs of intervals whose bounds li
 that qualifies is lost. Inside a pair of blocks the recursion goes on down to LEAF rows. A block pair gives partial link counts and a
 forest of links, never all pairs.
 
-Equal vectors are one class from the start. Vectors that are null, empty, zero, of another length than most, or hold null or
-non-finite components are linked with nothing. Repeated rows count as vectors; null ids take part but name no component; an empty
-table gives an empty table; other columns are not read.
+Equal vectors are one class from the start, named by the hash of their components. Vectors that are null, empty, zero, or hold null
+or non-finite components are linked with nothing; those of each length are joined among themselves. Repeated rows count as vectors,
+and so do different vectors under one id; null ids take part but name no component; an empty table gives an empty table; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -91,15 +92,30 @@ class Blocks:
 
 def join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    spark = vectors.sparkSession
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    sizes = rows.where("size(e) > 0").groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dims = sizes[0]["d"] if sizes else 1
-    good = F.coalesce(
-        (F.size("e") == dims) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0), F.lit(False)
-    )
-    rows = common.written(rows.select("vec_id", good.alias("good"), F.when(good, F.col("e")).alias("e")), "vectors")
-    classes = rows.where("good").groupBy("e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"))
+    rows = vectors.select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("e"))  # no negative zero
+    good = F.coalesce((F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0), F.lit(False))
+    rows = common.written(rows.select("vec_id", good.alias("good"), F.when(good, F.col("e")).alias("e")).withColumn("rep", F.xxhash64("e")), "vectors")
+    classes = rows.where("good").groupBy("e").agg(F.min("vec_id").alias("least"), F.count("*").alias("m")).withColumn("rep", F.xxhash64("e"))
+    lengths = [r[0] for r in rows.where("good").select(F.size("e")).distinct().collect()]
+    links = None
+    for dims in sorted(lengths):
+        own = links_of(classes.where(F.size("e") == dims).select("rep", "m", "e"), dims, cosine)
+        links = own if links is None else links.union(own)
+    if links is None:
+        links = vectors.sparkSession.createDataFrame([], "a bigint, b bigint, n bigint")
+    counts = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
+    roots = components(links.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "root")
+    named = common.written(classes.select("rep", "m", "least").join(counts, "rep", "left").join(roots, "rep", "left").select("rep", "least", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "named")
+    least = common.written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    named = common.written(named.select("rep", "n_links", "root").join(least, "root").select("rep", "n_links", "component_id"), "named")
+    linked = rows.where("good").join(named, "rep").select("vec_id", "n_links", "component_id")
+    alone = rows.where("not good").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+def links_of(classes: DataFrame, dims: int, cosine: float) -> DataFrame:
+    """(a, b, n): counts n of links of class a (b is null), and a forest of links (a, b), among distinct vectors of one length."""
+    spark = classes.sparkSession
 
     def unit(batches):
         for batch in batches:
@@ -108,7 +124,7 @@ def join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
             v = v / np.sqrt((v * v).sum(1, keepdims=True))
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("m"), pa.array(list(v), pa.list_(pa.float64()))], names=["rep", "m", "u"])
 
-    units = common.written(classes.where("rep is not null").select("rep", "m", "e").mapInArrow(unit, "rep bigint, m bigint, u array<double>"), "units")
+    units = common.written(classes.mapInArrow(unit, "rep bigint, m bigint, u array<double>"), "units")
     k = min(BOUNDS, dims)
     axes = principal_axes(units, dims, k)
     eps = float(np.sqrt(2 - 2 * cosine))
@@ -190,13 +206,7 @@ def join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                 c = pa.array([*n[n > 0].tolist(), *[0] * len(work.forest)], pa.int64())
                 yield pa.RecordBatch.from_arrays([a, b, c], names=["a", "b", "n"])
 
-    found = common.written(sent.mapInArrow(compare, "a bigint, b bigint, n bigint"), "found")
-    counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    roots = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "root")
-    named = classes.join(counts, "rep", "left").join(roots, "rep", "left").select("e", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    linked = rows.where("good").join(named, "e").select("vec_id", "n_links", "component_id")
-    alone = rows.where("not good").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return common.written(sent.mapInArrow(compare, "a bigint, b bigint, n bigint"), "found")
 
 
 def block_pairs(blocks: DataFrame, n: int, far: float) -> DataFrame:

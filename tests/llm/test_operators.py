@@ -177,6 +177,15 @@ def test_ngram_join(spark, docs):
     assert ngram_join.join(docs.limit(0)).count() == 0
 
 
+def test_ngram_join_null_ids(spark):
+    w = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(w)), (None, " ".join(w[:3] + ["x"] + w[4:])), (2, " ".join(w[:3] + ["x"] + w[4:57] + ["y"] + w[58:])), (9, " ".join(w[:20])), (9, "another text under this id"), (None, "alone here with no id"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((str(r[0]), r[1], r[2]) for r in ngram_join.join(docs).collect())
+    assert got == sorted([("1", 56, 1), ("None", 56, 1), ("2", 56, 1), ("9", 16, 9), ("9", 1, 9), ("None", 1, None), ("None", 0, None)])
+    assert sorted(str(r[0]) for r in ngram_join.keep_one(docs.union(docs)).collect()) == ["1", "9", "9", "None", "None"]
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in components.components(links).collect()}
@@ -214,6 +223,14 @@ def test_near_vectors(spark):
         assert got[i] == (len(links.get(i, ())), min(seen), min(seen) == i)
 
 
+def test_near_vectors_ids_and_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (None, [1.0, 0.4]), (2, [1.0, 0.85]), (3, [0.0, -1.0]), (3, [-1.0, -0.1]), (4, [0.0, -1.0]), (5, [1.0, 2.0, 3.0]), (6, [1.0, 2.0, 3.01]), (7, [0.0, -0.0]), (None, None)]
+    vecs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("e", F.lit(1))
+    got = sorted((str(r[0]), *tuple(r)[1:]) for r in near_vectors.join(vecs).collect())
+    assert got == sorted([("1", 1, 1, True), ("None", 2, 1, False), ("2", 1, 1, False), ("3", 1, 3, True), ("4", 1, 3, False), ("3", 0, 3, True), ("5", 1, 5, True), ("6", 1, 5, False), ("7", 0, 7, True), ("None", 0, None, False)])
+    assert near_vectors.join(vecs.limit(0)).count() == 0
+
+
 def test_decontaminate(spark):
     item = " ".join(random.choice(WORDS) + str(k % 7) for k in range(40))
     near = " ".join(item.split()[:38])
