@@ -2,10 +2,12 @@
 
 A page is cut into leaf blocks (text between block-level tags; comments, scripts, styles and the head are no text). Each block gives a
 hashed vector of its tag path (tags, classes, ids, roles), a hashed vector of all its words, and a few lengths. The network is trained
-here: on at most SAMPLE pages of smallest hash, labelled by their semantic tags, and on pages recombined from their blocks under
-other skeletons, whose labels are known. Every page is then labelled by the network alone.
+here: on at most SAMPLE pages of smallest hash (of under 1 000 000 characters; of each the first 400 blocks, of a block's text at most
+2 000 characters), labelled by their semantic tags, and on pages recombined from their blocks under other skeletons, whose labels are
+known. Every page is then read whole and labelled by the network alone.
 
-Null and empty pages give an empty text; broken markup is read as far as it goes; pages of any length are read whole; repeated rows
+Null and empty pages give an empty text; broken markup is read as far as it goes, and a list box, object or the like that is never
+closed loses only its tag; pages of any length are read whole; repeated rows
 are read each for itself; an empty table gives an empty table (and, without a sample, the network learns from skeletons of set phrases).
 Extra columns are not read.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -29,11 +32,16 @@ from . import common
 SAMPLE = 300
 PATH, WORD, STATS, HIDDEN, EPOCHS, RATE = 96, 32, 6, 20, 16, 0.01
 SIZE = PATH + WORD + STATS
+#: Blocks that the network holds as vectors at once.
+PART = 8192
 
 _INLINE = set("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = set("script style noscript template textarea svg head iframe object select".split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+#: Of these, one that is never closed loses only its tag.
+_OPEN = set("noscript template svg head object select".split())
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+_ATTRIBUTES = re.compile(r"""[^<>"']*""")
 _MARK = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 
 
@@ -53,6 +61,32 @@ def marks(tag: str, rest: str) -> tuple[str, ...]:
     return (tag, *("." + w for w in re.split(r"[\s_-]+", named) if w))
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closing, name, attributes) of every tag, in one pass; comments and declarations have no name.
+
+    A quoted value may hold any sign; a tag whose quotes do not close, or with a `<` outside quotes, ends at its first `>`."""
+    at, last = 0, {c: page.rfind(c) for c in ">\"'"}
+    while (at := page.find("<", at)) >= 0 and at < last[">"]:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = end + 3 if end >= 0 else len(page)
+            yield at, end, False, "", ""
+        elif page[at + 1] in "!?":
+            end = page.find(">", at) + 1
+            yield at, end, False, "", ""
+        elif m := _NAME.match(page, at):
+            k = _ATTRIBUTES.match(page, m.end()).end()
+            while k < len(page) and page[k] in "\"'" and k < last[page[k]]:
+                k = _ATTRIBUTES.match(page, page.find(page[k], k + 1) + 1).end()
+            end = (k if k < len(page) and page[k] == ">" else page.find(">", m.end())) + 1
+            yield at, end, page[at + 1] == "/", m[1].lower(), page[m.end() : end - 1]
+        else:
+            end = at + 1
+        at = end
+    if at >= 0 and (at := page.find("<!--", at)) >= 0:  # never closed, as no `>` is left
+        yield at, len(page), False, "", ""
+
+
 def blocks_of(page: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
@@ -74,18 +108,23 @@ def blocks_of(page: str) -> list[Block]:
             held.append(said)
             linked += len(said) if links else 0
 
-    while m := _TAG.search(page, at):
-        say(page[at : m.start()])
-        at = m.end()
-        closing, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+    never: set[str] = set()
+    for start, end, closing, tag, rest in tags(page):
+        if start < at:  # inside an element that is left out
+            continue
+        say(page[at:start])
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
         if tag in _RAW and not closing and not rest.endswith("/"):
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else (at if tag == "head" else len(page))
-            if not end and tag == "head":
-                continue
+            found = None if tag in never else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+            if found:
+                at = found.end()
+            else:
+                never.add(tag)
+                if tag in _OPEN:
+                    continue
+                at = len(page)
             flush()
         elif tag in _INLINE:
             if tag == "a":
@@ -122,10 +161,11 @@ def slot(word: str, size: int) -> int:
     return got % size
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """SIZE numbers for each block of a page."""
+def vectors(page: list[Block], first: int = 0, last: int | None = None) -> np.ndarray:
+    """SIZE numbers for each block of a page, or of a part of it."""
+    blocks = page[first:last]
     x = np.zeros((len(blocks), SIZE), np.float32)
-    longest = max((len(b.text) for b in blocks), default=1)
+    longest = max((len(b.text) for b in page), default=1)
     for i, b in enumerate(blocks):
         for p in b.path:
             x[i, slot(p, PATH)] = 1
@@ -133,7 +173,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         hashed = np.fromiter((slot(w, WORD) for w in words), np.int64, len(words))
         x[i, PATH : PATH + WORD] = np.minimum(np.bincount(hashed, minlength=WORD) / max(1, len(words)), 0.2)
         n = len(b.text)
-        x[i, PATH + WORD :] = (np.log1p(n) / 6, b.linked / max(1, n), n / longest, i / len(blocks), len(words) > 12, b.text[-1] in ".!?:;\"'")
+        x[i, PATH + WORD :] = (np.log1p(n) / 6, b.linked / max(1, n), n / longest, (first + i) / len(page), len(words) > 12, b.text[-1] in ".!?:;\"'")
     return x
 
 
@@ -147,11 +187,11 @@ class Network:
         self.p |= {f"b{d}": np.concatenate([np.ones(HIDDEN), np.zeros(3 * HIDDEN)]).astype(np.float32) for d in "fb"}
         self.p |= {"o": w(2 * HIDDEN + SIZE), "ob": np.zeros(1, np.float32)}
 
-    def pass_(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool):
-        """States (time, batch, HIDDEN) of one direction; x is (time, batch, SIZE)."""
+    def pass_(self, x: np.ndarray, mask: np.ndarray, d: str, keep: bool, state: tuple | None = None):
+        """States (time, batch, HIDDEN) of one direction, what step() needs of them, and the last state; x is (time, batch, SIZE)."""
         t, n, _ = x.shape
         zx = (x.reshape(t * n, -1) @ self.p["x" + d] + self.p["b" + d]).reshape(t, n, -1)
-        h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
+        h, c = state or (np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32))
         hs, saved = np.zeros((t, n, HIDDEN), np.float32), []
         for k in range(t) if d == "f" else range(t - 1, -1, -1):
             z = zx[k] + h @ self.p["h" + d]
@@ -165,11 +205,11 @@ class Network:
                 saved.append((k, h, c, f, i, o, g, s, m))
             h, c = np.where(m, o * s, h), np.where(m, new, c)
             hs[k] = h
-        return hs, saved
+        return hs, saved, (h, c)
 
     def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
-        hf, sf = self.pass_(x, mask, "f", keep)
-        hb, sb = self.pass_(x, mask, "b", keep)
+        hf, sf, _ = self.pass_(x, mask, "f", keep)
+        hb, sb, _ = self.pass_(x, mask, "b", keep)
         every = np.concatenate([hf, hb, x], 2)
         return 1 / (1 + np.exp(-np.clip(every @ self.p["o"] + self.p["ob"], -30, 30))), every, sf, sb
 
@@ -201,17 +241,41 @@ class Network:
             self.p[k] -= (rate * (a / (1 - 0.9 ** memory["n"])) / (np.sqrt(b / (1 - 0.99 ** memory["n"])) + 1e-6)).astype(np.float32)
 
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
-        """For each page which blocks are main text."""
+        """For each page which blocks are main text; at most PART blocks, padding included, are held as vectors at once."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-        for at in range(0, len(order), 32):
-            mine = order[at : at + 32]
+        while order and len(pages[order[-1]]) > PART:
+            i = order.pop()
+            out[i] = self.label_long(pages[i])
+        at = 0
+        while at < len(order):
+            n = 1
+            while n < 32 and at + n < len(order) and (n + 1) * len(pages[order[at + n]]) <= PART:
+                n += 1
+            mine = order[at : at + n]
             x, mask = padded([vectors(pages[i]) for i in mine])
             y = self.forward(x, mask)[0] >= 0.5
             for k, i in enumerate(mine):
                 out[i] = y[: len(pages[i]), k]
+            at += n
         return out
 
+    def label_long(self, page: list[Block], part: int = 0) -> np.ndarray:
+        """As label() for one page, part by part: both directions hand their states on from part to part."""
+        part = part or PART
+        cuts = list(range(0, len(page), part))
+        states: dict[str, dict[int, np.ndarray]] = {"f": {}, "b": {}}
+        for d, places in (("f", cuts), ("b", cuts[::-1])):
+            state = None
+            for a in places:
+                x = vectors(page, a, a + part)[:, None]
+                states[d][a], _, state = self.pass_(x, np.ones(x.shape[:2], bool), d, False, state)
+        out = []
+        for a in cuts:
+            every = np.concatenate([states["f"].pop(a)[:, 0], states["b"].pop(a)[:, 0], vectors(page, a, a + part)], 1)
+            out.append(every @ self.p["o"] + self.p["ob"] >= 0)
+        return np.concatenate(out)
+
 
 def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     t = max(len(r) for r in rows)

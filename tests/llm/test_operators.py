@@ -291,3 +291,64 @@ def test_html(spark):
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("text", F.lit("clash"))
     got = {r["page_id"]: r["text"] for r in html_text.extract(pages, html_text.train(pages)).collect()}
     assert got[0] == "A &lt; B Some text boldly said, and more of it here. Next" and got[30] == "" and got[31] == "" and len(got) == 33
+
+
+def test_html_broken_and_long():
+    import time
+
+    say = lambda page: " ".join(b.text for b in html_text.blocks_of(page))
+    for tag in ("select", "object", "noscript", "svg", "template"):
+        assert say(f"<p>Intro.</p><{tag}><p>Rest</p>") == "Intro. Rest" and say(f"<p>A</p><{tag}>gone</{tag}><p>B") == "A B"
+    assert say("<p title='a > b' class=x>one</p><a href=\"x>two</a> <p>three") == "one two three" and say("a < b <!-- c") == "a < b" and say("x<!--") == "x"
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        for unit in ('<a "', "<a '>'", "<select>", "<b", "<p \"x'", "<!-- "):
+            html_text.blocks_of(unit * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * took[0] + 1  # in proportion, not squared
+    net = html_text.Network()
+    page = [html_text.Block(("div", f".c{k % 5}"), f"text {k} " * (k % 9 + 1), 0) for k in range(1000)]
+    x, mask = html_text.padded([html_text.vectors(page)])
+    want = net.forward(x, mask)[0][:, 0] >= 0.5
+    assert (net.label_long(page, 64) == want).all() and (net.label([page[:3], page, []])[1] == want).all()
+
+
+def test_html_lstm_step_by_hand():
+    net, x = html_text.Network(), np.random.default_rng(2).normal(size=(3, 1, html_text.SIZE)).astype(np.float32)
+    hs, _, _ = net.pass_(x, np.ones((3, 1), bool), "f", False)
+    n, h, c = html_text.HIDDEN, np.zeros(html_text.HIDDEN), np.zeros(html_text.HIDDEN)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for k in range(3):
+        z = [sum(float(x[k, 0, j]) * float(net.p["xf"][j, q]) for j in range(html_text.SIZE)) + sum(float(h[j]) * float(net.p["hf"][j, q]) for j in range(n)) + float(net.p["bf"][q]) for q in range(4 * n)]
+        f, i, o, g = (np.array(z[q * n : (q + 1) * n]) for q in range(4))
+        c = sig(f) * c + sig(i) * np.tanh(g)
+        h = sig(o) * np.tanh(c)
+        assert np.allclose(hs[k, 0], h, atol=1e-4)
+
+
+def test_quality_sum_of_pairs():
+    rng = np.random.default_rng(4)
+    size = quality.WORDS + quality.N_STATS * (quality.BINS + 1)
+    m = quality.Machine(np.zeros((quality.N_STATS, quality.BINS - 1)), np.zeros(quality.N_STATS), np.ones(quality.N_STATS), 0.3, rng.normal(size=size), rng.normal(size=(size, quality.RANK)))
+    ids, xs, starts = m.columns([quality.features(t) for t in ("one two two three", "")])
+    got, bounds = m.raw(ids, xs, starts)[0], [*starts.tolist(), len(ids)]
+    for r in range(2):
+        own = range(bounds[r], bounds[r + 1])
+        want = m.bias + sum(m.w[ids[a]] * xs[a] for a in own) + sum(m.v[ids[a]] @ m.v[ids[b]] * xs[a] * xs[b] for a in own for b in own if a < b)
+        assert np.isclose(got[r], want)
+
+
+def test_license_base_by_brute_force(spark, docs):
+    import re
+
+    more = ["apache license mit license, CC-BY cc by", "mit licensed", "gnu general public license gnu general public license", "MIT\x00License é mit license", "ccby cc by"]
+    every = docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(more, 100)), "doc_id bigint, text string"))
+    want = []
+    for i, t in of(every):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        at = [(k, label) for phrase, label in license_scan.PHRASES.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        want.append((str(i), len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted({x for _, x in at}))))
+    got = license_scan.scan(every).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+    key = lambda r: tuple(map(str, r))
+    assert sorted((str(r[0]), *tuple(r)[1:]) for r in got) == sorted(want, key=key) or sorted(map(key, got)) == sorted(map(key, want))
