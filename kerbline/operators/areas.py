@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kerbline.functions import geo
+from kerbline.operators import graph
 
 BUFFER, BIN = 0.0001, 0.01
 
@@ -66,3 +68,12 @@ def centers(points: DataFrame) -> DataFrame:
 def locate(points: DataFrame, places: DataFrame) -> DataFrame:
     """Each activity's place by the bucket of its centre."""
     return centers(points).withColumn("place_key", place_key(F.col("lat"), F.col("lon"))).join(places, "place_key")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows with their place (from 1) in a total order: sorted by ranges, so that no task holds them all."""
+    path = graph.saved(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sizes = path.groupBy("part").agg(F.count("*").alias("size"))
+    before = sizes.withColumn("before", F.sum("size").over(W.orderBy("part")) - F.col("size"))  # a row for each partition
+    place = F.row_number().over(W.partitionBy("part").orderBy(*order)) + F.col("before")
+    return path.join(before, "part").withColumn(name, place.cast("bigint")).drop("part", "size", "before")

@@ -38,7 +38,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     total = None
     while True:
         labels = saved(labels)
-        now = labels.agg(F.sum("label"), F.count("*")).first()
+        now = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")), F.count("*")).first()
         if tuple(now) == total:
             return labels
         total = tuple(now)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -117,23 +117,38 @@ def decode_polyline(lines: DataFrame) -> DataFrame:
     return sums.groupBy("activity_id", "seq").agg(F.max(F.when(F.col("axis") == 0, F.col("s"))).alias("lat"), F.max(F.when(F.col("axis") == 1, F.col("s"))).alias("lon"))
 
 
-def gpx(points: DataFrame) -> DataFrame:
-    """(activity_id, gpx): one document for each route, elevation left out where unknown."""
-    ele = F.coalesce(F.format_string("<ele>%.1f</ele>", "ele"), F.lit(""))
-    tag = F.concat(F.format_string('<trkpt lat="%.6f" lon="%.6f">', "lat", "lon"), F.when(F.col("ele").isNull(), "").otherwise(ele), F.lit("</trkpt>"))
+def verbatim(c: str) -> Column:
+    """A number as its shortest text, without a fraction of zero."""
+    return F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
+
+
+def gpx(points: DataFrame, name: Column | None = None) -> DataFrame:
+    """(activity_id, gpx): one document for each route, numbers verbatim, elevation left out where unknown."""
+    name = geo.xml_escape(F.lit("Course") if name is None else name)
+    ele = F.coalesce(F.concat(F.lit("<ele>"), verbatim("ele"), F.lit("</ele>")), F.lit(""))
+    tag = F.concat(F.lit('<trkpt lat="'), verbatim("lat"), F.lit('" lon="'), verbatim("lon"), F.lit('">'), ele, F.lit("</trkpt>"))
     rows = points.groupBy("activity_id").agg(F.array_sort(F.collect_list(F.struct("seq", tag.alias("t")))).alias("a"))
-    name = geo.xml_escape(F.concat(F.lit("Ride & <"), F.col("activity_id").cast("string"), F.lit(">")))
-    body = F.array_join(F.transform("a", lambda s: s["t"]), "")
-    return rows.select("activity_id", F.concat(F.lit('<?xml version="1.0"?><gpx version="1.1"><trk><name>'), name, F.lit("</name><trkseg>"), body, F.lit("</trkseg></trk></gpx>")).alias("gpx"))
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<gpx version="1.1" creator="kerbline" xmlns="http://www.topografix.com/GPX/1/1"><metadata><name>'
+    body = F.array_join(F.transform("a", lambda s: s["t"]), "\n")
+    return rows.select("activity_id", F.concat(F.lit(head), name, F.lit("</name></metadata><trk><name>"), name, F.lit("</name><trkseg>\n"), body, F.lit("\n</trkseg></trk></gpx>")).alias("gpx"))
 
 
-def tcx(legs: DataFrame) -> DataFrame:
-    """(activity_id, tcx): trackpoints with the distance so far, to two decimals."""
+def tcx(legs: DataFrame, name: Column | None = None, start: str = "2024-01-01 00:00:00") -> DataFrame:
+    """(activity_id, tcx): one course for each route; a second a point from `start`, distance so far and altitude to two decimals."""
+    name = geo.xml_escape(F.lit("Course") if name is None else name)
     w = W.partitionBy("activity_id").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    so_far = F.sum(F.coalesce("leg_m", F.lit(0.0))).over(w)
-    rows = legs.select("activity_id", "seq", F.format_string("<Trackpoint><LatitudeDegrees>%.6f</LatitudeDegrees><LongitudeDegrees>%.6f</LongitudeDegrees><DistanceMeters>%.2f</DistanceMeters></Trackpoint>", "lat", "lon", so_far).alias("t"))
-    a = rows.groupBy("activity_id").agg(F.array_sort(F.collect_list(F.struct("seq", "t"))).alias("a"))
-    return a.select("activity_id", F.concat(F.lit("<TrainingCenterDatabase><Courses><Course><Track>"), F.array_join(F.transform("a", lambda s: s["t"]), ""), F.lit("</Track></Course></Courses></TrainingCenterDatabase>")).alias("tcx"))
+    row = legs.withColumn("m", F.sum(F.coalesce("leg_m", F.lit(0.0))).over(w)).withColumn("i", F.row_number().over(W.partitionBy("activity_id").orderBy("seq")))
+    place = F.concat(F.lit("<LatitudeDegrees>"), verbatim("lat"), F.lit("</LatitudeDegrees><LongitudeDegrees>"), verbatim("lon"), F.lit("</LongitudeDegrees>"))
+    time = F.date_format(F.to_timestamp(F.lit(start)) + F.make_dt_interval(secs=F.col("i") - 1), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    point = F.concat(F.lit("<Trackpoint><Time>"), time, F.lit("</Time><Position>"), place, F.format_string("</Position><AltitudeMeters>%.2f</AltitudeMeters><DistanceMeters>%.2f</DistanceMeters></Trackpoint>", F.coalesce("ele", F.lit(0.0)), F.col("m")))
+    a = row.groupBy("activity_id").agg(F.array_sort(F.collect_list(F.struct("seq", point.alias("t"), place.alias("p")))).alias("a"), F.count("*").alias("n"), F.max("m").alias("m"))
+    lap = F.concat(
+        F.format_string("<Lap><TotalTimeSeconds>%d</TotalTimeSeconds><DistanceMeters>%.2f</DistanceMeters><BeginPosition>", "n", "m"), F.get("a", F.lit(0))["p"],
+        F.lit("</BeginPosition><EndPosition>"), F.element_at("a", -1)["p"], F.lit("</EndPosition><Intensity>Active</Intensity></Lap>"),
+    )
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<TrainingCenterDatabase xmlns="http://www.garmin.com/xmlschemas/TrainingCenterDatabase/v2"><Courses><Course><Name>'
+    track = F.array_join(F.transform("a", lambda s: s["t"]), "\n")
+    return a.select("activity_id", F.concat(F.lit(head), name, F.lit("</Name>"), lap, F.lit("<Track>\n"), track, F.lit("\n</Track></Course></Courses></TrainingCenterDatabase>")).alias("tcx"))
 
 
 def geojson(points: DataFrame) -> DataFrame:
@@ -143,10 +158,25 @@ def geojson(points: DataFrame) -> DataFrame:
     return rows.select("activity_id", F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), "coordinates").alias("geometry"))).alias("feature"))
 
 
+def write_files(documents: DataFrame, column: str, path: str) -> None:
+    """One text file for each route, in a folder of its activity_id."""
+    documents.select("activity_id", column).write.partitionBy("activity_id").text(path)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) of the track files below `path`, each read whole; file is the activity_id of its folder."""
+    return spark.read.text(path, wholetext=True).select(F.col("activity_id").cast("bigint").alias("file"), "value")
+
+
 def parse_tracks(files: DataFrame) -> DataFrame:
-    """(file, seq, lat, lon, ele) from GPX texts (file, value): track points, else route points; attributes in either order; two points at least."""
-    tags = F.regexp_extract_all("value", F.lit(r"(?s)(<trkpt\b.*?</trkpt>|<trkpt\b[^>]*/>)"), F.lit(1))
-    other = F.regexp_extract_all("value", F.lit(r"(?s)(<rtept\b.*?</rtept>|<rtept\b[^>]*/>)"), F.lit(1))
-    rows = files.select("file", F.when(F.size(tags) > 0, tags).otherwise(other).alias("tags")).where(F.size("tags") >= 2).select("file", F.posexplode("tags").alias("i", "tag"))
-    num = lambda rx: F.nullif(F.regexp_extract("tag", rx, 1), F.lit("")).try_cast("double")
-    return rows.select("file", (F.col("i") + 1).alias("seq"), num(r'\blat="([^"]*)"').alias("lat"), num(r'\blon="([^"]*)"').alias("lon"), num(r"<ele>([^<]*)</ele>").alias("ele"))
+    """(file, seq, lat, lon, ele) from GPX or TCX texts (file, value): track points, else route points, else course points; attributes
+    in either order; two points at least."""
+    found = [F.regexp_extract_all("value", F.lit(rx), F.lit(1)) for rx in (r"(?s)(<trkpt\b.*?</trkpt>|<trkpt\b[^>]*/>)", r"(?s)(<rtept\b.*?</rtept>|<rtept\b[^>]*/>)", r"(?s)(<Trackpoint\b.*?</Trackpoint>)")]
+    tags = F.when(F.size(found[0]) > 0, found[0]).when(F.size(found[1]) > 0, found[1]).otherwise(found[2])
+    rows = files.select("file", tags.alias("tags")).where(F.size("tags") >= 2).select("file", F.posexplode("tags").alias("i", "tag"))
+    one = lambda rx: F.nullif(F.regexp_extract("tag", rx, 1), F.lit("")).try_cast("double")
+    num = lambda a, b: F.coalesce(one(a), one(b))
+    return rows.select(
+        "file", (F.col("i") + 1).alias("seq"), num(r'\blat="([^"]*)"', "<LatitudeDegrees>([^<]*)<").alias("lat"),
+        num(r'\blon="([^"]*)"', "<LongitudeDegrees>([^<]*)<").alias("lon"), num("<ele>([^<]*)</ele>", "<AltitudeMeters>([^<]*)<").alias("ele"),
+    )

@@ -14,6 +14,10 @@ from kerbline.operators import areas, coverage, graph, network, routes, snapping
 from kerbline.plans.twins import CELL, bearing, hav, sql
 from kerbline.sources.domain import Domain
 
+#: Degrees that a box may span in either direction.
+MOST_SPAN = 0.5
+#: Tile sizes in degrees, the area up to which a tile is trusted whatever it holds, and elements expected in a square degree.
+TILES, TRUSTED, DENSITY = (0.02, 0.1), 0.003, 100_000
 #: Weight of a ridden street in the pairing of odd nodes.
 RIDDEN = 4.0
 
@@ -185,10 +189,16 @@ _RUNS = "SELECT way_id, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS
 query("ridden_runs", _RUNS)(lambda d: coverage.ridden_runs(ridden(d)))
 
 
-@query("overlay_union", f"WITH r AS ({_RUNS}), f AS (SELECT way_id, pos AS first_pos, pos AS last_pos, 1 AS n FROM segments WHERE way_id % 5 = 0) SELECT 'stored' AS part, * FROM r UNION ALL SELECT 'fresh', * FROM f")
-def _(d):
-    fresh = segments(d).where("way_id % 5 = 0").select("way_id", F.col("pos").alias("first_pos"), F.col("pos").alias("last_pos"), F.lit(1).cast("bigint").alias("n"))
-    return coverage.ridden_runs(ridden(d)).withColumn("part", F.lit("stored")).unionByName(fresh.withColumn("part", F.lit("fresh"))).select("part", "way_id", "first_pos", "last_pos", "n")
+_FRESH = "SELECT s.way_id, s.pos FROM segments s ANTI JOIN ridden r ON s.way_id = r.way_id AND s.pos = r.pos WHERE NOT is_avoided AND highway NOT IN ('cycleway', 'track')"
+
+
+@query("overlay_union", f"WITH r AS ({_RUNS}), f AS ({_FRESH}) SELECT 'stored' AS part, * FROM r UNION ALL SELECT 'fresh', way_id, pos, pos, 1 FROM f")
+def overlay_union(d):
+    """Runs of what is ridden, and each fresh street as a run of its own."""
+    done = graph.saved(ridden(d))
+    fresh = segments(d).where(~F.col("is_avoided") & ~F.col("highway").isin("cycleway", "track")).join(done, ["way_id", "pos"], "left_anti")
+    fresh = fresh.select("way_id", F.col("pos").alias("first_pos"), F.col("pos").alias("last_pos"), F.lit(1).cast("bigint").alias("n"))
+    return coverage.ridden_runs(done).withColumn("part", F.lit("stored")).unionByName(fresh.withColumn("part", F.lit("fresh"))).select("part", "way_id", "first_pos", "last_pos", "n")
 
 
 @query("ridden_flag_join", f"SELECT DISTINCT way_id, pos FROM (SELECT s.way_id, s.pos, s.lat1, s.lon1, s.lat2, s.lon2, p.lat, p.lon, greatest(0e0, least(1e0, coalesce(((p.lon - lon1) * (lon2 - lon1) * cos(radians(lat1)) * cos(radians(lat1)) + (p.lat - lat1) * (lat2 - lat1)) / nullif(power((lon2 - lon1) * cos(radians(lat1)), 2) + power(lat2 - lat1, 2), 0e0), 0e0))) AS t FROM segments s JOIN rides p ON p.lat BETWEEN least(lat1, lat2) - 0.0004e0 AND greatest(lat1, lat2) + 0.0004e0 AND p.lon BETWEEN least(lon1, lon2) - 0.0006e0 AND greatest(lon1, lon2) + 0.0006e0) WHERE t BETWEEN 0.05e0 AND 0.95e0 AND {hav('lat', 'lon', '(lat1 + (lat2 - lat1) * t)', '(lon1 + (lon2 - lon1) * t)')} <= 25e0")
@@ -235,13 +245,17 @@ def _(d):
     return tiles.groupBy("athlete_id").agg(F.count("*").alias("tiles")).withColumn("too_many", F.col("tiles") > 5000)
 
 
-query("filter_oversized", "SELECT activity_id FROM extents WHERE north - south <= 0.005e0 AND east - west <= 0.005e0")(lambda d: act.extents(d.points).where((F.col("north") - F.col("south") <= 0.005) & (F.col("east") - F.col("west") <= 0.005)).select("activity_id"))
+query("filter_oversized", f"SELECT activity_id FROM extents WHERE north - south <= {MOST_SPAN} AND east - west <= {MOST_SPAN}")(lambda d: act.extents(d.points).where((F.col("north") - F.col("south") <= MOST_SPAN) & (F.col("east") - F.col("west") <= MOST_SPAN)).select("activity_id"))
 
 
-@query("quality_sparse_tiles", "SELECT ty, tx, count(*) AS n, count(*) < least(500, floor(0.0004e0 * 100000 + 0.5e0)) AS suspect FROM (SELECT floor(lat1 / 0.02e0)::BIGINT AS ty, floor(lon1 / 0.02e0)::BIGINT AS tx FROM segments) GROUP BY ALL")
-def _(d):
-    tiles = segments(d).groupBy(geo.cell(F.col("lat1"), 0.02).alias("ty"), geo.cell(F.col("lon1"), 0.02).alias("tx")).agg(F.count("*").alias("n"))
-    return tiles.withColumn("suspect", F.col("n") < F.least(F.lit(500), F.floor(F.lit(0.02 * 0.02) * 100000 + 0.5)))
+@query("quality_sparse_tiles", """SELECT *, size * size > 0.003e0 AND n < least(500, floor(size * size * 100000 + 0.5e0)) AS suspect FROM (SELECT size, ty, tx, count(*) AS n
+FROM (SELECT size, floor(lat1 / size)::BIGINT AS ty, floor(lon1 / size)::BIGINT AS tx FROM segments CROSS JOIN (SELECT unnest([0.02e0, 0.1e0]) AS size)) GROUP BY ALL)""")
+def quality_sparse_tiles(d):
+    """Tiles of each size that hold too few segments; small tiles are trusted."""
+    size = F.col("size")
+    rows = segments(d).select("lat1", "lon1", F.explode(F.array(*map(F.lit, TILES))).alias("size"))
+    tiles = rows.groupBy("size", F.floor(F.col("lat1") / size).alias("ty"), F.floor(F.col("lon1") / size).alias("tx")).agg(F.count("*").alias("n"))
+    return tiles.withColumn("suspect", (size * size > TRUSTED) & (F.col("n") < F.least(F.lit(500), F.floor(size * size * DENSITY + 0.5))))
 
 
 @query("quality_bbox_covered", "WITH e AS (SELECT min(lat) AS s, min(lon) AS w, max(lat) AS n, max(lon) AS e FROM nodes) SELECT area_id, s <= south + 0.01e0 AND w <= west + 0.01e0 AND n >= north - 0.01e0 AND e >= east - 0.01e0 AS covered FROM boxes CROSS JOIN e")
@@ -275,7 +289,7 @@ def city_coverage(d: Domain) -> DataFrame:
 
 _CITY = f"WITH net AS ({_NET}), c AS (SELECT ci, cj, (ci + 0.5e0) * {CELL} AS lat, (cj + 0.5e0) * {CELL} AS lon FROM net), i AS (SELECT polygon_id, ci, cj FROM corners JOIN c ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0e0) + x1 GROUP BY ALL HAVING count(*) % 2 = 1), done AS (SELECT DISTINCT ci, cj FROM cells), k AS (SELECT polygon_id, count(*) AS total, count(d.ci) AS ridden FROM i LEFT JOIN done d USING (ci, cj) GROUP BY 1), city AS (SELECT s_suppkey AS polygon_id, coalesce(total, 0) AS total, coalesce(ridden, 0) AS ridden, round(CASE WHEN total > 0 THEN ridden * 100e0 / total ELSE 0 END, 6) AS pct FROM supplier LEFT JOIN k ON s_suppkey = polygon_id)"
 query("city_coverage", f"{_CITY} SELECT * FROM city")(city_coverage)
-query("cities_by_percent", f"{_CITY} SELECT polygon_id, least(pct, 100) AS pct, row_number() OVER (ORDER BY pct DESC, polygon_id) AS place FROM city ORDER BY place LIMIT 20")(lambda d: city_coverage(d).orderBy(F.desc("pct"), "polygon_id").limit(20).select("polygon_id", F.least("pct", F.lit(100.0)).alias("pct"), F.row_number().over(W.orderBy(F.desc("pct"), "polygon_id")).cast("bigint").alias("place")))
+query("cities_by_percent", f"{_CITY} SELECT polygon_id, least(pct, 100) AS pct, row_number() OVER (ORDER BY pct DESC, polygon_id) AS place FROM city")(lambda d: areas.numbered(city_coverage(d), [F.desc("pct"), F.col("polygon_id")], "place").select("polygon_id", F.least("pct", F.lit(100.0)).alias("pct"), "place"))
 
 # Snapshots.
 
@@ -313,7 +327,7 @@ query("route_time_estimate", "SELECT activity_id, sum(greatest(1, floor(leg_m /
 _TURN = f"SELECT *, least(abs(b1 - b2), 360 - abs(b1 - b2)) AS turn FROM (SELECT *, {bearing('lat0', 'lon0', 'lat', 'lon')} AS b1, {bearing('lat', 'lon', 'lat2', 'lon2')} AS b2 FROM legs)"
 query("uturn_density", f"SELECT activity_id, round(avg(CASE WHEN turn > 150 THEN 1e0 ELSE 0e0 END), 6) AS share FROM ({_TURN}) WHERE turn IS NOT NULL GROUP BY 1")(lambda d: routes.turn(legs(d)).where("turn is not null").groupBy("activity_id").agg(r6(F.avg((F.col("turn") > 150).cast("double")), "share")))
 query("junctions", f"SELECT activity_id, seq, round(turn, 4) AS turn FROM ({_TURN}) WHERE turn > 45")(lambda d: routes.turn(legs(d)).where("turn > 45").select("activity_id", "seq", F.round("turn", 4).alias("turn")))
-query("max_gap", f"SELECT activity_id, seq, round(m, 6) AS gap_m FROM (SELECT *, {hav('a', 'b', 'lat', 'lon')} AS m FROM (SELECT activity_id, seq, lat, lon, lag(lat) OVER (PARTITION BY activity_id ORDER BY seq) AS a, lag(lon) OVER (PARTITION BY activity_id ORDER BY seq) AS b FROM rides WHERE seq % 3 = 1)) WHERE m > 150")(lambda d: coverage.legs(rides(d).where("seq % 3 = 1")).where("leg_m > 150").select("activity_id", "seq", r6("leg_m", "gap_m")))
+query("max_gap", f"SELECT activity_id, seq, round(m, 6) AS gap_m FROM (SELECT *, {hav('a', 'b', 'lat', 'lon')} AS m FROM (SELECT activity_id, seq, lat, lon, lag(lat) OVER (PARTITION BY activity_id ORDER BY seq) AS a, lag(lon) OVER (PARTITION BY activity_id ORDER BY seq) AS b FROM rides)) WHERE m > 150")(lambda d: legs(d).where("leg_m > 150").select("activity_id", "seq", r6("leg_m", "gap_m")))
 query("collapse_duplicates", "SELECT activity_id, seq FROM legs WHERE lat0 IS NULL OR lat <> lat0 OR lon <> lon0")(lambda d: legs(d).where("lat0 is null or lat <> lat0 or lon <> lon0").select("activity_id", "seq"))
 query("construction_runs", "SELECT activity_id, construction, min(seq) AS first_seq, max(seq) AS last_seq FROM (SELECT *, sum(c) OVER (PARTITION BY activity_id ORDER BY seq) AS run FROM (SELECT *, CASE WHEN lag(construction) OVER (PARTITION BY activity_id ORDER BY seq) <> construction THEN 1 ELSE 0 END AS c FROM legs)) GROUP BY activity_id, run, construction")(lambda d: routes.runs(rides(d), "construction").select("activity_id", "construction", "first_seq", "last_seq"))
 query("computed_endpoint", "SELECT activity_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM legs WHERE seq = n")(lambda d: rides(d).groupBy("activity_id").agg(F.max_by(F.struct("lat", "lon"), "seq").alias("e")).select("activity_id", r6("e.lat", "lat"), r6("e.lon", "lon")))
@@ -330,23 +344,58 @@ def _(d):
 
 
 query("decode_polyline", "SELECT activity_id, seq, floor(lat * 1e5 + 0.5e0) / 1e5 AS lat, floor(lon * 1e5 + 0.5e0) / 1e5 AS lon FROM points")(lambda d: routes.decode_polyline(routes.encode_polyline(d.points)).select("activity_id", F.col("seq").cast("bigint").alias("seq"), "lat", "lon"))
-query("write_gpx")(lambda d: routes.gpx(rides(d)))
-query("write_tcx")(lambda d: routes.tcx(legs(d)))
-query("write_geojson")(lambda d: routes.geojson(rides(d)))
+_TRACK = "SELECT activity_id, seq, round(lat, 6) AS lat, round(lon, 6) AS lon, {ele} AS ele FROM rides"
 
 
-@query("scan_track_files", "SELECT activity_id, seq, round(lat, 6) AS lat, round(lon, 6) AS lon, ele FROM rides")
-def _(d):
-    path = graph.saved(routes.gpx(rides(d)))
-    back = routes.parse_tracks(path.select(F.col("activity_id").alias("file"), F.col("gpx").alias("value")))
+def written_tracks(d: Domain, documents: DataFrame, column: str) -> DataFrame:
+    """Write a file for each route and read the files back."""
+    path = graph.folder(d.spark, column)
+    routes.write_files(documents, column, path)
+    back = routes.parse_tracks(routes.read_files(d.spark, path))
     return back.select(F.col("file").alias("activity_id"), F.col("seq").cast("bigint").alias("seq"), r6("lat", "lat"), r6("lon", "lon"), "ele")
 
 
-@query("write_stats_payload")
-def _(d):
-    year = moving(d).groupBy("athlete_id", act.ride_year(F.col("start_date")).alias("year")).agg(F.count("*").alias("rides"), r6(F.sum("distance_m") / geo.MILE_M, "miles"))
+def course_name() -> Column:
+    return F.concat(F.lit("Ride & <"), F.col("activity_id").cast("string"), F.lit(">"))
+
+
+query("write_gpx", _TRACK.format(ele="ele"))(lambda d: written_tracks(d, routes.gpx(rides(d), course_name()), "gpx"))
+query("write_tcx", _TRACK.format(ele="coalesce(ele, 0e0)"))(lambda d: written_tracks(d, routes.tcx(legs(d), course_name()), "tcx"))
+query("scan_track_files", _TRACK.format(ele="ele"))(lambda d: written_tracks(d, routes.gpx(rides(d)), "gpx"))
+
+
+@query("write_geojson", "SELECT activity_id, seq, round(lat, 6) AS lat, round(lon, 6) AS lon, coalesce(ele, 0e0) AS ele, construction FROM rides")
+def write_geojson(d):
+    """Write features as lines of JSON and read them back."""
+    path = graph.folder(d.spark, "geojson")
+    routes.geojson(rides(d)).select(F.to_json(F.struct("activity_id", F.from_json("feature", "type string, geometry struct<type:string,coordinates:array<array<double>>>").alias("feature"))).alias("value")).write.text(path)
+    back = d.spark.read.schema("activity_id bigint, feature struct<type:string,geometry:struct<type:string,coordinates:array<array<double>>>>").json(path)
+    p = back.select("activity_id", F.posexplode("feature.geometry.coordinates").alias("i", "p"))
+    lon, lat, ele, construction = (F.get("p", F.lit(k)) for k in range(4))
+    return p.select("activity_id", (F.col("i") + 1).cast("bigint").alias("seq"), r6(lat, "lat"), r6(lon, "lon"), ele.alias("ele"), (construction == 1).alias("construction"))
+
+
+_PLACES = "SELECT DISTINCT athlete_id, 'country' AS level, country AS name FROM located UNION SELECT athlete_id, 'state', state FROM located UNION SELECT athlete_id, 'county', county FROM located UNION SELECT athlete_id, 'city', city FROM located"
+
+
+@query("write_stats_payload", f"""WITH y AS (SELECT athlete_id, start_date[1:4]::INT AS year, count(*) AS rides, round(sum(distance_m) / 1609.344e0, 6) AS miles FROM moving GROUP BY ALL),
+r AS (SELECT athlete_id, round(sum(distance_m) / 1609.344e0, 6) AS total_mi, round(max(gain_m) * 3.28084e0, 6) AS biggest_climb_ft, count(DISTINCT start_date[1:10]) AS active_days FROM moving GROUP BY 1),
+p AS (SELECT athlete_id, count(*) AS n_places, min(name) FILTER (level = 'city') AS first_city FROM ({_PLACES}) GROUP BY 1)
+SELECT athlete_id, total_mi, biggest_climb_ft, active_days, year, rides, miles, coalesce(n_places, 0) AS n_places, first_city FROM r JOIN y USING (athlete_id) LEFT JOIN p USING (athlete_id)""")
+def write_stats_payload(d):
+    """Write one document of records, rides per year and places for each athlete, and read the documents back."""
+    year = moving(d).groupBy("athlete_id", act.ride_year(F.col("start_date")).alias("year")).agg(F.count("*").alias("rides"), (F.sum("distance_m") / geo.MILE_M).alias("miles"))
     years = year.groupBy("athlete_id").agg(F.array_sort(F.collect_list(F.struct("year", "rides", "miles"))).alias("ridesPerYear"))
-    return act.records(moving(d)).join(years, "athlete_id").select("athlete_id", F.to_json(F.struct("total_mi", "longest_mi", "biggest_climb_ft", "active_days", "ridesPerYear")).alias("payload"))
+    levels = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.col(k).alias("name")) for k in ("country", "state", "county", "city")))).alias("g")
+    places = areas.locate(rides(d), d.places).select("athlete_id", levels).distinct().groupBy("athlete_id").agg(F.array_sort(F.collect_list("g")).alias("geographies"))
+    path = graph.folder(d.spark, "stats")
+    rows = act.records(moving(d)).join(years, "athlete_id").join(places, "athlete_id", "left")
+    rows.select(F.to_json(F.struct("athlete_id", "total_mi", "longest_mi", "biggest_climb_ft", "active_days", "ridesPerYear", "geographies")).alias("value")).write.text(path)
+    schema = "athlete_id bigint, total_mi double, biggest_climb_ft double, active_days bigint, ridesPerYear array<struct<year:int,rides:bigint,miles:double>>, geographies array<struct<level:string,name:string>>"
+    back = d.spark.read.schema(schema).json(path)
+    cities = F.transform(F.filter("geographies", lambda g: g["level"] == "city"), lambda g: g["name"])
+    back = back.select("athlete_id", r6("total_mi", "total_mi"), r6("biggest_climb_ft", "biggest_climb_ft"), "active_days", F.coalesce(F.size("geographies"), F.lit(0)).cast("bigint").alias("n_places"), F.array_min(cities).alias("first_city"), F.explode("ridesPerYear").alias("y"))
+    return back.select("athlete_id", "total_mi", "biggest_climb_ft", "active_days", F.col("y.year").alias("year"), F.col("y.rides").alias("rides"), r6("y.miles", "miles"), "n_places", "first_city")
 
 
 @query("scan_osm_elements", "SELECT 'node' AS type, count(*) AS n, round(sum(lat), 5) AS total FROM nodes UNION ALL SELECT 'way', count(DISTINCT way_id), count(*)::DOUBLE FROM way_nodes")
