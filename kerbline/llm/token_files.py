@@ -35,6 +35,24 @@ def widths_of(sorted_: np.ndarray, percentile: int) -> np.ndarray:
     return np.ceil(np.log2(at + 1)).astype(np.uint8)
 
 
+def to_bits(values: np.ndarray, w: int) -> np.ndarray:
+    """Rows of numbers below 2^w, w <= 16, end to end in bits, lowest first: eight numbers make w bytes."""
+    v = values.reshape(-1, 2, 4).astype(np.uint64) << (np.arange(4, dtype=np.uint64) * np.uint64(w))
+    a, b = (v[:, k, 0] | v[:, k, 1] | v[:, k, 2] | v[:, k, 3] for k in (0, 1))
+    both = np.stack([a | b << np.uint64(4 * w), b >> np.uint64(64 - 4 * w)] if w < 16 else [a, b], 1).astype("<u8")
+    return np.ascontiguousarray(both.view(np.uint8)[:, :w]).reshape(len(values), -1)
+
+
+def from_bits(raw: np.ndarray, w: int) -> np.ndarray:
+    """The rows that to_bits() packed."""
+    both = np.zeros((raw.size // w, 16), np.uint8)
+    both[:, :w] = raw.reshape(-1, w)
+    low, high = both.view("<u8").T
+    mask, step = np.uint64((1 << 4 * w) - 1), np.arange(4, dtype=np.uint64) * np.uint64(w)
+    halves = np.stack([low & mask, (low >> np.uint64(4 * w) | high << np.uint64(64 - 4 * w)) & mask] if w < 16 else [low, high], 1)
+    return (halves[:, :, None] >> step & np.uint64((1 << w) - 1)).astype(np.uint32).reshape(len(raw), -1)
+
+
 def pack(ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
     """The image of non-negative int32 ids: counts, block table (minimum, width, exceptions, start), then the blocks."""
     n = len(ids)
@@ -54,8 +72,11 @@ def pack(ids: np.ndarray, percentile: int = PERCENTILE) -> bytes:
     packed: list[bytes] = [b""] * blocks
     for w in np.unique(width):
         mine = np.flatnonzero(width == w)
-        bits = (diff[mine][:, :, None] >> np.arange(w, dtype=np.uint32) & 1).astype(np.uint8).reshape(len(mine), -1)
-        for k, row in zip(mine, np.packbits(bits, axis=1, bitorder="little")):
+        if 0 < w <= 16:
+            rows_ = to_bits(diff[mine], int(w))
+        else:
+            rows_ = np.packbits((diff[mine][:, :, None] >> np.arange(w, dtype=np.uint32) & 1).astype(np.uint8).reshape(len(mine), -1), axis=1, bitorder="little")
+        for k, row in zip(mine, rows_):
             packed[k] = row.tobytes()
     starts = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.uint32) if blocks else np.zeros(0, np.uint32)
     head = np.array([n, blocks, len(extra)], np.uint32).tobytes()
@@ -86,6 +107,9 @@ def unpack(image: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
         mine = np.flatnonzero(width == w)
         if w:
             raw = body[starts[mine].astype(np.int64)[:, None] + np.arange(int(w) * BLOCK // 8)]
+            if w <= 16:
+                diff[mine] = from_bits(raw, int(w))
+                continue
             bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(mine), BLOCK, int(w)).astype(np.uint32)
             diff[mine] = (bits << np.arange(w, dtype=np.uint32)).sum(2, dtype=np.uint32)
     diff[np.repeat(np.arange(len(low)), count), place[some]] = extra[some]
@@ -102,6 +126,7 @@ class Words(common.Recent):
 
     LETTERS = "A-Za-z" + "".join(chr(c) for c in range(0xC0, 0x17F) if c not in (0xD7, 0xF7, 0x130, 0x149))
     ODD = re.compile(rf"[^{LETTERS}!-~ \t\n\r]|<\|").search
+    ODD_ASCII = re.compile(r"[^ -~\n\t\r]|<\|").search
     #: The tokenizer's own pieces, over these characters.
     PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[!-/:-@\[-`{{-~]+").findall
     #: Bytes that the vocabulary writes as other characters: those that do not print, numbered from 256.
@@ -129,7 +154,7 @@ class Words(common.Recent):
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])] if len(cuts) == len(pieces) + 1 else [self._whole(p) for p in pieces]
 
     def cut(self, text: str) -> list[str]:
-        if not self.ODD(text):
+        if not (self.ODD_ASCII if text.isascii() else self.ODD)(text):
             return text.lower().split()
         return [p if self.ODD(p) else p.lower() for p in text.replace("\n", " ").split(" ")]
 

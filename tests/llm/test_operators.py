@@ -73,6 +73,15 @@ def test_blocks(n):
         assert (token_files.unpack(image, a, b) == ids[a:b]).all()
 
 
+@pytest.mark.parametrize("w", range(1, 17))
+def test_bits(w):
+    rows = np.random.default_rng(w).integers(0, 1 << w, (3, 512)).astype(np.uint32)
+    bits = np.packbits((rows[:, :, None] >> np.arange(w, dtype=np.uint32) & 1).astype(np.uint8).reshape(3, -1), axis=1, bitorder="little")
+    assert (token_files.to_bits(rows, w) == bits).all() and (token_files.from_bits(bits, w) == rows).all()
+    ids = np.concatenate([rows.reshape(-1), rows[0] + 70_000, [1 << 30]]).astype(np.int32)
+    assert (token_files.unpack(token_files.pack(ids)) == ids).all()
+
+
 def test_secrets(spark, docs):
     import re
 
