@@ -1,4 +1,11 @@
-"""From documents to token ids in five stages; each works on all that the one before it kept."""
+"""From documents to token ids in five stages; each works on all that the one before it kept.
+
+All stages but the last keep every column, extra ones and ones whose names clash with a stage's own included. Null texts count as
+empty. Every stage reads whole texts, however long, and gives an empty table for an empty one. Ties and repeated rows: the classifier,
+the decontamination, the secrets and the tokens treat equal rows alike and each for itself; of near duplicates, repeated rows included,
+the row of smallest id stays (then of smallest hash of the row), so that a rerun after a lost executor keeps the same rows. Texts without
+words are near duplicates of nothing and stay, equal rows of them once. Rows with a null id take part like others, after all other ids.
+"""
 
 from __future__ import annotations
 
