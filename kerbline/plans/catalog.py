@@ -404,7 +404,7 @@ def _(d):
     node = d.nodes.select(F.floor(F.col("node_id") / 500).alias("doc"), F.struct(F.lit("node").alias("type"), F.col("node_id").alias("id"), "lat", "lon", F.lit(None).cast("array<bigint>").alias("nodes")).alias("e"))
     way = d.way_nodes.groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda s: s["node_id"]).alias("nodes"))
     none = F.lit(None).cast("double")
-    way = way.select((F.col("way_id") % 7).alias("doc"), F.struct(F.lit("way").alias("type"), F.col("way_id").alias("id"), none.alias("lat"), none.alias("lon"), "nodes").alias("e"))
+    way = way.select(F.floor(F.col("way_id") / 500).alias("doc"), F.struct(F.lit("way").alias("type"), F.col("way_id").alias("id"), none.alias("lat"), none.alias("lon"), "nodes").alias("e"))
     docs = graph.saved(node.union(way).groupBy("doc").agg(F.to_json(F.struct(F.collect_list("e").alias("elements"))).alias("json")))
     schema = "elements array<struct<type:string,id:bigint,lat:double,lon:double,nodes:array<bigint>>>"
     e = docs.select(F.explode(F.from_json("json", schema)["elements"]).alias("e")).select("e.*")
