@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Recent(dict):
@@ -89,3 +90,26 @@ def map_batches(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Reco
 
 def lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+
+
+#: Keys that hold this share of all rows or more are few: so many at most.
+HEAVY = 2000
+
+
+def by_key(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """`rows` with the columns of `table` (a row for each key, met `weight` times by rows, `total` in all) beside them.
+
+    Keys met by a 2000th of all rows or more are 2000 at most, so these are broadcast, and their rows stay where they are; rows of
+    other keys are joined by a shuffle, in which no key is large. Both parts read `rows`, which should be a table.
+    """
+    heavy = F.col(weight) * HEAVY >= F.lit(total)
+    hot, cold = F.broadcast(table.where(heavy)), table.where(~heavy)
+    near = rows.join(hot, key)
+    far = rows.join(F.broadcast(table.where(heavy).select(key)), key, "left_anti").join(cold, key, how)
+    return near.unionByName(far)
+
+
+def lower_ascii(text: Column) -> Column:
+    """A-Z in lower case and nothing else; texts of ASCII alone take the quick way."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))

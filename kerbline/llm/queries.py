@@ -16,6 +16,9 @@ MODULES = {
     "op8_decontaminate": "decontaminate",
     "op9_chat_format": "chat_format",
     "op10_license_scan": "license_scan",
+    "op11_prefix_trie": "prefix_trie",
+    "op12_exact_dedup": "exact_dedup",
+    "op13_whitening": "whitening",
 }
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in MODULES.items()}
 
