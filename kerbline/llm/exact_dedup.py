@@ -23,9 +23,10 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else every partition's store takes megabytes before it holds anything
 }
-#: Bits of the table that says which texts may be hits (16 MB, whatever the input).
-BITS = 1 << 27
+#: Bits of the table that says which texts may be hits (8 MB, whatever the input).
+BITS = 1 << 26
 
 
 def sha256(text: Column) -> Column:
@@ -63,7 +64,7 @@ def state(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bits(keys: DataFrame) -> DataFrame:
-    """(bucket, bitmap): a bit for each digest, in at most 4096 bitmaps of 4 KB."""
+    """(bucket, bitmap): a bit for each digest, in at most 2048 bitmaps of 4 KB."""
     spot = F.pmod(F.xxhash64("digest"), F.lit(BITS))
     return keys.groupBy(F.bitmap_bucket_number(spot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bitmap"))
 
