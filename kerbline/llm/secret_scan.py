@@ -5,6 +5,8 @@ that a text must hold. Postings (trigram, document) are built for the trigrams t
 counting; only documents that are left are verified with the expression itself. Rules without mandatory trigrams scan all
 texts. Null and empty texts have no span; long texts are searched whole; repeated rows, and rows that share a doc_id, are each
 searched for themselves (the index can only add candidates); null ids are searched as well; an empty table gives an empty table.
+No expression repeats a group (Java does that by recursion) or looks at a run again from each of its places, so time and stack do not
+grow with the square of a long run.
 """
 
 from __future__ import annotations
@@ -46,8 +48,8 @@ RULES = [
     Rule("twilio", r"SK[0-9a-f]{32}"),
     Rule("npm", r"npm_[A-Za-z0-9]{36}"),
     Rule("pypi", r"pypi-AgE[A-Za-z0-9_-]{20,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"),
-    Rule("private_key", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("url_login", r"[a-z]{2,10}://[A-Za-z0-9._-]+:[^\x20\x09-\x0D/@:]{3,}@[A-Za-z0-9.-]+"),
     Rule("bearer", r"Bearer [A-Za-z0-9._~+/-]{20,}=*"),
 ]
@@ -138,7 +140,7 @@ def candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """(doc, kinds): the documents that satisfy a rule's trigram query, with the rules they satisfy."""
     queries = [(r.kind, n, sorted(alt)) for r in rules if (q := mandatory(r.regex)) for n, alt in enumerate(sorted(q, key=sorted))]
     vocabulary = sorted({t for _, _, alt in queries for t in alt})
-    low = docs.select(F.col("doc_id").alias("doc"), F.lower("text").alias("low"))
+    low = docs.select("doc", F.lower("text").alias("low"))
     postings = low.select(
         "doc", F.explode(F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(vocabulary))))).alias("term")
     )
@@ -190,15 +192,15 @@ def spans(text: Column, rule: Rule) -> Column:
 
 
 def scan(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """row (all columns of `docs`), doc_id, text, and for each rule an array of spans found_<kind>."""
+    """row (all columns of `docs` but text), doc_id, text, and for each rule an array of spans found_<kind>."""
     rules = rules or RULES
-    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    kinds = candidates(rows, rules)
-    joined = rows.join(kinds, F.col("doc_id").eqNullSafe(F.col("doc")), "left")
+    # Rows are known by a hash of id and text, so null ids are no large group; equal hashes only add candidates.
+    rows = docs.select(F.struct(F.lit(0).alias("-"), *(f"`{c}`" for c in docs.columns if c != "text")).alias("row"), "doc_id", "text", F.xxhash64("doc_id", "text").alias("doc"))
+    joined = rows.join(candidates(rows, rules), "doc", "left")
     empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
     def of(rule: Rule) -> Column:
-        got = spans(F.col("text"), rule)
+        got = spans(F.coalesce("text", F.lit("")), rule)
         return got if mandatory(rule.regex) is None else F.when(F.array_contains("kinds", rule.kind), got).otherwise(empty)
 
     return joined.select("row", "doc_id", "text", *(of(r).alias(f"found_{r.kind}") for r in rules))
@@ -240,12 +242,12 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: list[Rule] | None = N
 
     rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.char_length("text")))
     clean = scan(docs, rules).select("row", "text", spots.alias("spots")).select(
-        "row", F.when(F.size("spots") > 0, F.aggregate("spots", zero, cover, rest)).alias("new")
+        "row", "text", F.when(F.size("spots") > 0, F.aggregate("spots", zero, cover, rest)).alias("new")
     )
     kind = dict(docs.dtypes)
     out = []
     for c in docs.columns:
-        old = F.col("row").getField(c)
+        old = F.col("text") if c == "text" else F.col("row").getField(c)
         put = {"text": F.col("new"), "n_chars": F.char_length("new").cast(kind.get("n_chars", "bigint"))}.get(c)
         out.append((old if put is None else F.when(F.col("new").isNotNull(), put).otherwise(old)).alias(c))
     return clean.select(*out)

@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -361,3 +363,31 @@ def test_license_base_by_brute_force(spark, docs):
     got = license_scan.scan(every).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
     key = lambda r: tuple(map(str, r))
     assert sorted((str(r[0]), *tuple(r)[1:]) for r in got) == sorted(want, key=key) or sorted(map(key, got)) == sorted(map(key, want))
+
+
+def test_secrets_in_long_runs(spark):
+    """A long run for each rule, met whole and broken off, and the two that once took the stack or the square of the run."""
+    heads = {"assign": "password = ", "access": "AKIA", "hex": "", "sts": "ASIA", "github": "ghp_", "github_pat": "github_pat_", "gitlab": "glpat-", "slack": "xoxb-", "slack_hook": "hooks.slack.com/services/", "google": "AIza", "stripe": "sk_live_", "sendgrid": "SG.aaaaaaaaaaaaaaaaaaaa.", "twilio": "SK", "npm": "npm_", "pypi": "pypi-AgE", "jwt": "eyJaaaaaaaaaa.eyJaaaaaaaaaa.", "private_key": "-----BEGIN ", "url_login": "ab://cd:", "bearer": "Bearer "}
+    assert set(heads) == {r.kind for r in secret_scan.RULES}
+    n = 30_000
+    texts = ["-----BEGIN " + "A " * 3000 + "0 PRIVATE KEY-----", "-----BEGIN " + "A " * 60_000 + "PRIVATE KEY-----", "eyJ" * 40_000 + " .eyJ", "eyJ" * (n // 3) + ".eyJ" + "a" * n]
+    for kind, head in heads.items():
+        run = "A" if kind in ("access", "sts", "private_key") else "a"
+        texts += [head + run * n, (head + run * 30) * (n // (len(head) + 30)), head * (n // max(1, len(head))) + run * n + "!"]
+    texts += ["password" + " " * n, ("token" + " " * 50) * 2000, "a" * n + "://" + "b" * n + ":" + "c" * n, "http://a:bcd@e " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    began = time.time()
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.report(secret_scan.scan(docs)).collect()}
+    assert time.time() - began < 120
+    order = {r.kind: k for k, r in enumerate(secret_scan.RULES)}
+    for i, t in enumerate(texts):
+        found = [(m.start(), order[r.kind], m.end(), r.kind) for r in secret_scan.RULES for m in re.finditer(r.regex.replace("(?i)(?:", "(?i:"), t) if len(m.group(r.check[0])) >= r.check[1]]
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found)), texts[i][:60]
+    assert secret_scan.redact(docs).where("text like '%[SECRET]%'").count() == sum(bool(x) for x in got.values())
+
+
+def test_secrets_of_null_ids(spark):
+    """Rows without an id are no group, and keep a null text."""
+    docs = spark.createDataFrame([(None, "token: abcdefgh", 1), (None, None, 2), (None, "", 3), (1, "token: abcdefgh", 4)], "doc_id bigint, text string, row bigint")
+    assert sorted(r["n_assign"] for r in secret_scan.report(secret_scan.scan(docs)).collect()) == [0, 0, 1, 1]
+    assert {(r["row"], r["doc_id"], r["text"]) for r in secret_scan.redact(docs).collect()} == {(1, None, "[SECRET]"), (2, None, None), (3, None, ""), (4, 1, "[SECRET]")}
