@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kerbline.functions import geo
 
 #: What counts as cycling, and the plausible range of watts.
-CYCLING = "ride ebikeride gravelride mountainbikeride emountainbikeride velomobile".split()
+CYCLING = "ride ebikeride gravelride mountainbikeride handcycle velomobile".split()
 WATTS = (50, 600)
 MIN_DIAGONAL_M = 250
 

@@ -65,21 +65,6 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, most: float = float("in
         known = saved(known.join(frontier.select(*keys), keys, "left_anti").unionByName(frontier))
 
 
-def nearest_of(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(area_id, node_id, dist, origin): each node's nearest source, all sources in one search."""
-    adj = saved(both_ways(edges).groupBy("area_id", "u", "v").agg(F.min("w").alias("w")))
-    known = frontier = saved(sources.select("area_id", "node_id", F.lit(0.0).alias("dist"), F.col("node_id").alias("origin")))
-    keys = ["area_id", "node_id"]
-    while True:
-        step = frontier.select("area_id", F.col("node_id").alias("u"), "dist", "origin").join(adj, ["area_id", "u"]).select("area_id", F.col("v").alias("node_id"), (F.col("dist") + F.col("w")).alias("dist"), "origin")
-        best = step.groupBy(*keys).agg(F.min(F.struct("dist", "origin")).alias("b"))
-        old = known.select(*keys, F.struct("dist", "origin").alias("old"))
-        frontier = saved(best.join(old, keys, "left").where("old is null or b < old").select(*keys, "b.dist", "b.origin"))
-        if frontier.isEmpty():
-            return known
-        known = saved(known.join(frontier.select(*keys), keys, "left_anti").unionByName(frontier))
-
-
 def mutual_pairs(distances: DataFrame) -> DataFrame:
     """(area_id, u, v, dist): greedy pairing by ascending (dist, u, v), in rounds of pairs that are nearest for both."""
     left = saved(distances.where("u < v").select("area_id", "u", "v", "dist"))

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from kerbline.functions import geo
 
 #: The classes that decide results.
-ROUTABLE = "trunk trunk_link motorway_link primary primary_link secondary secondary_link tertiary tertiary_link unclassified residential living_street service cycleway track".split()
-MAJOR, TRAIL = "primary secondary tertiary primary_link secondary_link tertiary_link unclassified trunk".split(), "cycleway path footway track".split()
-GRAVEL = "gravel dirt unpaved ground grass sand compacted fine_gravel mud earth pebblestone".split()
+ROUTABLE = "trunk primary secondary tertiary unclassified residential living_street motorway_link trunk_link primary_link secondary_link tertiary_link track cycleway".split()
+MAJOR, TRAIL = "motorway trunk primary secondary motorway_link trunk_link primary_link secondary_link".split(), "path track footway cycleway".split()
+GRAVEL = "gravel dirt unpaved sand compacted fine_gravel earth ground woodchips grass mud".split()
 RAMPS = ["trunk_link", "motorway_link"]
 
 
@@ -24,9 +24,9 @@ def open_access(ways: DataFrame) -> DataFrame:
 
 
 def network_profile(ways: DataFrame, profile: str) -> DataFrame:
-    """`overlay` drops motorways; `display` drops motorways, trunks and their links."""
+    """`overlay` drops motorways; `display` drops motorways, trunks and their links. Both keep ways without a class."""
     dropped = ["motorway"] if profile == "overlay" else ["motorway", "trunk", "motorway_link", "trunk_link"]
-    return ways.where(~F.col("highway").isin(dropped))
+    return ways.where(~F.coalesce("highway", F.lit("")).isin(dropped))
 
 
 def avoided(major: bool = False, trails: bool = False, gravel: bool = False) -> Column:
@@ -46,6 +46,11 @@ def weight(length: Column, highway: Column, is_avoided: Column, avoid_highways:
     return length * F.when(highway == "trunk", trunk).when(highway.isin(RAMPS), ramp).when(is_avoided, 50.0).otherwise(1.0)
 
 
+def under_construction(construction: Column, construction_highway: Column, highway: Column) -> Column:
+    """Whether a way has either construction tag, whatever it says, or is of that class."""
+    return construction.isNotNull() | construction_highway.isNotNull() | F.coalesce(highway == "construction", F.lit(False))
+
+
 def pairs(way_nodes: DataFrame) -> DataFrame:
     """(way_id, pos, u, v) for consecutive nodes of each way."""
     w = W.partitionBy("way_id").orderBy("pos")
@@ -68,7 +73,7 @@ def build_segments(ways: DataFrame, way_nodes: DataFrame, nodes: DataFrame) -> D
         located.withColumn("length_m", length)
         .withColumn("is_avoided", avoided())
         .withColumn("weight", weight(F.col("length_m"), F.col("highway"), F.col("is_avoided")))
-        .withColumn("has_construction", F.col("construction").isNotNull() | (F.col("highway") == "construction"))
+        .withColumn("has_construction", under_construction(F.col("construction"), F.col("construction_highway"), F.col("highway")))
     )
 
 

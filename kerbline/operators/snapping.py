@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions import geo
+from kerbline.operators import search
 from kerbline.operators.graph import saved
 
 #: First cell size in degrees, and by how much it grows for points with nothing near; above FLAT the bound on what lies outside the
@@ -76,10 +77,12 @@ def nodes_within(points: DataFrame, keys: list[str], segments: DataFrame, size:
 
 
 def steps_of(drawn: DataFrame, nodes: DataFrame) -> DataFrame:
-    """route_id, k, a, b: consecutive nodes of drawn routes (route_id, k, qlat, qlon) snapped to their nearest nodes."""
-    snapped = nearest_node(drawn, ["route_id", "k"], nodes)
-    after = snapped.select("route_id", (F.col("k") - 1).alias("k"), F.col("node_id").alias("b"))
-    return snapped.select("route_id", "k", F.col("node_id").alias("a")).join(after, ["route_id", "k"])
+    """route_id, k, a, b: consecutive nodes of drawn routes (route_id, k, qlat, qlon) snapped to their nearest nodes; a step between equal points is none."""
+    near = saved(nearest_node(drawn, ["route_id", "k"], nodes))
+    snapped = near.join(drawn.select("route_id", "k", "qlat", "qlon"), ["route_id", "k"])
+    after = snapped.select("route_id", (F.col("k") - 1).alias("k"), F.col("node_id").alias("b"), F.col("qlat").alias("lat2"), F.col("qlon").alias("lon2"))
+    steps = snapped.select("route_id", "k", F.col("node_id").alias("a"), "qlat", "qlon").join(after, ["route_id", "k"])
+    return steps.where("qlat <> lat2 or qlon <> lon2").select("route_id", "k", "a", "b")
 
 
 def traversal_penalties(drawn: DataFrame, nodes: DataFrame, segments: DataFrame, ridden: DataFrame, traversed: float = 5.0, known: float = 15.0) -> DataFrame:
@@ -90,19 +93,37 @@ def traversal_penalties(drawn: DataFrame, nodes: DataFrame, segments: DataFrame,
     return hit.select("route_id", "way_id", "pos", (F.lit(traversed) * F.coalesce("r", F.lit(1.0))).alias("multiplier"))
 
 
+def vertices(nodes: DataFrame, segments: DataFrame) -> DataFrame:
+    """Nodes that a segment of the network ends at."""
+    return nodes.join(segments.select(F.explode(F.array("u", "v")).alias("node_id")).distinct(), "node_id", "left_semi")
+
+
 def required_from_route(drawn: DataFrame, nodes: DataFrame, segments: DataFrame) -> DataFrame:
-    """route_id, k, way_id, pos, how: a drawn step's segment. A step between the two ends of a segment takes it (`direct`, the smallest
-    way of parallel ones); one whose ends snap to the same node takes the segment that both drawn points lie nearest to (`same`)."""
+    """route_id, k, way_id, pos, how: the segments that the steps of drawn routes take.
+
+    A step between the two ends of a segment takes it (`direct`, avoided ones as well), another one the segments of a cheapest way
+    between its ends (`path`, by weight to a hundredth of a millimetre); a step whose ends snap to the same node takes the segment that both drawn points lie nearest to
+    (`same`). Of parallel segments the smallest way counts. Steps between equal points are passed over.
+    """
     steps = saved(steps_of(drawn, nodes))
-    s = segments.where(~F.col("is_avoided")).groupBy(F.least("u", "v").alias("p"), F.greatest("u", "v").alias("q")).agg(F.min(F.struct("way_id", "pos")).alias("s"))
-    direct = steps.where("a <> b").select("route_id", "k", F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")).join(s, ["p", "q"])
-    direct = direct.select("route_id", "k", "s.way_id", "s.pos", F.lit("direct").alias("how"))
+    s = saved(segments.groupBy(F.least("u", "v").alias("p"), F.greatest("u", "v").alias("q")).agg(F.min(F.struct("way_id", "pos")).alias("s"), F.min(F.round(F.col("weight") * 1e5)).alias("w")))
+    ends = [F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q")]
+    apart = steps.where("a <> b").select("route_id", "k", "a", "b", *ends)
+    direct = apart.join(s, ["p", "q"]).select("route_id", "k", "s.way_id", "s.pos", F.lit("direct").alias("how"))
+    # Each distinct pair of ends is searched once, whichever way it is walked, in a network that is one area.
+    gaps = saved(apart.join(s, ["p", "q"], "left_anti").select("route_id", "k", "p", "q"))
+    want = saved(gaps.select("p", "q").distinct().withColumn("r", F.monotonically_increasing_id()))
+    whole = F.lit(0).cast("bigint").alias("area_id")
+    walk = saved(search.between(s.select(whole, F.col("p").alias("u"), F.col("q").alias("v"), "w"), want.select("r", whole, F.col("p").alias("s"), F.col("q").alias("t")), delta=search.DELTA * 1e5))
+    after = walk.select("r", (F.col("k") - 1).alias("k"), F.col("node_id").alias("b"))
+    hops = walk.select("r", "k", F.col("node_id").alias("a")).join(after, ["r", "k"]).select("r", *ends).join(s, ["p", "q"]).select("r", "s.way_id", "s.pos")
+    path = gaps.join(want, ["p", "q"]).join(hops, "r").select("route_id", "k", "way_id", "pos", F.lit("path").alias("how"))
     short = steps.where("a = b").select("route_id", "k")
-    ends = short.select("route_id", F.explode(F.array("k", F.col("k") + 1)).alias("k")).distinct()
-    edge = saved(nearest_edge(drawn.join(ends, ["route_id", "k"], "left_semi"), ["route_id", "k"], segments).select("route_id", "k", "way_id", "pos"))
+    spots = short.select("route_id", F.explode(F.array("k", F.col("k") + 1)).alias("k")).distinct()
+    edge = saved(nearest_edge(drawn.join(spots, ["route_id", "k"], "left_semi"), ["route_id", "k"], segments).select("route_id", "k", "way_id", "pos"))
     after = edge.select("route_id", (F.col("k") - 1).alias("k"), "way_id", "pos")
     same = short.join(edge, ["route_id", "k"]).join(after, ["route_id", "k", "way_id", "pos"])
-    return direct.union(same.select("route_id", "k", "way_id", "pos", F.lit("same").alias("how")))
+    return direct.union(path).union(same.select("route_id", "k", "way_id", "pos", F.lit("same").alias("how")))
 
 
 def shared_run(bridges: DataFrame, paths: DataFrame) -> DataFrame:

@@ -18,8 +18,6 @@ from kerbline.sources.domain import Domain
 MOST_SPAN = 0.5
 #: Tile sizes in degrees, the area up to which a tile is trusted whatever it holds, and elements expected in a square degree.
 TILES, TRUSTED, DENSITY = (0.02, 0.1), 0.003, 100_000
-#: Weight of a ridden street in the pairing of odd nodes.
-RIDDEN = 4.0
 
 _QUERIES: dict[str, Callable[[Domain], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -85,17 +83,18 @@ def edges(d: Domain) -> DataFrame:
 
 # Network.
 
-query("filter_routable", "SELECT way_id, highway FROM ways WHERE highway <> 'motorway'")(lambda d: network.routable(d.ways).select("way_id", "highway"))
+query("filter_routable", "SELECT way_id, highway FROM ways WHERE highway NOT IN ('motorway', 'service')")(lambda d: network.routable(d.ways).select("way_id", "highway"))
 query("filter_access", "SELECT way_id FROM ways WHERE coalesce(access, '') NOT IN ('private', 'no')")(lambda d: network.open_access(d.ways).select("way_id"))
 
 
-@query("filter_network_profile", "SELECT 'overlay' AS profile, highway, count(*) AS n FROM ways WHERE highway <> 'motorway' GROUP BY ALL UNION ALL SELECT 'display', highway, count(*) FROM ways WHERE highway NOT IN ('motorway', 'trunk', 'trunk_link', 'motorway_link') GROUP BY ALL")
+@query("filter_network_profile", "SELECT 'overlay' AS profile, highway, count(*) AS n FROM ways WHERE coalesce(highway, '') <> 'motorway' GROUP BY ALL UNION ALL SELECT 'display', highway, count(*) FROM ways WHERE coalesce(highway, '') NOT IN ('motorway', 'trunk', 'trunk_link', 'motorway_link') GROUP BY ALL")
 def _(d):
     of = lambda p: network.network_profile(d.ways, p).groupBy("highway").agg(F.count("*").alias("n")).select(F.lit(p).alias("profile"), "highway", "n")
     return of("overlay").union(of("display"))
 
 
-@query("flag_avoided", "SELECT way_id, highway IN ('trunk', 'trunk_link') AS base, highway IN ('trunk', 'trunk_link', 'primary', 'secondary', 'tertiary') AS major, highway IN ('trunk', 'trunk_link', 'cycleway', 'track') AS trails, highway IN ('trunk', 'trunk_link') OR surface IN ('gravel', 'dirt') AS gravel FROM ways")
+@query("flag_avoided", """SELECT way_id, h IN ('trunk', 'trunk_link') AS base, h IN ('trunk', 'trunk_link', 'motorway', 'primary', 'secondary') AS major, h IN ('trunk', 'trunk_link', 'cycleway', 'track') AS trails,
+h IN ('trunk', 'trunk_link') OR coalesce(surface IN ('gravel', 'dirt', 'woodchips'), h = 'track') AS gravel FROM (SELECT *, coalesce(highway, '') AS h FROM ways)""")
 def _(d):
     return d.ways.select("way_id", network.avoided().alias("base"), network.avoided(major=True).alias("major"), network.avoided(trails=True).alias("trails"), network.avoided(gravel=True).alias("gravel"))
 
@@ -429,73 +428,16 @@ def node_degree(d):
 
 query("odd_nodes", "SELECT area_id, node_id FROM (SELECT area_id, unnest([u, v]) AS node_id FROM required) GROUP BY ALL HAVING count(*) % 2 = 1")(lambda d: network.node_degree(required(d)).where("degree % 2 = 1").select("area_id", "node_id"))
 
-_REACH = "WITH e AS MATERIALIZED (SELECT * FROM required), b AS (SELECT area_id, u, v FROM e UNION SELECT area_id, v, u FROM e), reach AS (SELECT area_id, u AS node_id, u AS label FROM b UNION SELECT r.area_id, b.v, r.label FROM reach r JOIN b ON r.area_id = b.area_id AND r.node_id = b.u WHERE r.label <= b.v), comp AS (SELECT area_id, node_id, min(label) AS label FROM reach GROUP BY ALL)"
-query("connected_components", f"{_REACH} SELECT area_id, node_id, label FROM comp", True)(lambda d: graph.connected_components(edges(d)).select("area_id", "node_id", "label"))
+REACH = "WITH e AS MATERIALIZED (SELECT * FROM required), b AS (SELECT area_id, u, v FROM e UNION SELECT area_id, v, u FROM e), reach AS (SELECT area_id, u AS node_id, u AS label FROM b UNION SELECT r.area_id, b.v, r.label FROM reach r JOIN b ON r.area_id = b.area_id AND r.node_id = b.u WHERE r.label <= b.v), comp AS (SELECT area_id, node_id, min(label) AS label FROM reach GROUP BY ALL)"
+query("connected_components", f"{REACH} SELECT area_id, node_id, label FROM comp", True)(lambda d: graph.connected_components(edges(d)).select("area_id", "node_id", "label"))
 
 
 def component_sizes(d: Domain) -> DataFrame:
     return graph.connected_components(edges(d)).groupBy("area_id", "label").agg(F.count("*").alias("n"))
 
 
-query("components_by_size", f"{_REACH} SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY n DESC, label) AS place FROM (SELECT area_id, label, count(*) AS n FROM comp GROUP BY ALL)", True)(lambda d: component_sizes(d).withColumn("place", F.row_number().over(W.partitionBy("area_id").orderBy(F.desc("n"), "label")).cast("bigint")))
-query("largest_component", f"{_REACH} SELECT area_id, label, n FROM (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY n DESC, label) AS k FROM (SELECT area_id, label, count(*) AS n FROM comp GROUP BY ALL)) WHERE k = 1", True)(lambda d: component_sizes(d).groupBy("area_id").agg(F.max_by(F.struct("label", "n"), F.struct("n", -F.col("label"))).alias("x")).select("area_id", "x.label", "x.n"))
-
-
-def sources(e: DataFrame) -> DataFrame:
-    return e.groupBy("area_id").agg(F.min("u").alias("node_id"))
-
-
-def paths(d: Domain) -> DataFrame:
-    e = edges(d)
-    return graph.shortest_paths(e, sources(e))
-
-
-_DIST = """WITH e AS MATERIALIZED (SELECT area_id, u, v, round(length_m) AS w FROM required), b AS (SELECT * FROM e UNION ALL SELECT area_id, v, u, w FROM e), s AS (SELECT area_id, min(u) AS node_id FROM e GROUP BY 1),
-reach AS (SELECT area_id, node_id, 0e0 AS dist, 0 AS hops FROM s UNION ALL SELECT * FROM (SELECT area_id, node_id, min(dist) AS dist, hops FROM (SELECT r.area_id, b.v AS node_id, r.dist + b.w AS dist, r.hops + 1 AS hops FROM reach r JOIN b ON r.area_id = b.area_id AND r.node_id = b.u WHERE r.hops < 36) GROUP BY area_id, node_id, hops))"""
-query("shortest_path_multi_source", f"{_DIST} SELECT area_id, node_id, min(dist) AS dist FROM reach GROUP BY ALL", True)(lambda d: paths(d).select("area_id", "node_id", "dist"))
-
-
-@query("path_edges")
-def _(d):
-    """The node sequence from each area's farthest node back to the source, by following `prev` a hop a round."""
-    p = graph.saved(paths(d))
-    now = graph.saved(p.groupBy("area_id").agg(F.max_by("node_id", F.struct("dist", "node_id")).alias("node_id")).withColumn("hop", F.lit(0)))
-    out = now
-    while not now.isEmpty():
-        now = graph.saved(now.join(p, ["area_id", "node_id"]).where("prev is not null").select("area_id", F.col("prev").alias("node_id"), (F.col("hop") + 1).alias("hop")))
-        out = out.union(now)
-    return out
-
-
-def ways_through(d: Domain) -> DataFrame:
-    """(area_id, u, v, w): all streets of the boxes, avoided ones at their weight and ridden ones at RIDDEN times it."""
-    took = segments(d).join(ridden(d).select("way_id", "pos", F.lit(RIDDEN).alias("times")), ["way_id", "pos"], "left")
-    every = took.withColumn("length_m", F.round("weight") * F.coalesce("times", F.lit(1.0)))
-    return graph.saved(areas.select_in_boxes(every, d.boxes).select("area_id", "u", "v", F.col("length_m").alias("w")))
-
-
-def odd_distances(d: Domain) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Required streets, their odd nodes, and the distances of all pairs of those over all streets of the area, however far."""
-    e = edges(d)
-    odd = graph.saved(network.node_degree(e).where("degree % 2 = 1").select("area_id", "node_id"))
-    dist = graph.shortest_paths(ways_through(d), odd).join(odd, ["area_id", "node_id"], "left_semi").where("node_id <> source")
-    return e, odd, graph.saved(dist.select("area_id", F.col("source").alias("u"), F.col("node_id").alias("v"), "dist"))
-
-
-query("distances_between")(lambda d: odd_distances(d)[2])
-query("odd_node_pairing")(lambda d: graph.mutual_pairs(odd_distances(d)[2]))
-query("closest_target")(lambda d: (lambda e: graph.nearest_of(e, sources(e).union(e.groupBy("area_id").agg(F.max("v")))))(edges(d)))
-
-
-@query("sweep_length_bounds")
-def _(d):
-    """Required length, odd nodes, a lower bound (half of the nearest-odd distances) and a greedy estimate; ways added count by their weight."""
-    e, odd, dist = odd_distances(d)
-    total = e.groupBy("area_id").agg(F.sum("w").alias("required_m"))
-    near = dist.groupBy("area_id", "u").agg(F.min("dist").alias("d")).groupBy("area_id").agg((F.sum("d") / 2).alias("half"))
-    greedy = graph.mutual_pairs(dist).groupBy("area_id").agg(F.sum("dist").alias("paired"))
-    out = total.join(odd.groupBy("area_id").agg(F.count("*").alias("n_odd")), "area_id", "left").join(near, "area_id", "left").join(greedy, "area_id", "left").na.fill(0)
-    return out.select("area_id", "required_m", "n_odd", (F.col("required_m") + F.col("half")).alias("lower_m"), (F.col("required_m") + F.col("paired")).alias("greedy_m"))
+query("components_by_size", f"{REACH} SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY n DESC, label) AS place FROM (SELECT area_id, label, count(*) AS n FROM comp GROUP BY ALL)", True)(lambda d: component_sizes(d).withColumn("place", F.row_number().over(W.partitionBy("area_id").orderBy(F.desc("n"), "label")).cast("bigint")))
+query("largest_component", f"{REACH} SELECT area_id, label, n FROM (SELECT *, row_number() OVER (PARTITION BY area_id ORDER BY n DESC, label) AS k FROM (SELECT area_id, label, count(*) AS n FROM comp GROUP BY ALL)) WHERE k = 1", True)(lambda d: component_sizes(d).groupBy("area_id").agg(F.max_by(F.struct("label", "n"), F.struct("n", -F.col("label"))).alias("x")).select("area_id", "x.label", "x.n"))
 
 
 @query("far_corner", f"SELECT area_id, arg_max(corner, m * 1000 - corner) AS corner FROM (SELECT area_id, corner, {hav('47.6e0', '(-117.4e0)', 'y', 'x')} AS m FROM (SELECT area_id, unnest([south, south, north, north]) AS y, unnest([west, east, west, east]) AS x, unnest([0, 1, 2, 3]) AS corner FROM boxes)) GROUP BY 1")

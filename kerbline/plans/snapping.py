@@ -1,4 +1,4 @@
-"""Queries of snapping, dumps and pockets; importing this module adds them to the catalog."""
+"""Queries of snapping and dumps; importing this module adds them to the catalog."""
 
 from __future__ import annotations
 
@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.functions import geo
-from kerbline.operators import areas, graph, network, routes, snapping
-from kerbline.plans.catalog import edges, legs, query, r6, required, ridden, rides, segments
+from kerbline.operators import graph, network, routes, snapping
+from kerbline.plans.catalog import legs, query, r6, required, ridden, rides, segments
 from kerbline.plans.twins import hav
 from kerbline.sources.domain import Domain
 
 _Q = "SELECT area_id, south + 0.0013e0 AS qlat, west + 0.0021e0 AS qlon FROM boxes"
-_DRAWN = "SELECT area_id AS route_id, k, south + CASE WHEN k < 5 THEN k * 0.001e0 ELSE 0.005e0 END + 0.0002e0 AS qlat, west + CASE WHEN k < 5 THEN 0e0 ELSE (k - 5) * 0.0004e0 END + 0.0002e0 AS qlon FROM boxes, range(0, 11) r(k)"
-_STEPS = f"""drawn AS ({_DRAWN}), snapped AS (SELECT route_id, k, node_id FROM (SELECT route_id, k, node_id, row_number() OVER (PARTITION BY route_id, k ORDER BY round({hav('qlat', 'qlon', 'lat', 'lon')}, 3), node_id) AS place FROM drawn CROSS JOIN nodes) WHERE place = 1),
+DRAWN = "SELECT area_id AS route_id, k, south + CASE WHEN k < 5 THEN k * 0.001e0 ELSE 0.005e0 END + 0.0002e0 AS qlat, west + CASE WHEN k < 5 THEN 0e0 ELSE (k - 5) * 0.0004e0 END + 0.0002e0 AS qlon FROM boxes, range(0, 11) r(k)"
+STEPS = f"""drawn AS ({DRAWN}), snapped AS (SELECT route_id, k, node_id FROM (SELECT route_id, k, node_id, row_number() OVER (PARTITION BY route_id, k ORDER BY round({hav('qlat', 'qlon', 'lat', 'lon')}, 3), node_id) AS place FROM drawn CROSS JOIN vertices) WHERE place = 1),
 hops AS (SELECT x.route_id, x.k, x.node_id AS a, y.node_id AS b FROM snapped x JOIN snapped y ON x.route_id = y.route_id AND x.k + 1 = y.k)"""
 
 
-def _edge(points: str, keys: str) -> str:
+def edge_twin(points: str, keys: str) -> str:
     """Nearest segment to each point by brute force."""
     t = "greatest(0e0, least(1e0, coalesce((((qlon - lon1) * cos(radians(lat1))) * ((lon2 - lon1) * cos(radians(lat1))) + (qlat - lat1) * (lat2 - lat1)) / nullif(((lon2 - lon1) * cos(radians(lat1))) * ((lon2 - lon1) * cos(radians(lat1))) + (lat2 - lat1) * (lat2 - lat1), 0e0), 0e0)))"
     m = hav("qlat", "qlon", "y", "x")
@@ -48,9 +48,9 @@ def project_planar(d):
     return legs(d).where("lat0 is not null and lat2 is not null").select("activity_id", "seq", r6(dist, "dist"), r6(t, "t"), r6(len_m, "len_m"))
 
 
-@query("nearest_edge_join", f"SELECT area_id, way_id, pos, u, v, round(y, 6) AS lat, round(x, 6) AS lon, m FROM ({_edge(_Q, 'area_id')})")
+@query("nearest_edge_join", f"SELECT area_id, way_id, pos, u, v, round(y, 6) AS lat, round(x, 6) AS lon, m FROM ({edge_twin(_Q, 'area_id')})")
 def nearest_edge_join(d):
-    e = snapping.nearest_edge(centers(d), ["area_id"], segments(d))
+    e = snapping.nearestedge_twin(centers(d), ["area_id"], segments(d))
     return e.select("area_id", "way_id", "pos", "u", "v", r6("lat", "lat"), r6("lon", "lon"), "m")
 
 
@@ -61,18 +61,11 @@ def nodes_within_cells(d):
     return snapping.nodes_within(centers(d), ["area_id"], segments(d), 0.0005, 2)
 
 
-@query("traversal_penalty_join", f"""WITH {_STEPS} SELECT DISTINCT s.route_id, g.way_id, g.pos, CASE WHEN r.way_id IS NULL THEN 5e0 ELSE 75e0 END AS multiplier
+@query("traversal_penalty_join", f"""WITH {STEPS} SELECT DISTINCT s.route_id, g.way_id, g.pos, CASE WHEN r.way_id IS NULL THEN 5e0 ELSE 75e0 END AS multiplier
 FROM hops s JOIN segments g ON s.a <> s.b AND least(s.a, s.b) = least(g.u, g.v) AND greatest(s.a, s.b) = greatest(g.u, g.v) LEFT JOIN ridden r ON r.way_id = g.way_id AND r.pos = g.pos""")
 def traversal_penalty_join(d):
-    return snapping.traversal_penalties(drawn(d), d.nodes, segments(d), ridden(d))
-
-
-@query("required_from_route", f"""WITH {_STEPS}, edge AS ({_edge(_DRAWN, 'route_id, k')})
-SELECT route_id, k, way_id, pos, 'direct' AS how FROM (SELECT s.route_id, s.k, g.way_id, g.pos, row_number() OVER (PARTITION BY s.route_id, s.k ORDER BY g.way_id, g.pos) AS place
-FROM hops s JOIN segments g ON NOT g.is_avoided AND s.a <> s.b AND least(s.a, s.b) = least(g.u, g.v) AND greatest(s.a, s.b) = greatest(g.u, g.v)) WHERE place = 1
-UNION ALL SELECT s.route_id, s.k, x.way_id, x.pos, 'same' FROM hops s JOIN edge x ON s.route_id = x.route_id AND s.k = x.k JOIN edge y ON s.route_id = y.route_id AND s.k + 1 = y.k AND x.way_id = y.way_id AND x.pos = y.pos WHERE s.a = s.b""")
-def required_from_route(d):
-    return snapping.required_from_route(drawn(d), d.nodes, segments(d))
+    s = segments(d)
+    return snapping.traversal_penalties(drawn(d), snapping.vertices(d.nodes, s), s, ridden(d))
 
 
 @query("trim_overlap", """WITH a AS (SELECT activity_id, max(seq) OVER (PARTITION BY activity_id) - seq AS k, lat, lon FROM rides),
@@ -94,30 +87,6 @@ def natural_endpoint(d):
     return snapping.natural_endpoint(centers(d), network.node_degree(required(d)), d.nodes)
 
 
-@query("pocket_report")
-def pocket_report(d):
-    """Each component beside its area's largest: length, metres to that one over all streets, whether fresh ones alone lead there, and
-    whether a round trip of more than three times the pocket's length makes it one to skip."""
-    e = edges(d)
-    comp = graph.saved(graph.connected_components(e).select("area_id", "node_id", "label"))
-    size = comp.groupBy("area_id", "label").agg(F.count("*").alias("n"))
-    main = size.groupBy("area_id").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("label"))
-    weight = e.join(comp, (e.area_id == comp.area_id) & (e.u == comp.node_id)).groupBy(comp.area_id, comp.label).agg(F.sum("w").alias("pocket_m"))
-    heart = graph.saved(comp.join(main, ["area_id", "label"]).select("area_id", "node_id"))
-
-    def lengths(s: DataFrame) -> DataFrame:
-        return graph.saved(areas.select_in_boxes(s, d.boxes).select("area_id", "u", "v", F.round("length_m").alias("w")))
-
-    every = segments(d)
-    fresh = every.where(~F.col("is_avoided") & ~F.col("highway").isin("cycleway", "track")).join(ridden(d), ["way_id", "pos"], "left_anti")
-    far = graph.nearest_of(lengths(every), heart).select("area_id", "node_id", "dist")
-    linked = graph.nearest_of(lengths(fresh), heart).select("area_id", "node_id", F.lit(True).alias("fresh"))
-    rows = comp.join(main, ["area_id", "label"], "left_anti").join(far, ["area_id", "node_id"], "left").join(linked, ["area_id", "node_id"], "left")
-    best = rows.groupBy("area_id", "label").agg((2 * F.min("dist")).alias("detour_m"), F.coalesce(F.max("fresh"), F.lit(False)).alias("fresh_link"))
-    skip = ~F.col("fresh_link") & F.coalesce(F.col("detour_m") > 3 * F.col("pocket_m"), F.lit(True))
-    return best.join(weight, ["area_id", "label"]).select("area_id", "label", "pocket_m", "detour_m", "fresh_link", skip.alias("skip"))
-
-
 @query("scan_activities", "SELECT activity_id, sport_type, distance_m FROM activities WHERE activity_id % 10 > 1")
 def scan_activities(d):
     """Write pages of activities as JSON documents, read them back with a fixed schema and keep those with a trace."""

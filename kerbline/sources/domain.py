@@ -45,9 +45,10 @@ class Domain:
         w = F.col("way_id")
         return self.way_nodes.select("way_id").distinct().select(
             "way_id",
-            pick(HIGHWAYS, w % 10).alias("highway"),
-            pick(SURFACES, w % 4).alias("surface"),
+            F.when(w % 29 == 7, "service").when(w % 23 != 5, pick(HIGHWAYS, w % 10)).alias("highway"),
+            F.when(w % 19 == 3, "woodchips").when(w % 31 != 7, pick(SURFACES, w % 4)).alias("surface"),
             F.when(w % 11 == 0, "minor").alias("construction"),
+            F.when(w % 13 == 4, "residential").alias("construction_highway"),
             F.when(w % 17 == 0, "private").alias("access"),
         )
 
@@ -76,7 +77,7 @@ class Domain:
             F.floor(F.sum(F.floor(F.col("value") * 100 + 0.5)) / 10).cast("double").alias("distance_m"),
             F.sum(F.floor(F.col("value") + 0.5)).cast("double").alias("gain_m"),
             F.date_format(F.min("ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("start_date"),
-        ).withColumn("sport_type", F.when(a % 13 == 0, "").otherwise(pick(SPORTS, a % 6))).withColumn("type", F.when(a % 13 == 0, pick(SPORTS, a % 5)).otherwise("Workout"))
+        ).withColumn("sport_type", F.when(a % 13 == 0, "").when(a % 31 == 4, "Handcycle").when(a % 31 == 9, "EMountainBikeRide").otherwise(pick(SPORTS, a % 6))).withColumn("type", F.when(a % 13 == 0, pick(SPORTS, a % 5)).otherwise("Workout"))
 
     @cached_property
     def boxes(self) -> DataFrame:

@@ -6,11 +6,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from kerbline.plans import catalog, snapping  # noqa: F401  (snapping adds its queries to the catalog)
+from kerbline.plans import catalog, searches, snapping  # noqa: F401  (these add their queries to the catalog)
 
 DATA = "/root/testdata/sf0.001"
-ITERATIVE = {"connected_components", "components_by_size", "largest_component", "shortest_path_multi_source", "path_edges", "closest_target"}
-ITERATIVE |= {"distances_between", "odd_node_pairing", "sweep_length_bounds", "pocket_report"}
+#: Compared with plain Python elsewhere (test_pairing, test_snapping), or like another.
+ELSEWHERE = {"distances_between", "odd_node_pairing", "sweep_length_bounds", "pocket_report", "components_by_size", "shortest_path_multi_source"}
 
 
 def rows(df):
@@ -26,7 +26,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.oracle_sql() if n not in ITERATIVE])
+@pytest.mark.parametrize("name", [n for n in catalog.oracle_sql() if n not in ELSEWHERE])
 def test_twin(spark, duck, name):
     got = catalog.queries()[name](spark, DATA).toPandas()
     want = duck.execute(catalog.oracle_sql()[name]).df()

@@ -7,7 +7,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from kerbline.operators import areas, snapping
-from kerbline.plans import catalog, snapping as _more  # noqa: F401
+from kerbline.plans import catalog, searches  # noqa: F401
 from kerbline.sources.domain import Domain
 
 DATA = "/root/testdata/sf0.001"
@@ -56,7 +56,8 @@ def test_pockets(spark):
             out[r["area_id"]][r["v"]].append((r["u"], r["w"]))
         return out
 
-    need, wide, new = (links(x) for x in (catalog.required(d), areas.select_in_boxes(every, d.boxes), areas.select_in_boxes(fresh, d.boxes)))
+    dear = lambda rows: areas.select_in_boxes(rows.withColumn("length_m", F.col("weight")), d.boxes)
+    need, wide, new = (links(x) for x in (catalog.required(d), dear(every), dear(fresh)))
     want = set()
     for area, own in need.items():
         parts, left = [], set(own)
