@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from itertools import filterfalse
 
 import numpy as np
 import public_tokenizers
@@ -119,9 +120,9 @@ def unpack(image: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
 class Words(common.Recent):
     """Parts between spaces to the bytes of their ids; the tokenizer takes no token across a space.
 
-    Most parts hold only printable ASCII and Latin letters that stay as they are when normalised. Those are put in lower case and cut
-    into the tokenizer's pieces here, and only pieces not met lately go through its merges; all other parts, such as those of another
-    script or with special tokens, go through the whole tokenizer.
+    Most texts hold only printable ASCII and Latin letters that stay as they are when normalised. Those are put in lower case, and single
+    signs behind words set apart, as the tokenizer does; parts that are not remembered are cut into its pieces here, and new pieces
+    go through its merges. Other parts, such as those of another script or with special tokens, go through the whole tokenizer.
     """
 
     LETTERS = "A-Za-z" + "".join(chr(c) for c in range(0xC0, 0x17F) if c not in (0xD7, 0xF7, 0x130, 0x149))
@@ -129,6 +130,8 @@ class Words(common.Recent):
     ODD_ASCII = re.compile(r"[^ -~\n\t\r]|<\|").search
     #: The tokenizer's own pieces, over these characters.
     PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[!-/:-@\[-`{{-~]+").findall
+    #: A sign between an ASCII letter or digit and a space: a piece of its own.
+    APART = re.compile(r"([!-/:-@\[-`{-~])(?<=[a-z0-9].) ").sub
     #: Bytes that the vocabulary writes as other characters: those that do not print, numbered from 256.
     BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
@@ -141,7 +144,6 @@ class Words(common.Recent):
         words = self.one.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(words.values()) + 1, bool)  # ids that end a piece
         self.ends[[i for w, i in words.items() if w.endswith("</w>")]] = True
-        self.pieces = common.Recent(lambda piece: self._merged([piece])[0], REMEMBERED)
 
     def _whole(self, part: str) -> bytes:
         return array("i", self.one.encode(part, add_special_tokens=False).ids).tobytes()
@@ -153,42 +155,46 @@ class Words(common.Recent):
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])] if len(cuts) == len(pieces) + 1 else [self._whole(p) for p in pieces]
 
-    def cut(self, text: str) -> list[str]:
+    def cut(self, text: str) -> tuple[list[str], bool]:
+        """The text's parts, and whether none of them needs the whole tokenizer."""
         if not (self.ODD_ASCII if text.isascii() else self.ODD)(text):
-            return text.lower().split()
-        return [p if self.ODD(p) else p.lower() for p in text.replace("\n", " ").split(" ")]
+            return self.APART(r" \1 ", text.lower()).split(), True
+        return [p if self.ODD(p) else p.lower() for p in text.replace("\n", " ").split(" ")], False
 
-    def fill(self, missing: set[str]) -> None:
+    def fill(self, plain: set[str], mixed: set[str]) -> None:
         """Learn parts that are not remembered, many in one call of the tokenizer."""
-        self.room(len(missing))
-        known = missing & self.older.keys()
-        self.update((p, self.older[p]) for p in known)
-        plain, others = [], []
-        for p in missing - known:
-            (others if self.ODD(p) else plain).append(p)
+        self.room(2 * (len(plain) + len(mixed)))
+        older, others = self.older, [p for p in mixed if self.ODD(p)]
         for at in range(0, len(others), 2048):
             some = others[at : at + 2048]
             for p, e in zip(some, self.one.encode_batch_fast(some, add_special_tokens=False)):
                 self[p] = array("i", e.ids).tobytes()
-        cut = list(map(self.PIECES, plain))
-        new = {x for c in cut for x in c}.difference(self.pieces)
-        self.pieces.room(len(new))
-        new = [x for x in new if x not in self.pieces.older]
+        plain |= mixed.difference(others)
+        single, several = set(), {}
+        for p in plain:
+            if p in older:
+                self[p] = older[p]
+            elif p.isalpha():
+                single.add(p)
+            else:
+                several[p] = self.PIECES(p)
+        single.update(x for c in several.values() for x in c if x not in self and x not in older)
+        new = list(single)
         for at in range(0, len(new), 2048):
-            self.pieces.update(zip(new[at : at + 2048], self._merged(new[at : at + 2048])))
-        piece = self.pieces.__getitem__
-        for p, c in zip(plain, cut):
-            self[p] = piece(c[0]) if len(c) == 1 else b"".join(map(piece, c))
+            self.update(zip(new[at : at + 2048], self._merged(new[at : at + 2048])))
+        for p, c in several.items():
+            self[p] = b"".join(map(self.__getitem__, c))
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         last, out, at = array("i", [end]).tobytes(), [], 0
         while at < len(texts):
-            cut, seen = [], set()
-            while at < len(texts) and len(cut) < 200 and len(seen) < REMEMBERED // 4:
-                cut.append(self.cut(texts[at]))
-                seen.update(cut[-1])
+            cut, plain, mixed = [], set(), set()
+            while at < len(texts) and len(cut) < 200 and len(plain) + len(mixed) < REMEMBERED // 8:
+                parts, easy = self.cut(texts[at])
+                (plain if easy else mixed).update(filterfalse(self.__contains__, parts))
+                cut.append(parts)
                 at += 1
-            self.fill(seen.difference(self))
+            self.fill(plain, mixed)
             out += [np.frombuffer(b"".join(map(self.__getitem__, parts)) + last, np.int32) for parts in cut]
         return out
 
