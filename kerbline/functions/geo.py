@@ -35,9 +35,9 @@ def angle_diff(a: Column, b: Column) -> Column:
     return F.least(d, 360.0 - d)
 
 
-def project(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> tuple[Column, Column, Column]:
-    """t along the segment (0 to 1), and the closest point's latitude and longitude; longitudes scaled at the first end."""
-    k = F.cos(F.radians(lat1))
+def project(lat: Column, lon: Column, lat1: Column, lon1: Column, lat2: Column, lon2: Column, at: Column | None = None) -> tuple[Column, Column, Column]:
+    """t along the segment (0 to 1), and the closest point's latitude and longitude; longitudes scaled at latitude `at`, else at the first end."""
+    k = F.cos(F.radians(lat1 if at is None else at))
     dx, dy, px, py = (lon2 - lon1) * k, lat2 - lat1, (lon - lon1) * k, lat - lat1
     t = F.coalesce((px * dx + py * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))

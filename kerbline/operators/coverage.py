@@ -7,9 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kerbline.functions import geo
+from kerbline.operators.graph import saved
 
 TOLERANCE_M, COVERED_M, STRIDE_M, GRID, SPAN = 20.0, 11.0, 12.0, 0.005, 0.6
 FLAG_M, FLAG_GRID = 25.0, 0.0005
+#: Segments that a cell of the matching holds at most, and how often it is cut for that: cells of 17 m, less than the tolerance.
+MOST_SEGMENTS, DEPTH = 16, 5
+ENDS = ("lat1", "lon1", "lat2", "lon2")
 
 
 def legs(points: DataFrame) -> DataFrame:
@@ -43,21 +47,50 @@ def densified(legs_: DataFrame) -> DataFrame:
     return inner.union(legs_.where("lat2 is null").select("activity_id", "lat", "lon"))
 
 
-def segment_cells(segments: DataFrame, grid: float = GRID) -> DataFrame:
-    """Segments in the cells of their ends and middle."""
-    spots = F.explode(F.array(F.struct(F.col("lat1").alias("y"), F.col("lon1").alias("x")), F.struct(F.col("lat2").alias("y"), F.col("lon2").alias("x")), F.struct(((F.col("lat1") + F.col("lat2")) / 2).alias("y"), ((F.col("lon1") + F.col("lon2")) / 2).alias("x")))).alias("s")
-    return segments.select("way_id", "pos", "lat1", "lon1", "lat2", "lon2", spots).withColumn("ci", geo.cell(F.col("s.y"), grid)).withColumn("cj", geo.cell(F.col("s.x"), grid)).drop("s").distinct()
-
-
-def candidates(points: DataFrame, segments: DataFrame, tolerance: float = TOLERANCE_M) -> DataFrame:
-    """(way_id, pos, t, len) for points within the tolerance of a segment of their own cell: an equi-join on the cell."""
+def match_cells(segments: DataFrame, tolerance: float = TOLERANCE_M, most: int = MOST_SEGMENTS) -> DataFrame:
+    """way_id, pos, ends, level, ci, cj: the cells in which points can be near a segment, each with `most` segments at most.
+
+    A segment counts in the coarse cells of its ends and middle alone. Each of those holds the part of the segment's box, widened by the
+    tolerance, that lies in it, and is cut in four as long as it holds too many segments (as far as DEPTH levels: then they lie within the tolerance of each other).
+    """
+    pad = tolerance * 1.002 / geo.DEGREE_M
+    wide = pad / F.cos(F.radians(F.least(F.greatest(F.abs("lat1"), F.abs("lat2")) + pad, F.lit(89.9))))
+    spot = lambda y, x: F.struct(geo.cell(y, GRID).alias("i"), geo.cell(x, GRID).alias("j"))
+    spots = F.array_distinct(F.array(spot(F.col("lat1"), F.col("lon1")), spot(F.col("lat2"), F.col("lon2")), spot((F.col("lat1") + F.col("lat2")) / 2, (F.col("lon1") + F.col("lon2")) / 2)))
+    box = [(F.least("lat1", "lat2") - pad) / GRID, (F.greatest("lat1", "lat2") + pad) / GRID, (F.least("lon1", "lon2") - wide) / GRID, (F.greatest("lon1", "lon2") + wide) / GRID]
+    rows = segments.select("way_id", "pos", *ENDS, *(c.alias(n) for c, n in zip(box, ("s", "n", "w", "e"))), F.explode(spots).alias("c"))
+    now = saved(rows.select("*", F.col("c.i").alias("ci"), F.col("c.j").alias("cj")).drop("c"))
+    out = None
+    for level in range(DEPTH + 1):
+        full = now.groupBy("ci", "cj").agg(F.count("*").alias("held")).where(F.col("held") > (most if level < DEPTH else F.lit(1 << 62))).select("ci", "cj")
+        done = now.join(full, ["ci", "cj"], "left_anti").select("way_id", "pos", *ENDS, F.lit(level).alias("level"), "ci", "cj")
+        out = done if out is None else out.union(done)
+        # Halves of a cell are numbered 2 i and 2 i + 1, so a point's cell at any level is found by the same floor.
+        twice = float(2 ** (level + 1))
+        half = F.explode(F.array(F.lit(0), F.lit(1)))
+        cut = now.join(full, ["ci", "cj"], "left_semi").withColumn("a", half).withColumn("b", half).withColumn("ci", F.col("ci") * 2 + F.col("a")).withColumn("cj", F.col("cj") * 2 + F.col("b")).drop("a", "b")
+        now = saved(cut.where((F.floor(F.col("s") * twice) <= F.col("ci")) & (F.floor(F.col("n") * twice) >= F.col("ci")) & (F.floor(F.col("w") * twice) <= F.col("cj")) & (F.floor(F.col("e") * twice) >= F.col("cj"))))
+        if now.isEmpty():
+            return out
+    return out
+
+
+def candidates(points: DataFrame, segments: DataFrame, tolerance: float = TOLERANCE_M, most: int = MOST_SEGMENTS) -> DataFrame:
+    """(way_id, pos, t, len, dist) for points within the tolerance of a segment of their own coarse cell: an equi-join on cells that get finer
+    where segments are dense. A point looks only at the levels that its coarse cell has."""
+    cells = saved(match_cells(segments, tolerance, most))
+    coarse = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level")))
+    levels = cells.groupBy(coarse("ci").alias("i"), coarse("cj").alias("j")).agg(F.collect_set("level").alias("levels"))  # DEPTH + 1 at most
+    p = points.select("lat", "lon", geo.cell(F.col("lat"), GRID).alias("i"), geo.cell(F.col("lon"), GRID).alias("j")).join(levels, ["i", "j"])
+    p = p.select("lat", "lon", F.explode("levels").alias("level"))
+    fine = lambda c: F.floor(F.col(c) / GRID * F.pow(F.lit(2.0), F.col("level")))
     pad = tolerance * 1.001 / geo.DEGREE_M
-    p = points.select("lat", "lon", geo.cell(F.col("lat"), GRID).alias("ci"), geo.cell(F.col("lon"), GRID).alias("cj"), (F.lit(pad) / F.cos(F.radians("lat"))).alias("pad"))
+    p = p.select("lat", "lon", "level", fine("lat").alias("ci"), fine("lon").alias("cj"), (F.lit(pad) / F.cos(F.radians("lat"))).alias("pad"))
     lat, lon, own = F.col("lat"), F.col("lon"), F.col("pad")
     #: Far cheaper than the distance, and no pair within the tolerance fails it.
     box = lat.between(F.least("lat1", "lat2") - pad, F.greatest("lat1", "lat2") + pad) & lon.between(F.least("lon1", "lon2") - own, F.greatest("lon1", "lon2") + own)
-    d, t, n = geo.project_planar(*(F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")))
-    return p.join(segment_cells(segments), ["ci", "cj"]).where(box).select("way_id", "pos", t.alias("t"), n.alias("len"), d.alias("dist")).where(F.col("dist") <= tolerance)
+    d, t, n = geo.project_planar(*(F.col(c) for c in ("lat", "lon", *ENDS)))
+    return p.join(cells, ["level", "ci", "cj"]).where(box).select("way_id", "pos", t.alias("t"), n.alias("len"), d.alias("dist")).where(F.col("dist") <= tolerance)
 
 
 def segment_coverage(near: DataFrame) -> DataFrame:
@@ -77,12 +110,13 @@ def ridden_runs(ridden_: DataFrame) -> DataFrame:
 
 
 def ridden_flag(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """(way_id, pos) of segments with a trace point within 25 m, away from the ends; padded boxes cut into small cells."""
+    """(way_id, pos) of segments with a trace point less than 25 m away, not beside their ends; longitudes are scaled at the segment's middle.
+    Padded boxes are cut into small cells."""
     pad_lat = FLAG_M / geo.DEGREE_M
     pad_lon = F.lit(pad_lat) / F.cos(F.radians("lat1"))
     span = lambda a, b, pad: F.sequence(F.floor((F.least(a, b) - pad) / FLAG_GRID), F.floor((F.greatest(a, b) + pad) / FLAG_GRID))
-    s = segments.select("way_id", "pos", "lat1", "lon1", "lat2", "lon2", F.explode(span(F.col("lat1"), F.col("lat2"), pad_lat)).alias("ci"), pad_lon.alias("pad")).withColumn("cj", F.explode(span(F.col("lon1"), F.col("lon2"), F.col("pad"))))
+    s = segments.select("way_id", "pos", *ENDS, F.explode(span(F.col("lat1"), F.col("lat2"), pad_lat)).alias("ci"), pad_lon.alias("pad")).withColumn("cj", F.explode(span(F.col("lon1"), F.col("lon2"), F.col("pad"))))
     p = points.select("lat", "lon", geo.cell(F.col("lat"), FLAG_GRID).alias("ci"), geo.cell(F.col("lon"), FLAG_GRID).alias("cj"))
-    t, y, x = geo.project(*(F.col(c) for c in ("lat", "lon", "lat1", "lon1", "lat2", "lon2")))
+    t, y, x = geo.project(*(F.col(c) for c in ("lat", "lon", *ENDS)), at=(F.col("lat1") + F.col("lat2")) / 2)
     near = s.join(p, ["ci", "cj"]).select("way_id", "pos", t.alias("t"), geo.haversine_m(F.col("lat"), F.col("lon"), y, x).alias("d"))
-    return near.where((F.col("d") <= FLAG_M) & F.col("t").between(0.05, 0.95)).select("way_id", "pos").distinct()
+    return near.where((F.col("d") < FLAG_M) & F.col("t").between(0.05, 0.95)).select("way_id", "pos").distinct()

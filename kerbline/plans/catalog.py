@@ -200,7 +200,7 @@ def overlay_union(d):
     return coverage.ridden_runs(done).withColumn("part", F.lit("stored")).unionByName(fresh.withColumn("part", F.lit("fresh"))).select("part", "way_id", "first_pos", "last_pos", "n")
 
 
-@query("ridden_flag_join", f"SELECT DISTINCT way_id, pos FROM (SELECT s.way_id, s.pos, s.lat1, s.lon1, s.lat2, s.lon2, p.lat, p.lon, greatest(0e0, least(1e0, coalesce(((p.lon - lon1) * (lon2 - lon1) * cos(radians(lat1)) * cos(radians(lat1)) + (p.lat - lat1) * (lat2 - lat1)) / nullif(power((lon2 - lon1) * cos(radians(lat1)), 2) + power(lat2 - lat1, 2), 0e0), 0e0))) AS t FROM segments s JOIN rides p ON p.lat BETWEEN least(lat1, lat2) - 0.0004e0 AND greatest(lat1, lat2) + 0.0004e0 AND p.lon BETWEEN least(lon1, lon2) - 0.0006e0 AND greatest(lon1, lon2) + 0.0006e0) WHERE t BETWEEN 0.05e0 AND 0.95e0 AND {hav('lat', 'lon', '(lat1 + (lat2 - lat1) * t)', '(lon1 + (lon2 - lon1) * t)')} <= 25e0")
+@query("ridden_flag_join", f"SELECT DISTINCT way_id, pos FROM (SELECT s.way_id, s.pos, s.lat1, s.lon1, s.lat2, s.lon2, p.lat, p.lon, greatest(0e0, least(1e0, coalesce(((p.lon - lon1) * (lon2 - lon1) * power(cos(radians((lat1 + lat2) / 2)), 2) + (p.lat - lat1) * (lat2 - lat1)) / nullif(power((lon2 - lon1) * cos(radians((lat1 + lat2) / 2)), 2) + power(lat2 - lat1, 2), 0e0), 0e0))) AS t FROM segments s JOIN rides p ON p.lat BETWEEN least(lat1, lat2) - 0.0004e0 AND greatest(lat1, lat2) + 0.0004e0 AND p.lon BETWEEN least(lon1, lon2) - 0.0006e0 AND greatest(lon1, lon2) + 0.0006e0) WHERE t BETWEEN 0.05e0 AND 0.95e0 AND {hav('lat', 'lon', '(lat1 + (lat2 - lat1) * t)', '(lon1 + (lon2 - lon1) * t)')} < 25e0")
 def _(d):
     return coverage.ridden_flag(rides(d), segments(d))
 
