@@ -106,10 +106,8 @@ def _(d):
 
 query("flag_construction", "SELECT way_id, pos, has_construction FROM segments")(lambda d: segments(d).select("way_id", "pos", "has_construction"))
 query("build_segments", "SELECT way_id, pos, u, v, round(length_m, 6) AS length_m, highway, is_avoided, has_construction FROM segments")(lambda d: segments(d).select("way_id", "pos", "u", "v", r6("length_m", "length_m"), "highway", "is_avoided", "has_construction"))
-query("way_segments", "SELECT * FROM pairs")(lambda d: network.pairs(d.way_nodes))
 query("join_way_nodes", "SELECT way_id, pos, node_id, lat, lon FROM way_nodes JOIN nodes USING (node_id)")(lambda d: d.way_nodes.join(d.nodes, "node_id").select("way_id", "pos", "node_id", "lat", "lon"))
 query("adjacency", "SELECT way_id, pos, u, v FROM segments UNION ALL SELECT way_id, pos, v, u FROM segments")(lambda d: network.adjacency(segments(d)).select("way_id", "pos", "u", "v"))
-query("way_polyline", "SELECT way_id, count(*) AS n, round(sum(lat), 6) AS sum_lat FROM way_nodes JOIN nodes USING (node_id) GROUP BY 1 HAVING count(*) >= 2")(lambda d: network.polylines(d.way_nodes, d.nodes).select("way_id", F.size("line").cast("bigint").alias("n"), r6(F.aggregate("line", F.lit(0.0), lambda a, x: a + x["lat"]), "sum_lat")))
 query("select_whole_network", "SELECT s.way_id, s.pos FROM segments s ANTI JOIN ridden r ON s.way_id = r.way_id AND s.pos = r.pos WHERE NOT is_avoided AND u <> v")(lambda d: segments(d).where(~F.col("is_avoided") & (F.col("u") != F.col("v"))).join(ridden(d), ["way_id", "pos"], "left_anti").select("way_id", "pos"))
 query("filter_fresh_links", "SELECT s.way_id, s.pos FROM segments s ANTI JOIN ridden r ON s.way_id = r.way_id AND s.pos = r.pos WHERE NOT is_avoided AND highway NOT IN ('cycleway', 'track')")(lambda d: segments(d).where(~F.col("is_avoided") & ~F.col("highway").isin("cycleway", "track")).join(ridden(d), ["way_id", "pos"], "left_anti").select("way_id", "pos"))
 query("unridden_anti_join", "SELECT s.way_id, s.pos FROM segments s ANTI JOIN ridden r ON s.way_id = r.way_id AND s.pos = r.pos")(lambda d: segments(d).join(ridden(d), ["way_id", "pos"], "left_anti").select("way_id", "pos"))
@@ -266,7 +264,6 @@ def _(d):
 
 query("centroid", "SELECT activity_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM centers")(lambda d: areas.centers(rides(d)).select("activity_id", r6("lat", "lat"), r6("lon", "lon")))
 query("place_lookup_join", "SELECT activity_id, city, county, state, country FROM located")(lambda d: areas.locate(rides(d), d.places).select("activity_id", "city", "county", "state", "country"))
-query("load_places", "SELECT * FROM places")(lambda d: d.places)
 query("geographies", "SELECT DISTINCT athlete_id, 'country' AS level, country AS name, NULL AS parent FROM located UNION SELECT athlete_id, 'state', state, country FROM located UNION SELECT athlete_id, 'county', county, state FROM located UNION SELECT athlete_id, 'city', city, county FROM located")(
     lambda d: areas.locate(rides(d), d.places).select("athlete_id", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.col(k).alias("name"), (F.col(p) if p else F.lit(None).cast("string")).alias("parent")) for k, p in (("country", None), ("state", "country"), ("county", "state"), ("city", "county"))))).alias("g")).select("athlete_id", "g.*").distinct()
 )
@@ -276,20 +273,6 @@ query("top_cities", "SELECT athlete_id, city, n FROM (SELECT *, row_number() OVE
 )
 
 
-def city_coverage(d: Domain) -> DataFrame:
-    """Cells of each polygon's network, and how many of them were ridden."""
-    center = network_cells(d).select("ci", "cj", geo.cell_center(F.col("ci")).alias("lat"), geo.cell_center(F.col("cj")).alias("lon"))
-    inside = areas.points_in_polygons(center, d.rings, ["ci", "cj"])
-    done = coverage.cells(legs(d)).select("ci", "cj").distinct().withColumn("done", F.lit(1))
-    counts = inside.join(done, ["ci", "cj"], "left").groupBy("polygon_id").agg(F.count("*").alias("total"), F.count("done").alias("ridden"))
-    filled = d.rings.select("polygon_id").join(counts, "polygon_id", "left").na.fill(0, ["total", "ridden"])
-    return filled.withColumn("pct", F.round(F.when(F.col("total") > 0, F.col("ridden") * 100.0 / F.col("total")).otherwise(0.0), 6))
-
-
-_CITY = f"WITH net AS ({_NET}), c AS (SELECT ci, cj, (ci + 0.5e0) * {CELL} AS lat, (cj + 0.5e0) * {CELL} AS lon FROM net), i AS (SELECT polygon_id, ci, cj FROM corners JOIN c ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0e0) + x1 GROUP BY ALL HAVING count(*) % 2 = 1), done AS (SELECT DISTINCT ci, cj FROM cells), k AS (SELECT polygon_id, count(*) AS total, count(d.ci) AS ridden FROM i LEFT JOIN done d USING (ci, cj) GROUP BY 1), city AS (SELECT s_suppkey AS polygon_id, coalesce(total, 0) AS total, coalesce(ridden, 0) AS ridden, round(CASE WHEN total > 0 THEN ridden * 100e0 / total ELSE 0 END, 6) AS pct FROM supplier LEFT JOIN k ON s_suppkey = polygon_id)"
-query("city_coverage", f"{_CITY} SELECT * FROM city")(city_coverage)
-query("cities_by_percent", f"{_CITY} SELECT polygon_id, least(pct, 100) AS pct, row_number() OVER (ORDER BY pct DESC, polygon_id) AS place FROM city")(lambda d: areas.numbered(city_coverage(d), [F.desc("pct"), F.col("polygon_id")], "place").select("polygon_id", F.least("pct", F.lit(100.0)).alias("pct"), "place"))
-
 # Snapshots.
 
 _OLD = "SELECT o_custkey AS key, o_orderdate AS fetched_at, o_orderkey AS version, o_totalprice AS payload FROM orders"
@@ -309,12 +292,6 @@ query("filter_fresh", f"SELECT key, version FROM ({_OLD}) WHERE fetched_at >= TI
 query("evict_oldest", f"SELECT key, version FROM ({_OLD}) ORDER BY fetched_at DESC, version LIMIT 300")(lambda d: snapshots(d).orderBy(F.desc("fetched_at"), "version").limit(300).select("key", "version"))
 
 
-@query("merge_tiles", "SELECT node_id, tile FROM (SELECT node_id, tile, row_number() OVER (PARTITION BY node_id ORDER BY tile) AS k FROM (SELECT node_id, unnest([floor(lat / 0.005e0)::BIGINT, floor((lat + 0.001e0) / 0.005e0)::BIGINT]) AS tile FROM nodes)) WHERE k = 1")
-def _(d):
-    tiles = d.nodes.select("node_id", F.explode(F.array(geo.cell(F.col("lat"), 0.005), geo.cell(F.col("lat") + 0.001, 0.005))).alias("tile"))
-    return tiles.groupBy("node_id").agg(F.min("tile").alias("tile"))
-
-
 # Routes.
 
 query("cumulative_profile", f"SELECT activity_id, seq, floor(sum(coalesce({hav('lat0', 'lon0', 'lat', 'lon', '6371008.8e0')}, 0e0)) OVER (PARTITION BY activity_id ORDER BY seq) / 1609.344e0 * 100 + 0.5e0) / 100 AS distance_mi, floor(ele * 3.28084e0 + 0.5e0) AS elevation_ft FROM legs")(lambda d: routes.cumulative_profile(legs(d)))
@@ -397,20 +374,6 @@ def write_stats_payload(d):
     return back.select("athlete_id", "total_mi", "biggest_climb_ft", "active_days", F.col("y.year").alias("year"), F.col("y.rides").alias("rides"), r6("y.miles", "miles"), "n_places", "first_city")
 
 
-@query("scan_osm_elements", "SELECT 'node' AS type, count(*) AS n, round(sum(lat), 5) AS total FROM nodes UNION ALL SELECT 'way', count(DISTINCT way_id), count(*)::DOUBLE FROM way_nodes")
-def _(d):
-    """Write the network as element documents, read them back with a fixed schema and split them by type."""
-    node = d.nodes.select(F.floor(F.col("node_id") / 500).alias("doc"), F.struct(F.lit("node").alias("type"), F.col("node_id").alias("id"), "lat", "lon", F.lit(None).cast("array<bigint>").alias("nodes")).alias("e"))
-    way = d.way_nodes.groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda s: s["node_id"]).alias("nodes"))
-    none = F.lit(None).cast("double")
-    way = way.select(F.floor(F.col("way_id") / 500).alias("doc"), F.struct(F.lit("way").alias("type"), F.col("way_id").alias("id"), none.alias("lat"), none.alias("lon"), "nodes").alias("e"))
-    docs = graph.saved(node.union(way).groupBy("doc").agg(F.to_json(F.struct(F.collect_list("e").alias("elements"))).alias("json")))
-    schema = "elements array<struct<type:string,id:bigint,lat:double,lon:double,nodes:array<bigint>>>"
-    e = docs.select(F.explode(F.from_json("json", schema)["elements"]).alias("e")).select("e.*")
-    size = F.when(F.col("type") == "way", F.size("nodes").cast("double")).otherwise(F.col("lat"))
-    return e.groupBy("type").agg(F.count("*").alias("n"), F.round(F.sum(size), 5).alias("total"))
-
-
 # Nearest neighbours and graphs.
 
 

@@ -101,22 +101,6 @@ def scan_activities(d):
     return back.where("map.summary_polyline <> ''").select(F.col("id").alias("activity_id"), "sport_type", F.col("distance").alias("distance_m"))
 
 
-@query("scan_osm_xml", "SELECT way_id, count(*) AS n, any_value(highway) AS highway, min(node_id) AS least_node FROM way_nodes JOIN ways USING (way_id) GROUP BY 1 HAVING count(*) >= 2")
-def scan_osm_xml(d):
-    """Write ways as an XML dump and read it back, cut at the end of each way so that large files split; ways of one node go."""
-    nd = F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda s: F.concat(F.lit('<nd ref="'), s["node_id"].cast("string"), F.lit('"/>')))
-    rows = d.way_nodes.groupBy("way_id").agg(F.array_join(nd, "").alias("nd")).join(d.ways, "way_id")
-    tag = F.concat(F.lit('<tag k="highway" v="'), geo.xml_escape(F.col("highway")), F.lit('"/>'))
-    path = graph.folder(d.spark, "dump")
-    rows.select(F.concat(F.lit('<way id="'), F.col("way_id").cast("string"), F.lit('">'), "nd", tag, F.lit("</way>")).alias("value")).write.text(path)
-    schema = "_id bigint, nd array<struct<_ref:bigint>>, tag array<struct<_k:string,_v:string>>"
-    element = F.concat(F.regexp_extract("value", r"(?s)(<way .*)$", 1), F.lit("</way>"))
-    parts = d.spark.read.text(path, lineSep="</way>").where(F.col("value").contains("<way "))
-    ways = parts.select(F.from_xml(element, schema).alias("x")).select("x.*")
-    tags = F.map_from_entries("tag")
-    return ways.where(F.size("nd") >= 2).select(F.col("_id").alias("way_id"), F.size("nd").cast("bigint").alias("n"), F.get(F.map_values(F.map_filter(tags, lambda k, _: k == "highway")), F.lit(0)).alias("highway"), F.array_min(F.col("nd._ref")).alias("least_node"))
-
-
 @query("load_city_polygons", """SELECT polygon_id, i - 1 AS seq, y1 AS lat, x1 AS lon FROM corners WHERE polygon_id % 3 < 2
 UNION ALL SELECT polygon_id, unnest([0, 1, 2, 3]), unnest([s, s, n, n]), unnest([w, e, e, w]) FROM (SELECT polygon_id, min(y1) AS s, max(y1) AS n, min(x1) AS w, max(x1) AS e FROM corners WHERE polygon_id % 3 = 2 GROUP BY 1)""")
 def load_city_polygons(d):

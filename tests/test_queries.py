@@ -6,7 +6,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from kerbline.plans import catalog, searches, snapping  # noqa: F401  (these add their queries to the catalog)
+from kerbline.plans import catalog, elements, searches, snapping  # noqa: F401  (these add their queries to the catalog)
 
 DATA = "/root/testdata/sf0.001"
 #: Compared with plain Python elsewhere (test_pairing, test_snapping), or like another.
