@@ -107,18 +107,36 @@ def points_in_polygons(points: DataFrame, rings: DataFrame, keys: list[str], siz
     return out.union(many.where("met % 2 = 1").select("polygon_id", *keys))
 
 
-def place_key(lat: Column, lon: Column) -> Column:
-    """Number of the place that a 5 km bucket belongs to."""
-    return F.pmod((geo.place_bucket(lat) * 7 + geo.place_bucket(lon) * 3).cast("bigint"), F.lit(25))
-
-
 def centers(points: DataFrame) -> DataFrame:
     return points.groupBy("activity_id", "athlete_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
 
 
-def locate(points: DataFrame, places: DataFrame) -> DataFrame:
-    """Each activity's place by the bucket of its centre."""
-    return centers(points).withColumn("place_key", place_key(F.col("lat"), F.col("lon"))).join(places, "place_key")
+def locate(points: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Each activity's place, by the 5 km bucket of its centre (bucket_lat, bucket_lon, place columns: a row for each bucket)."""
+    at = centers(points).withColumns({"bucket_lat": geo.place_bucket(F.col("lat")).cast("bigint"), "bucket_lon": geo.place_bucket(F.col("lon")).cast("bigint")})
+    return at.join(buckets, ["bucket_lat", "bucket_lon"])
+
+
+def union_boxes(boxes: list[DataFrame], points: list[DataFrame], pad: float = BUFFER) -> DataFrame:
+    """area_id, south, west, north, east around all boxes and points (lat, lon) of an area, and a little more."""
+    every = [b.select("area_id", "south", "west", "north", "east") for b in boxes]
+    every += [p.select("area_id", F.col("lat").alias("south"), F.col("lon").alias("west"), F.col("lat").alias("north"), F.col("lon").alias("east")) for p in points]
+    out = every[0]
+    for b in every[1:]:
+        out = out.unionByName(b)
+    return out.groupBy("area_id").agg((F.min("south") - pad).alias("south"), (F.min("west") - pad).alias("west"), (F.max("north") + pad).alias("north"), (F.max("east") + pad).alias("east"))
+
+
+def footprint(points: DataFrame, size: float = 0.02) -> DataFrame:
+    """athlete_id, y, x: tiles that an athlete's points touch."""
+    return points.select("athlete_id", geo.cell(F.col("lat"), size).alias("y"), geo.cell(F.col("lon"), size).alias("x")).distinct()
+
+
+def fetched(tiles: DataFrame, failed: DataFrame, most: int = 5000, share: float = 0.3) -> DataFrame:
+    """athlete_id, tiles, too_many, failed, incomplete: whether there are too many tiles, or more than a share of them in `failed` (y, x)."""
+    rows = tiles.join(failed.select("y", "x", F.lit(1).alias("bad")), ["y", "x"], "left")
+    out = rows.groupBy("athlete_id").agg(F.count("*").alias("tiles"), F.count("bad").alias("failed"))
+    return out.select("athlete_id", "tiles", (F.col("tiles") > most).alias("too_many"), "failed", (F.col("failed") / F.col("tiles") > share).alias("incomplete"))
 
 
 def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:

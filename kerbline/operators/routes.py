@@ -18,24 +18,48 @@ def cumulative_profile(legs: DataFrame) -> DataFrame:
     return legs.select("activity_id", "seq", geo.half_up(miles, 2).alias("distance_mi"), geo.half_up(F.col("ele") * geo.FOOT).alias("elevation_ft"))
 
 
-def downsample(legs: DataFrame) -> DataFrame:
-    """200 samples a mile, 50 to 2000 and no more than there are points, evenly by index."""
+def downsample(legs: DataFrame, per_mile: float = 200, least: int = 50, most: int = 2000) -> DataFrame:
+    """`per_mile` samples a mile, `least` to `most` and no more than there are points, evenly by index."""
     n = legs.groupBy("activity_id").agg(F.count("*").alias("len"), (F.sum("leg_m") / geo.MILE_M).alias("mi"))
-    want = F.least(F.col("len"), F.greatest(F.lit(50), F.least(F.lit(2000), F.floor(F.coalesce("mi", F.lit(0.0)) * 200 + 0.5))))
+    want = F.least(F.col("len"), F.greatest(F.lit(least), F.least(F.lit(most), F.floor(F.coalesce("mi", F.lit(0.0)) * per_mile + 0.5))))
     picks = n.select("activity_id", "len", want.cast("bigint").alias("want")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("want") - 1)))
     index = F.floor(F.col("i") * (F.col("len") - 1) / F.greatest(F.col("want") - 1, F.lit(1)) + 0.5) + 1
     return legs.join(picks.select("activity_id", index.cast("bigint").alias("seq"), "i"), ["activity_id", "seq"])
 
 
-def interpolated(legs: DataFrame) -> DataFrame:
-    """Elevation of every point, linear between the known ones, level beyond them."""
+def spread(samples: DataFrame, points: DataFrame) -> DataFrame:
+    """activity_id, seq, ele of all points (seq from 1), from evenly spread samples (i from 0, ele): vertex k lies at sample k / step, between two."""
+    count = samples.groupBy("activity_id").agg(F.count("*").alias("m"))
+    size = points.groupBy("activity_id").agg(F.count("*").alias("n"))
+    step = (F.col("n") - 1) / F.nullif(F.col("m") - 1, F.lit(0))
+    at = F.coalesce((F.col("seq") - 1) / F.nullif(step, F.lit(0.0)), F.lit(0.0))
+    rows = points.join(count, "activity_id").join(size, "activity_id").select("activity_id", "seq", "m", at.alias("at"))
+    last = F.col("m") - 1
+    rows = rows.select("activity_id", "seq", (F.col("at") - F.floor("at")).alias("t"), F.least(F.floor("at"), last).alias("lo"), F.least(F.floor("at") + 1, last).alias("hi"))
+    one = lambda i, e: samples.select("activity_id", F.col("i").alias(i), F.col("ele").alias(e))
+    both = rows.join(one("lo", "a"), ["activity_id", "lo"]).join(one("hi", "b"), ["activity_id", "hi"])
+    return both.select("activity_id", "seq", (F.col("a") * (1 - F.col("t")) + F.col("b") * F.col("t")).alias("ele"))
+
+
+def climbs(legs: DataFrame) -> DataFrame:
+    """activity_id, up, down (unknown elevations are 0), up_known, down_known (unknown ones are passed over)."""
+    before = F.last("ele", ignorenulls=True).over(W.partitionBy("activity_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
+    rows = legs.select("activity_id", "seq", "ele", "ele0", before.alias("known")).where("seq > 1")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    gain = lambda a, b: F.sum(F.greatest(a - b, F.lit(0.0)))
+    known = lambda a, b: F.sum(F.when(F.col("ele").isNotNull() & F.col("known").isNotNull(), F.greatest(F.col(a) - F.col(b), F.lit(0.0))).when(F.col("ele").isNotNull(), 0.0))
+    return rows.groupBy("activity_id").agg(gain(zero("ele"), zero("ele0")).alias("up"), gain(zero("ele0"), zero("ele")).alias("down"), known("ele", "known").alias("up_known"), known("known", "ele").alias("down_known"))
+
+
+def junctions(turns: DataFrame, angle: float = 45.0, margin: int = 3) -> DataFrame:
+    """Every vertex (seq from 1) with the nearest vertices `before` and `after` it that turn by more than `angle`, not among the first ones
+    (before) or last ones (after) of the route, whose ends stand in where there is none."""
     w = W.partitionBy("activity_id").orderBy("seq")
-    known = F.when(F.col("ele").isNotNull(), F.struct("seq", "ele"))
-    a = F.last(known, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    b = F.first(known, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    rows = legs.select("activity_id", "seq", a.alias("a"), b.alias("b"))
-    part = (F.col("seq") - F.col("a.seq")) / F.nullif(F.col("b.seq") - F.col("a.seq"), F.lit(0))
-    return rows.select("activity_id", "seq", F.coalesce(F.col("a.ele") + (F.col("b.ele") - F.col("a.ele")) * F.coalesce(part, F.lit(0.0)), "a.ele", "b.ele").alias("ele"))
+    rows = turns.withColumn("n", F.max("seq").over(W.partitionBy("activity_id")))
+    sharp = F.col("turn") > angle
+    before = F.max(F.when(sharp & (F.col("seq") > margin), F.col("seq"))).over(w.rowsBetween(W.unboundedPreceding, -1))
+    after = F.min(F.when(sharp & (F.col("seq") <= F.col("n") - margin), F.col("seq"))).over(w.rowsBetween(1, W.unboundedFollowing))
+    return rows.select("activity_id", "seq", "turn", F.coalesce(before, F.lit(1)).cast("bigint").alias("before"), F.coalesce(after, "n").cast("bigint").alias("after"))
 
 
 def turn(legs: DataFrame) -> DataFrame:

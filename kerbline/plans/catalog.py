@@ -153,10 +153,14 @@ query("snap_bbox_to_tiles", "SELECT area_id, floor(south / 0.005e0)::BIGINT AS s
 query("bbox_of_corners", "SELECT way_id, pos, least(lat1, lat2) AS south, greatest(lat1, lat2) AS north, least(lon1, lon2) AS west, greatest(lon1, lon2) AS east FROM segments")(lambda d: segments(d).select("way_id", "pos", F.least("lat1", "lat2").alias("south"), F.greatest("lat1", "lat2").alias("north"), F.least("lon1", "lon2").alias("west"), F.greatest("lon1", "lon2").alias("east")))
 
 
-@query("union_bbox", "SELECT area_id, round(min(s) - 0.0001e0, 6) AS south, round(min(w) - 0.0001e0, 6) AS west, round(max(n) + 0.0001e0, 6) AS north, round(max(e) + 0.0001e0, 6) AS east FROM (SELECT area_id, south AS s, west AS w, north AS n, east AS e FROM boxes UNION ALL SELECT polygon_id, y1, x1, y1, x1 FROM corners) GROUP BY 1")
-def _(d):
-    both = d.boxes.unionByName(areas.polygon_bounds(d.rings).withColumnRenamed("polygon_id", "area_id"))
-    return both.groupBy("area_id").agg(r6(F.min("south") - 0.0001, "south"), r6(F.min("west") - 0.0001, "west"), r6(F.max("north") + 0.0001, "north"), r6(F.max("east") + 0.0001, "east"))
+@query("union_bbox", """SELECT area_id, round(min(s) - 0.0001e0, 6) AS south, round(min(w) - 0.0001e0, 6) AS west, round(max(n) + 0.0001e0, 6) AS north, round(max(e) + 0.0001e0, 6) AS east FROM (SELECT area_id, south AS s, west AS w, north AS n, east AS e FROM boxes UNION ALL SELECT polygon_id, y1, x1, y1, x1 FROM corners
+UNION ALL SELECT area_id, lat, lon, lat, lon FROM (SELECT s_suppkey AS area_id, s_suppkey % (SELECT count(*) FROM part) AS node_id FROM supplier) JOIN nodes USING (node_id) UNION ALL SELECT activity_id // 100, lat, lon, lat, lon FROM rides WHERE activity_id // 100 IN (SELECT s_suppkey FROM supplier)) GROUP BY 1""")
+def union_bbox(d):
+    """The box around all that a request names: boxes, polygons, single points and routes (here a node, and the rides of the athlete of that number)."""
+    boxes, one = d.boxes, F.col("area_id")
+    point = boxes.crossJoin(d.table("part").agg(F.count("*").alias("n"))).select("area_id", (one % F.col("n")).alias("node_id")).join(d.nodes, "node_id")  # one row of n
+    route = rides(d).withColumn("area_id", F.col("athlete_id")).join(boxes.select("area_id"), "area_id", "left_semi")
+    return areas.union_boxes([boxes, areas.polygon_bounds(d.rings).withColumnRenamed("polygon_id", "area_id")], [point, route]).select("area_id", *(r6(c, c) for c in ("south", "west", "north", "east")))
 
 
 # Coverage.
@@ -236,10 +240,12 @@ def _(d):
     return areas.points_in_polygons(middle, d.rings, ["way_id"])
 
 
-@query("osm_footprint", "SELECT athlete_id, count(*) AS tiles, count(*) > 5000 AS too_many FROM (SELECT DISTINCT athlete_id, floor(lat / 0.02e0) AS y, floor(lon / 0.02e0) AS x FROM rides) GROUP BY 1")
-def _(d):
-    tiles = rides(d).select("athlete_id", geo.cell(F.col("lat"), 0.02).alias("y"), geo.cell(F.col("lon"), 0.02).alias("x")).distinct()
-    return tiles.groupBy("athlete_id").agg(F.count("*").alias("tiles")).withColumn("too_many", F.col("tiles") > 5000)
+@query("osm_footprint", """SELECT athlete_id, count(*) AS tiles, count(*) > 5000 AS too_many, count(*) FILTER (bad) AS failed, count(*) FILTER (bad) / count(*)::DOUBLE > 0.3e0 AS incomplete
+FROM (SELECT *, (y * 7 + x * 3) % 5 = 0 AS bad FROM (SELECT DISTINCT athlete_id, floor(lat / 0.02e0)::BIGINT AS y, floor(lon / 0.02e0)::BIGINT AS x FROM rides)) GROUP BY 1""")
+def osm_footprint(d):
+    """Tiles that an athlete's rides touch; too many, or too many of them not fetched, and the overlay is not kept."""
+    tiles = areas.footprint(rides(d))
+    return areas.fetched(tiles, tiles.select("y", "x").distinct().where((F.col("y") * 7 + F.col("x") * 3) % 5 == 0))
 
 
 query("filter_oversized", f"SELECT activity_id FROM extents WHERE north - south <= {MOST_SPAN} AND east - west <= {MOST_SPAN}")(lambda d: act.extents(d.points).where((F.col("north") - F.col("south") <= MOST_SPAN) & (F.col("east") - F.col("west") <= MOST_SPAN)).select("activity_id"))
@@ -263,13 +269,13 @@ def _(d):
 
 
 query("centroid", "SELECT activity_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM centers")(lambda d: areas.centers(rides(d)).select("activity_id", r6("lat", "lat"), r6("lon", "lon")))
-query("place_lookup_join", "SELECT activity_id, city, county, state, country FROM located")(lambda d: areas.locate(rides(d), d.places).select("activity_id", "city", "county", "state", "country"))
+query("place_lookup_join", "SELECT activity_id, city, county, state, country FROM located")(lambda d: areas.locate(rides(d), d.buckets).select("activity_id", "city", "county", "state", "country"))
 query("geographies", "SELECT DISTINCT athlete_id, 'country' AS level, country AS name, NULL AS parent FROM located UNION SELECT athlete_id, 'state', state, country FROM located UNION SELECT athlete_id, 'county', county, state FROM located UNION SELECT athlete_id, 'city', city, county FROM located")(
-    lambda d: areas.locate(rides(d), d.places).select("athlete_id", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.col(k).alias("name"), (F.col(p) if p else F.lit(None).cast("string")).alias("parent")) for k, p in (("country", None), ("state", "country"), ("county", "state"), ("city", "county"))))).alias("g")).select("athlete_id", "g.*").distinct()
+    lambda d: areas.locate(rides(d), d.buckets).select("athlete_id", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.col(k).alias("name"), (F.col(p) if p else F.lit(None).cast("string")).alias("parent")) for k, p in (("country", None), ("state", "country"), ("county", "state"), ("city", "county"))))).alias("g")).select("athlete_id", "g.*").distinct()
 )
-query("places_drilldown", "SELECT activity_id, city FROM located WHERE country <> 'ASIA' AND county IN ('County 0', 'County 1', 'County 2', 'County 3')")(lambda d: areas.locate(rides(d), d.places).where((F.col("country") != "ASIA") & F.col("county").isin("County 0", "County 1", "County 2", "County 3")).select("activity_id", "city"))
+query("places_drilldown", "SELECT activity_id, city FROM located WHERE country <> 'ASIA' AND county IN ('County 0', 'County 1', 'County 2', 'County 3')")(lambda d: areas.locate(rides(d), d.buckets).where((F.col("country") != "ASIA") & F.col("county").isin("County 0", "County 1", "County 2", "County 3")).select("activity_id", "city"))
 query("top_cities", "SELECT athlete_id, city, n FROM (SELECT *, row_number() OVER (PARTITION BY athlete_id ORDER BY n DESC, city) AS k FROM (SELECT athlete_id, city, count(*) AS n FROM located GROUP BY ALL)) WHERE k <= 5")(
-    lambda d: areas.locate(rides(d), d.places).groupBy("athlete_id", "city").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(W.partitionBy("athlete_id").orderBy(F.desc("n"), "city"))).where("k <= 5").drop("k")
+    lambda d: areas.locate(rides(d), d.buckets).groupBy("athlete_id", "city").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(W.partitionBy("athlete_id").orderBy(F.desc("n"), "city"))).where("k <= 5").drop("k")
 )
 
 
@@ -296,13 +302,34 @@ query("evict_oldest", f"SELECT key, version FROM ({_OLD}) ORDER BY fetched_at DE
 
 query("cumulative_profile", f"SELECT activity_id, seq, floor(sum(coalesce({hav('lat0', 'lon0', 'lat', 'lon', '6371008.8e0')}, 0e0)) OVER (PARTITION BY activity_id ORDER BY seq) / 1609.344e0 * 100 + 0.5e0) / 100 AS distance_mi, floor(ele * 3.28084e0 + 0.5e0) AS elevation_ft FROM legs")(lambda d: routes.cumulative_profile(legs(d)))
 query("downsample_route", "WITH n AS (SELECT activity_id, count(*) AS len, least(count(*), greatest(50, least(2000, floor(coalesce(sum(leg_m) / 1609.344e0, 0) * 200 + 0.5e0))))::BIGINT AS want FROM legs GROUP BY 1), p AS (SELECT activity_id, i, (floor(i * (len - 1) / greatest(want - 1, 1) + 0.5e0) + 1)::BIGINT AS seq FROM (SELECT *, unnest(range(0, want)) AS i FROM n)) SELECT p.activity_id, p.i, p.seq, round(lat, 6) AS lat FROM p JOIN legs l ON l.activity_id = p.activity_id AND l.seq = p.seq")(lambda d: routes.downsample(legs(d)).select("activity_id", "i", F.col("seq").cast("bigint").alias("seq"), r6("lat", "lat")))
-query("interpolate_elevation", "WITH x AS (SELECT activity_id, seq, ele, max(CASE WHEN ele IS NOT NULL THEN seq END) OVER (PARTITION BY activity_id ORDER BY seq) AS a, min(CASE WHEN ele IS NOT NULL THEN seq END) OVER (PARTITION BY activity_id ORDER BY seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM legs) SELECT x.activity_id, x.seq, round(coalesce(p.ele + (q.ele - p.ele) * coalesce((x.seq - a)::DOUBLE / nullif(b - a, 0), 0), p.ele, q.ele), 6) AS ele FROM x LEFT JOIN legs p ON p.activity_id = x.activity_id AND p.seq = a LEFT JOIN legs q ON q.activity_id = x.activity_id AND q.seq = b")(lambda d: routes.interpolated(legs(d)).select("activity_id", "seq", r6("ele", "ele")))
-query("ascent_descent", "SELECT activity_id, sum(greatest(coalesce(ele, 0) - coalesce(ele0, 0), 0)) AS up, sum(greatest(coalesce(ele0, 0) - coalesce(ele, 0), 0)) AS down FROM legs WHERE seq > 1 GROUP BY 1")(lambda d: legs(d).where("seq > 1").groupBy("activity_id").agg(*(F.sum(F.greatest(F.coalesce(a, F.lit(0.0)) - F.coalesce(b, F.lit(0.0)), F.lit(0.0))).alias(n) for a, b, n in (("ele", "ele0", "up"), ("ele0", "ele", "down")))))
+@query("interpolate_elevation", """WITH n AS (SELECT activity_id, count(*) AS len, least(count(*), 12)::BIGINT AS m FROM legs GROUP BY 1), p AS (SELECT activity_id, i, m, len, (floor(i * (len - 1) / greatest(m - 1, 1) + 0.5e0) + 1)::BIGINT AS seq FROM (SELECT *, unnest(range(0, m)) AS i FROM n)),
+e AS (SELECT p.activity_id, p.i, p.m, p.len, coalesce(l.ele, 0) AS ele FROM p JOIN legs l ON l.activity_id = p.activity_id AND l.seq = p.seq),
+x AS (SELECT l.activity_id, l.seq, m, CASE WHEN m > 1 THEN (l.seq - 1) / ((len - 1) / (m - 1)::DOUBLE) ELSE 0 END AS spot FROM legs l JOIN n USING (activity_id))
+SELECT x.activity_id, x.seq, round(a.ele * (1 - (spot - floor(spot))) + b.ele * (spot - floor(spot)), 6) AS ele FROM x JOIN e a ON a.activity_id = x.activity_id AND a.i = least(floor(spot)::BIGINT, x.m - 1) JOIN e b ON b.activity_id = x.activity_id AND b.i = least(floor(spot)::BIGINT + 1, x.m - 1)""")
+def interpolate_elevation(d):
+    """Elevations known at twelve evenly spread samples, for all vertices."""
+    every = legs(d)
+    picked = routes.downsample(every, per_mile=0, least=12).select("activity_id", "i", F.coalesce("ele", F.lit(0.0)).alias("ele"))
+    return routes.spread(picked, every.select("activity_id", "seq")).select("activity_id", "seq", r6("ele", "ele"))
+
+
+@query("ascent_descent", """SELECT activity_id, sum(greatest(coalesce(ele, 0) - coalesce(ele0, 0), 0)) AS up, sum(greatest(coalesce(ele0, 0) - coalesce(ele, 0), 0)) AS down, sum(greatest(ele - known, 0)) AS up_known, sum(greatest(known - ele, 0)) AS down_known FROM (SELECT *, CASE WHEN ele IS NOT NULL THEN last_value(ele IGNORE NULLS) OVER (PARTITION BY activity_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS known FROM legs) WHERE seq > 1 GROUP BY 1""")
+def ascent_descent(d):
+    """Ascent and descent by both rules for points without elevation: they count as 0 (up, down), or are passed over (up_known, down_known)."""
+    return routes.climbs(legs(d))
+
+
 query("elevation_gain_ft", "SELECT activity_id, floor(sum(greatest(f - g, 0)) + 0.5e0) AS feet FROM (SELECT activity_id, floor(ele * 3.28084e0 + 0.5e0) AS f, floor(ele0 * 3.28084e0 + 0.5e0) AS g FROM legs) WHERE f IS NOT NULL AND g IS NOT NULL GROUP BY 1")(lambda d: legs(d).select("activity_id", geo.half_up(F.col("ele") * geo.FOOT).alias("f"), geo.half_up(F.col("ele0") * geo.FOOT).alias("g")).where("f is not null and g is not null").groupBy("activity_id").agg(geo.half_up(F.sum(F.greatest(F.col("f") - F.col("g"), F.lit(0.0)))).alias("feet")))
 query("route_time_estimate", "SELECT activity_id, sum(greatest(1, floor(leg_m / 5 + 0.5e0)))::BIGINT AS seconds FROM legs WHERE lat0 IS NOT NULL GROUP BY 1")(lambda d: legs(d).where("lat0 is not null").groupBy("activity_id").agg(F.sum(F.greatest(F.lit(1), F.floor(F.col("leg_m") / 5 + 0.5))).alias("seconds")))
 _TURN = f"SELECT *, least(abs(b1 - b2), 360 - abs(b1 - b2)) AS turn FROM (SELECT *, {bearing('lat0', 'lon0', 'lat', 'lon')} AS b1, {bearing('lat', 'lon', 'lat2', 'lon2')} AS b2 FROM legs)"
 query("uturn_density", f"SELECT activity_id, round(avg(CASE WHEN turn > 150 THEN 1e0 ELSE 0e0 END), 6) AS share FROM ({_TURN}) WHERE turn IS NOT NULL GROUP BY 1")(lambda d: routes.turn(legs(d)).where("turn is not null").groupBy("activity_id").agg(r6(F.avg((F.col("turn") > 150).cast("double")), "share")))
-query("junctions", f"SELECT activity_id, seq, round(turn, 4) AS turn FROM ({_TURN}) WHERE turn > 45")(lambda d: routes.turn(legs(d)).where("turn > 45").select("activity_id", "seq", F.round("turn", 4).alias("turn")))
+@query("junctions", f"""SELECT activity_id, seq, round(turn, 4) AS turn, coalesce(max(CASE WHEN turn > 45 AND seq > 3 THEN seq END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS before,
+coalesce(min(CASE WHEN turn > 45 AND seq <= n - 3 THEN seq END) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), n) AS after FROM ({_TURN}) WINDOW w AS (PARTITION BY activity_id ORDER BY seq)""")
+def junctions(d):
+    """Every vertex with the angle turned there and the nearest vertices on either side that turn by more than 45 degrees, else the route's ends."""
+    return routes.junctions(routes.turn(legs(d))).select("activity_id", "seq", F.round("turn", 4).alias("turn"), "before", "after")
+
+
 query("max_gap", f"SELECT activity_id, seq, round(m, 6) AS gap_m FROM (SELECT *, {hav('a', 'b', 'lat', 'lon')} AS m FROM (SELECT activity_id, seq, lat, lon, lag(lat) OVER (PARTITION BY activity_id ORDER BY seq) AS a, lag(lon) OVER (PARTITION BY activity_id ORDER BY seq) AS b FROM rides)) WHERE m > 150")(lambda d: legs(d).where("leg_m > 150").select("activity_id", "seq", r6("leg_m", "gap_m")))
 query("collapse_duplicates", "SELECT activity_id, seq FROM legs WHERE lat0 IS NULL OR lat <> lat0 OR lon <> lon0")(lambda d: legs(d).where("lat0 is null or lat <> lat0 or lon <> lon0").select("activity_id", "seq"))
 query("construction_runs", "SELECT activity_id, construction, min(seq) AS first_seq, max(seq) AS last_seq FROM (SELECT *, sum(c) OVER (PARTITION BY activity_id ORDER BY seq) AS run FROM (SELECT *, CASE WHEN lag(construction) OVER (PARTITION BY activity_id ORDER BY seq) <> construction THEN 1 ELSE 0 END AS c FROM legs)) GROUP BY activity_id, run, construction")(lambda d: routes.runs(rides(d), "construction").select("activity_id", "construction", "first_seq", "last_seq"))
@@ -355,23 +382,30 @@ _PLACES = "SELECT DISTINCT athlete_id, 'country' AS level, country AS name FROM
 
 
 @query("write_stats_payload", f"""WITH y AS (SELECT athlete_id, start_date[1:4]::INT AS year, count(*) AS rides, round(sum(distance_m) / 1609.344e0, 6) AS miles FROM moving GROUP BY ALL),
-r AS (SELECT athlete_id, round(sum(distance_m) / 1609.344e0, 6) AS total_mi, round(max(gain_m) * 3.28084e0, 6) AS biggest_climb_ft, count(DISTINCT start_date[1:10]) AS active_days FROM moving GROUP BY 1),
+u AS (SELECT athlete_id, count(*) AS cells FROM (SELECT DISTINCT athlete_id, ci, cj FROM cells) GROUP BY 1),
+r AS (SELECT athlete_id, round(sum(distance_m) / 1609.344e0, 6) AS total_mi, round(max(gain_m) * 3.28084e0, 6) AS biggest_climb_ft, round(sum(gain_m) * 3.28084e0, 6) AS total_elevation_ft, count(DISTINCT start_date[1:10]) AS active_days,
+round(CASE WHEN sum(distance_m) > 0 THEN coalesce(any_value(cells), 0) * 15e0 / sum(distance_m) * 100 ELSE 0 END, 6) AS exploration_pct FROM moving LEFT JOIN u USING (athlete_id) GROUP BY 1),
+c AS (SELECT athlete_id, string_agg(city || ' ' || n, ', ' ORDER BY n DESC, city) AS cities FROM (SELECT *, row_number() OVER (PARTITION BY athlete_id ORDER BY n DESC, city) AS k FROM (SELECT athlete_id, city, count(*) AS n FROM located GROUP BY ALL)) WHERE k <= 5 GROUP BY 1),
 p AS (SELECT athlete_id, count(*) AS n_places, min(name) FILTER (level = 'city') AS first_city FROM ({_PLACES}) GROUP BY 1)
-SELECT athlete_id, total_mi, biggest_climb_ft, active_days, year, rides, miles, coalesce(n_places, 0) AS n_places, first_city FROM r JOIN y USING (athlete_id) LEFT JOIN p USING (athlete_id)""")
+SELECT athlete_id, total_mi, biggest_climb_ft, total_elevation_ft, exploration_pct, cities, active_days, year, rides, miles, coalesce(n_places, 0) AS n_places, first_city FROM r JOIN y USING (athlete_id) LEFT JOIN p USING (athlete_id) LEFT JOIN c USING (athlete_id)""")
 def write_stats_payload(d):
-    """Write one document of records, rides per year and places for each athlete, and read the documents back."""
+    """Write one document of records, totals, exploration, rides per year, top cities and places for each athlete, and read the documents back."""
+    cells = coverage.cells(legs(d)).select("athlete_id", "ci", "cj").distinct().groupBy("athlete_id").agg(F.count("*").alias("cells"))
+    sums = moving(d).groupBy("athlete_id").agg(F.sum("distance_m").alias("m"), (F.sum("gain_m") * geo.FOOT).alias("total_elevation_ft")).join(cells, "athlete_id", "left")
+    sums = sums.select("athlete_id", "total_elevation_ft", F.when(F.col("m") > 0, F.coalesce("cells", F.lit(0)) * geo.CELL_M / F.col("m") * 100).otherwise(0.0).alias("exploration_pct"))
+    cities = _QUERIES["top_cities"](d).groupBy("athlete_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "city", "n"))).alias("cities"))
     year = moving(d).groupBy("athlete_id", act.ride_year(F.col("start_date")).alias("year")).agg(F.count("*").alias("rides"), (F.sum("distance_m") / geo.MILE_M).alias("miles"))
     years = year.groupBy("athlete_id").agg(F.array_sort(F.collect_list(F.struct("year", "rides", "miles"))).alias("ridesPerYear"))
     levels = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.col(k).alias("name")) for k in ("country", "state", "county", "city")))).alias("g")
-    places = areas.locate(rides(d), d.places).select("athlete_id", levels).distinct().groupBy("athlete_id").agg(F.array_sort(F.collect_list("g")).alias("geographies"))
+    places = areas.locate(rides(d), d.buckets).select("athlete_id", levels).distinct().groupBy("athlete_id").agg(F.array_sort(F.collect_list("g")).alias("geographies"))
     path = graph.folder(d.spark, "stats")
-    rows = act.records(moving(d)).join(years, "athlete_id").join(places, "athlete_id", "left")
-    rows.select(F.to_json(F.struct("athlete_id", "total_mi", "longest_mi", "biggest_climb_ft", "active_days", "ridesPerYear", "geographies")).alias("value")).write.text(path)
-    schema = "athlete_id bigint, total_mi double, biggest_climb_ft double, active_days bigint, ridesPerYear array<struct<year:int,rides:bigint,miles:double>>, geographies array<struct<level:string,name:string>>"
+    rows = act.records(moving(d)).join(years, "athlete_id").join(sums, "athlete_id").join(places, "athlete_id", "left").join(cities, "athlete_id", "left")
+    rows.select(F.to_json(F.struct("athlete_id", "total_mi", "longest_mi", "biggest_climb_ft", "total_elevation_ft", "exploration_pct", "active_days", "ridesPerYear", "geographies", F.transform("cities", lambda c: F.struct(c["city"].alias("name"), c["n"].alias("activityCount"))).alias("cities"))).alias("value")).write.text(path)
+    schema = "athlete_id bigint, total_mi double, biggest_climb_ft double, total_elevation_ft double, exploration_pct double, cities array<struct<name:string,activityCount:bigint>>, active_days bigint, ridesPerYear array<struct<year:int,rides:bigint,miles:double>>, geographies array<struct<level:string,name:string>>"
     back = d.spark.read.schema(schema).json(path)
     cities = F.transform(F.filter("geographies", lambda g: g["level"] == "city"), lambda g: g["name"])
-    back = back.select("athlete_id", r6("total_mi", "total_mi"), r6("biggest_climb_ft", "biggest_climb_ft"), "active_days", F.coalesce(F.size("geographies"), F.lit(0)).cast("bigint").alias("n_places"), F.array_min(cities).alias("first_city"), F.explode("ridesPerYear").alias("y"))
-    return back.select("athlete_id", "total_mi", "biggest_climb_ft", "active_days", F.col("y.year").alias("year"), F.col("y.rides").alias("rides"), r6("y.miles", "miles"), "n_places", "first_city")
+    back = back.select("athlete_id", r6("total_mi", "total_mi"), r6("biggest_climb_ft", "biggest_climb_ft"), r6("total_elevation_ft", "total_elevation_ft"), r6("exploration_pct", "exploration_pct"), F.array_join(F.transform("cities", lambda c: F.concat_ws(" ", c["name"], c["activityCount"])), ", ").alias("cities_"), "active_days", F.coalesce(F.size("geographies"), F.lit(0)).cast("bigint").alias("n_places"), F.array_min(cities).alias("first_city"), F.explode("ridesPerYear").alias("y"))
+    return back.select("athlete_id", "total_mi", "biggest_climb_ft", "total_elevation_ft", "exploration_pct", F.col("cities_").alias("cities"), "active_days", F.col("y.year").alias("year"), F.col("y.rides").alias("rides"), r6("y.miles", "miles"), "n_places", "first_city")
 
 
 # Nearest neighbours and graphs.

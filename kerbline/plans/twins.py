@@ -63,7 +63,8 @@ FROM steps WINDOW w AS (PARTITION BY activity_id ORDER BY ts, event_id), r AS (P
     "streets": "SELECT area_id, least(u, v) AS u, greatest(u, v) AS v, min(round(s.weight)) AS w, min(round(s.weight) * CASE WHEN r.way_id IS NULL THEN 1 ELSE 4 END) AS w4, bool_or(r.way_id IS NOT NULL) AS took, min(CASE WHEN r.way_id IS NULL AND NOT is_avoided AND highway NOT IN ('cycleway', 'track') THEN round(s.weight) END) AS fresh FROM boxes JOIN segments s ON ((lat1 BETWEEN south - 0.0001e0 AND north + 0.0001e0 AND lon1 BETWEEN west - 0.0001e0 AND east + 0.0001e0) OR (lat2 BETWEEN south - 0.0001e0 AND north + 0.0001e0 AND lon2 BETWEEN west - 0.0001e0 AND east + 0.0001e0)) LEFT JOIN ridden r ON s.way_id = r.way_id AND s.pos = r.pos GROUP BY ALL",
     "places": "SELECT n_nationkey::BIGINT AS place_key, 'City ' || (n_nationkey % 9) AS city, 'County ' || (n_nationkey % 6) AS county, n_name AS state, r_name AS country FROM nation JOIN region ON n_regionkey = r_regionkey",
     "centers": "SELECT activity_id, athlete_id, avg(lat) AS lat, avg(lon) AS lon FROM rides GROUP BY ALL",
-    "located": "SELECT c.activity_id, c.athlete_id, p.* FROM centers c JOIN places p ON ((floor(c.lat * 20 + 0.5e0) * 7 + floor(c.lon * 20 + 0.5e0) * 3)::BIGINT % 25 + 25) % 25 = p.place_key",
+    "buckets": "SELECT y AS bucket_lat, x AS bucket_lon, p.* FROM (SELECT unnest(range(min(floor(lat * 20 + 0.5e0))::BIGINT - 3, max(floor(lat * 20 + 0.5e0))::BIGINT + 4)) AS y FROM nodes) CROSS JOIN (SELECT unnest(range(min(floor(lon * 20 + 0.5e0))::BIGINT - 3, max(floor(lon * 20 + 0.5e0))::BIGINT + 4)) AS x FROM nodes) JOIN places p ON ((y * 7 + x * 3) % 25 + 25) % 25 = place_key",
+    "located": "SELECT c.activity_id, c.athlete_id, b.* FROM centers c JOIN buckets b ON floor(c.lat * 20 + 0.5e0) = bucket_lat AND floor(c.lon * 20 + 0.5e0) = bucket_lon",
     "comments": "SELECT event_id, user_id AS athlete_id, ts, CASE event_id % 4 WHEN 0 THEN 'my FTP is ' || k || '0 today, felt like ' || k WHEN 1 THEN k || '4W for the 20 min test which is ' || k || '2W ftp' WHEN 2 THEN 'rode ' || k || ' miles at 200 watts' ELSE 'Ftp? ' || k || '1 or 2' || k END AS text FROM (SELECT *, json_extract_string(props, '$.k') AS k FROM events)",
     "tokens": "SELECT event_id, athlete_id, ts, tok, sum(length(tok)) OVER (PARTITION BY event_id ORDER BY i) - length(tok) AS spot FROM (SELECT event_id, athlete_id, ts, unnest(regexp_extract_all(text, '[fF][tT][pP]|[0-9]{2,3}|(?s:.)')) AS tok, generate_subscripts(regexp_extract_all(text, '[fF][tT][pP]|[0-9]{2,3}|(?s:.)'), 1) AS i FROM comments)",
 }

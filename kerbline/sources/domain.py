@@ -103,6 +103,16 @@ class Domain:
             F.concat(F.lit("County "), (F.col("n_nationkey") % 6).cast("string")).alias("county"), F.col("n_name").alias("state"), F.col("r_name").alias("country"),
         )
 
+    @cached_property
+    def buckets(self) -> DataFrame:
+        """A place for each 5 km bucket of the network and three around it."""
+        at = lambda c: F.floor(F.col(c) * 20 + 0.5)
+        span = self.nodes.agg(*(f(at(c)).alias(f"{n}_{c}") for f, n in ((F.min, "lo"), (F.max, "hi")) for c in ("lat", "lon")))  # one row
+        every = lambda c: F.explode(F.sequence(F.col(f"lo_{c}") - 3, F.col(f"hi_{c}") + 3))
+        grid = span.withColumn("bucket_lat", every("lat")).withColumn("bucket_lon", every("lon")).select("bucket_lat", "bucket_lon")
+        key = F.pmod(F.col("bucket_lat") * 7 + F.col("bucket_lon") * 3, F.lit(25))
+        return grid.withColumn("place_key", key).join(self.places, "place_key")
+
     @cached_property
     def comments(self) -> DataFrame:
         k, e = F.get_json_object("props", "$.k"), F.col("event_id")
