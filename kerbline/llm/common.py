@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -37,15 +39,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of this session.
+TABLES: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset (tests, one machine) under a temporary folder."""
+    """A new folder under spark.checkpoint.dir; where that is unset, on one machine, under a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    TABLES.append(path)
+    return path
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Remove the tables made so far, once no result that reads them is wanted any more; how many were there."""
+    found = 0
+    while TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(TABLES.pop())
+        found += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return found
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
