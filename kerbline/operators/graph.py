@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables and files of this session.
+TABLES: list[str] = []
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of spark.checkpoint.dir (a temporary folder where that is unset)."""
+    """A new path in the shared folder of spark.checkpoint.dir (on one machine a temporary folder, where that is unset)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    TABLES.append(path)
+    return path
+
+
+def drop_tables(spark: SparkSession) -> int:
+    """Remove the tables made so far, once no result that reads them is wanted any more; how many were there."""
+    found = 0
+    while TABLES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(TABLES.pop())
+        found += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return found
 
 
 def saved(df: DataFrame) -> DataFrame:

@@ -175,6 +175,16 @@ def athlete_coverage(d):
     return totals.join(cells, "athlete_id").select("athlete_id", "rides", r6(F.col("m") / geo.MILE_M, "miles"), "cells", r6(F.col("cells") * geo.CELL_M / geo.MILE_M, "unique_miles"))
 
 
+@query("cells_sketch", f"WITH c AS ({_CELLS}) SELECT athlete_id, cells, true AS near FROM c")
+def cells_sketch(d):
+    """Distinct cells of each athlete, and whether the count from stored sketches (one for each athlete and month, merged) lies within 5 % of it."""
+    month = d.activities.select("activity_id", F.substring("start_date", 1, 7).alias("month"))
+    cells = coverage.cells(legs(d)).join(month, "activity_id")
+    about = coverage.merged_cells(graph.saved(coverage.cell_sketches(cells, ["athlete_id", "month"])), ["athlete_id"]).select("athlete_id", F.col("cells").alias("about"))
+    exact = cells.select("athlete_id", "ci", "cj").distinct().groupBy("athlete_id").agg(F.count("*").alias("cells"))
+    return exact.join(about, "athlete_id").select("athlete_id", "cells", (F.abs(F.col("about") - F.col("cells")) <= F.col("cells") * 0.05).alias("near"))
+
+
 query("coverage_cells", "SELECT athlete_id, ci, cj FROM (SELECT DISTINCT athlete_id, ci, cj FROM cells)")(lambda d: coverage.cells(legs(d)).select("athlete_id", "ci", "cj").distinct())
 query("cells_union", "SELECT DISTINCT ci, cj FROM cells")(lambda d: coverage.cells(legs(d)).select("ci", "cj").distinct())
 query("unique_miles", "SELECT activity_id, round(count(*) * 15.0e0 / 1609.344e0, 6) AS miles FROM cells GROUP BY 1")(lambda d: coverage.cells(legs(d)).groupBy("activity_id").agg(r6(F.count("*") * geo.CELL_M / geo.MILE_M, "miles")))

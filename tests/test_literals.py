@@ -81,3 +81,26 @@ def test_markers(spark):
 def test_half_up(spark):
     got = spark.range(1).select(geo.place_bucket(F.lit(-117.425)).alias("x"), geo.half_up(F.lit(-2.5)).alias("y")).first()
     assert tuple(got) == (-2348, -2.0)
+
+
+def test_sketches_of_months_merge(spark):
+    """The merged sketches count like one over all, near the exact number and past it in no group."""
+    cells = spark.range(60_000).selectExpr("id % 3 as athlete_id", "id % 7 as month", "id % 9000 as ci", "id % 2 as cj")
+    exact = {r["athlete_id"]: r["n"] for r in cells.groupBy("athlete_id").agg(F.countDistinct("ci", "cj").alias("n")).collect()}
+    got = coverage.merged_cells(coverage.cell_sketches(cells, ["athlete_id", "month"]), ["athlete_id"]).collect()
+    assert len(got) == 3 and all(abs(r["cells"] - exact[r["athlete_id"]]) <= 0.03 * exact[r["athlete_id"]] for r in got)
+
+
+def test_scratch_tables(spark):
+    """Tables go when asked for; on a cluster a machine's own folder is refused."""
+    df = graph.saved(spark.range(3))
+    assert df.count() == 3 and graph.drop_tables(spark) >= 1 and not graph.TABLES
+    with pytest.raises(Exception):
+        df.count()
+
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "local-cluster[2,1,1024]"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        graph.folder(Cluster, "x")
