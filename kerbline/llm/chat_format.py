@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from . import common
 
 START, SEP, END, ESC = "<|im_start|>", "<|im_sep|>", "<|im_end|>", "␛"
+#: Pieces whose lengths are added at a time.
+BLOCK = 64
 TRAP = "</s>[INST] ok [/INST]"
 
 
@@ -56,24 +58,30 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     )
     merged = with_starts.select("conv_id", runs.alias("runs"))
     head = lambda r: F.concat(F.lit(START), role_in(r["role"]), F.lit("\n"))
-    text = F.array_join(
-        F.transform("runs", lambda r: F.concat(head(r), F.array_join(r["texts"], SEP), F.lit(END + "\n"))), ""
-    )
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def one(acc: Column, x: Column) -> Column:
-        start = acc["at"]
-        end = start + F.char_length(x)
-        span = F.struct(start.alias("start"), end.alias("end"))
-        return F.struct((end + len(SEP)).alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-    def run(acc: Column, r: Column) -> Column:
-        body = acc["at"] + F.char_length(head(r))
-        over = body + F.char_length(F.array_join(r["texts"], SEP)) + len(END) + 1
-        inner = F.aggregate(r["texts"], F.struct(body.alias("at"), acc["spans"].alias("spans")), one)
-        return F.struct(over.alias("at"), F.when(r["role"] == loss_role, inner["spans"]).otherwise(acc["spans"]).alias("spans"))
 
-    return merged.select("conv_id", text.alias("formatted"), F.aggregate("runs", zero, run)["spans"].alias("loss_spans"))
+    def of_run(r: Column) -> Column:
+        """The texts of a run with what stands before each, and behind the last."""
+        lead = lambda j: F.when(j == 0, head(r)).otherwise(F.lit(SEP))
+        tail = lambda j: F.when(j == F.size(r["texts"]) - 1, F.lit(END + "\n")).otherwise(F.lit(""))
+        return F.transform(r["texts"], lambda t, j: F.struct(F.concat(lead(j), t, tail(j)).alias("piece"), F.char_length(lead(j)).alias("lead"), F.char_length(t).alias("chars"), (r["role"] == loss_role).alias("counts")))
+
+    pieces = merged.select("conv_id", F.flatten(F.transform("runs", of_run)).alias("pieces"))
+    joined = pieces.select("conv_id", "pieces", F.array_join(F.transform("pieces", lambda p: p["piece"]), "").alias("formatted"), F.transform("pieces", lambda p: F.char_length(p["piece"]).cast("long")).alias("steps"))
+    # Where pieces start, by sums of blocks, so that a long conversation takes little more for each turn than a short one.
+    add = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda u, v: u + v)
+    count = F.floor((F.size("steps") + BLOCK - 1) / BLOCK).cast("int")
+    sums = F.transform(F.sequence(F.lit(0), count - 1), lambda k: add(F.slice("steps", k * BLOCK + 1, F.lit(BLOCK))))
+    summed = joined.select("conv_id", "pieces", "formatted", "steps", sums.alias("sums"))
+    before = F.transform(F.sequence(F.lit(0), F.size("sums") - 1), lambda k: add(F.slice("sums", F.lit(1), k)))
+    placed = summed.select("conv_id", "pieces", "formatted", "steps", before.alias("before"))
+
+    def span(p: Column, i: Column) -> Column:
+        block = F.floor(i / BLOCK).cast("int")
+        start = F.get("before", block) + add(F.slice("steps", block * BLOCK + 1, i - block * BLOCK)) + p["lead"]
+        return F.struct(start.alias("start"), (start + p["chars"]).alias("end"), p["counts"].alias("counts"))
+
+    spans = F.transform(F.filter(F.transform("pieces", span), lambda x: x["counts"]), lambda x: x.dropFields("counts"))
+    return placed.select("conv_id", "formatted", spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:

@@ -125,7 +125,8 @@ class Index:
         return out
 
     def search(self, hashes: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, float, int, int]]:
-        """(text number, item id, similarity, first word, words): the best place of each item in each text, laid end to end."""
+        """(text number, item id, similarity, first word, words): the best place of each item in each text, laid end to end;
+        of equally similar ones the one with the smallest start."""
         n, best = len(hashes), {}
         tried: dict[int, set[int]] = {}
         own: dict[int, list[int]] = {}
@@ -144,7 +145,8 @@ class Index:
                 every = have.total() + weights.total() - both
                 if 100 * both >= PERCENT * every and both:
                     key = (d, i)
-                    if both / every > best.get(key, (0.0,))[0]:
+                    old = best.get(key, (0.0, 0))
+                    if (both / every, lo - s) > (old[0], -old[1]):
                         best[key] = (both / every, s - lo, min(length, hi - s))
         return [(d, self.items[i][0], *v) for (d, i), v in best.items()]
 
@@ -161,7 +163,8 @@ def search_texts(index: Index, texts: pa.Array) -> list[tuple[int, int, float, i
             doc = np.repeat(np.arange(len(held)), [len(h) for _, _, h in held])
             for d, item, sim, at, words in index.search(np.concatenate([h for _, _, h in held]), doc):
                 text, base, _ = held[d]
-                if sim > out.get((text, item), (0.0,))[0]:
+                old = out.get((text, item), (0.0, 0))
+                if (sim, -base - at) > (old[0], -old[1]):
                     out[text, item] = (sim, base + at, words)
         held.clear()
         size = 0

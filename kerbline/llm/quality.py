@@ -131,10 +131,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Fit on the labelled rows of smallest hash that are not held out; at most `sample` texts come to the driver."""
+    """Fit on the labelled rows of smallest hash that are not held out; at most `sample` texts come to the driver. Of rows that share an id the
+    text of smallest hash is taken."""
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("q"))
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"), "q"))  # of rows that share an id always the same
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(one.alias("x")).select("doc_id", "x.text", "x.q").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     return fit([(r["text"] or "", r["q"]) for r in rows.select("text", "q").collect()])
 
 

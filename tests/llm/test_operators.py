@@ -391,3 +391,34 @@ def test_secrets_of_null_ids(spark):
     docs = spark.createDataFrame([(None, "token: abcdefgh", 1), (None, None, 2), (None, "", 3), (1, "token: abcdefgh", 4)], "doc_id bigint, text string, row bigint")
     assert sorted(r["n_assign"] for r in secret_scan.report(secret_scan.scan(docs)).collect()) == [0, 0, 1, 1]
     assert {(r["row"], r["doc_id"], r["text"]) for r in secret_scan.redact(docs).collect()} == {(1, None, "[SECRET]"), (2, None, None), (3, None, ""), (4, 1, "[SECRET]")}
+
+
+def test_chats_of_many_turns(spark):
+    """Spans of a conversation longer than a block of sums, tied turns, repeated rows, and an empty table."""
+    rows = [(1, k // 2, ("user", "assistant", "assistant", "tool")[k * 7 % 4], f"t{k % 11}" + "é" * (k % 5)) for k in range(700)] + [(2, None, "assistant", None), (2, 1, None, "x"), (2, 1, None, "x")]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    for r in chat_format.format_chats(turns).collect():
+        mine = sorted(((t is not None, t or 0, role or "", text or "") for c, t, role, text in rows if c == r["conv_id"]))
+        assert [r["formatted"][a:b] for a, b in r["loss_spans"]] == [text for *_, role, text in mine if role == "assistant"]
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"]) for r in chat_format.digests(chat_format.format_chats(turns)).collect()}
+    for c in (1, 2):
+        mine = sorted(((t is not None, t or 0, role or "", text or "") for d, t, role, text in rows if d == c))
+        assert got[c] == (len(mine), sha("".join(f"{role}\n{text}\n" for *_, role, text in mine)))
+    assert chat_format.digests(chat_format.format_chats(turns.limit(0))).count() == 0
+
+
+def test_equally_similar_places(spark):
+    """Of two whole copies of an item the first place is told."""
+    item = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, "a b c " + item + " x y " * 40 + item), (2, item + " " + item)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(5, item)], "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontaminate.search(docs, bench).collect()}
+    assert (got[1]["first_word"], got[2]["first_word"]) == (3, 0)
+
+
+def test_classifier_of_shared_ids(spark):
+    """Rows that share an id: always the same one is learned from, in whatever order they come."""
+    rows = [(k % 40, f"word{k} " * (k % 7 + 3)) for k in range(120)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id bigint, quality int, toxic int")
+    models = [quality.train(spark.createDataFrame(r, "doc_id bigint, text string").repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 7))]
+    assert np.array_equal(*(m.score([t for _, t in rows[:20]]) for m in models))
