@@ -9,8 +9,8 @@ import pytest
 from kerbline.plans import catalog, elements, searches, snapping  # noqa: F401  (these add their queries to the catalog)
 
 DATA = "/root/testdata/sf0.001"
-#: Compared with plain Python elsewhere (test_pairing, test_snapping), or like another.
-ELSEWHERE = {"distances_between", "odd_node_pairing", "sweep_length_bounds", "pocket_report", "components_by_size", "shortest_path_multi_source"}
+#: Compared with plain Python elsewhere (test_pairing, test_snapping, test_search), or like another.
+ELSEWHERE = {"distances_between", "odd_node_pairing", "sweep_length_bounds", "pocket_report", "components_by_size", "largest_component", "shortest_path_multi_source", "closest_target"}
 
 
 def rows(df):
