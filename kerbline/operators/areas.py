@@ -31,12 +31,6 @@ def select_in_boxes(segments: DataFrame, boxes: DataFrame, pad: float = BUFFER)
     return hit.groupBy("area_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("length_m").alias("length_m"))
 
 
-def polygon_edges(rings: DataFrame) -> DataFrame:
-    r = rings.select("polygon_id", "ring", F.posexplode("ring").alias("i", "a"))
-    nxt = F.get("ring", (F.col("i") + 1) % F.size("ring"))
-    return r.select("polygon_id", F.col("a.lat").alias("y1"), F.col("a.lon").alias("x1"), nxt["lat"].alias("y2"), nxt["lon"].alias("x2"))
-
-
 def polygon_bounds(rings: DataFrame) -> DataFrame:
     of = lambda f, k: f(F.transform("ring", lambda p: p[k]))
     return rings.select("polygon_id", of(F.array_min, "lat").alias("south"), of(F.array_min, "lon").alias("west"), of(F.array_max, "lat").alias("north"), of(F.array_max, "lon").alias("east"))
