@@ -197,6 +197,51 @@ def test_ngram_join_null_ids(spark):
     assert sorted(str(r[0]) for r in ngram_join.keep_one(docs.union(docs)).collect()) == ["1", "9", "9", "None", "None"]
 
 
+def test_ngram_suffix_filter():
+    """Whatever shared shingle a pair was met by, it is a link exactly if its sets say so."""
+    rng = np.random.default_rng(5)
+    counts = np.ones(ngram_join.COUNTERS, np.int64)
+    for share in (20, 45, 60, 75, 85, 90, 95, 99):
+        both, a, b = (rng.integers(0, 1 << 63, k, np.uint64) for k in (share * 4, (100 - share) * 2, (100 - share) * 2))
+        a, b = np.unique(np.concatenate([both, a])), np.unique(np.concatenate([both, b]))
+        same = len(np.intersect1d(a, b))
+        places = [{int(x): k for k, x in enumerate(s[ngram_join.rare_first(s, counts)])} for s in (a, b)]
+        got = {ngram_join.linked(a, b, places[0][x], places[1][x], counts, 75) for x in places[0].keys() & places[1].keys()}
+        assert got == {100 * same >= 75 * (len(a) + len(b) - same)}
+
+
+def test_ngram_blocks():
+    rng = np.random.default_rng(6)
+    for k in (1, 9, 3000):
+        key, part, sets = np.sort(rng.integers(0, 1 << 64, k, np.uint64)), rng.integers(0, 3, k).astype(np.int32), rng.integers(-4, 5, k)
+        n, pos = (50 + sets).astype(np.int32), np.arange(k, dtype=np.int32)
+        for x, y in zip(ngram_join.unpacked(*ngram_join.packed(key, part, sets, n, pos)), (key, part, sets, n, pos)):
+            assert np.array_equal(x, y)
+
+
+def test_ngram_many_copies(spark):
+    """Chains and stars of near copies in long lists, with the numbers of other lists between them, against brute force."""
+    rng = random.Random(8)
+    common_words, texts = [f"c{k}" for k in range(40)], []
+    for _ in range(150):
+        w = list(common_words)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(30)}"
+        texts.append(" ".join(w[rng.randint(0, 2) :] + [f"t{rng.randrange(5)}"]))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            x, y = sorted((top(i), top(j)))
+            root[y] = x
+    assert got == {i: top(i) for i in range(len(texts))}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in components.components(links).collect()}
