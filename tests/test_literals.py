@@ -1,5 +1,7 @@
 """Known small cases."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +106,14 @@ def test_scratch_tables(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         graph.folder(Cluster, "x")
+
+
+def test_ridden_flag_near_poles(spark):
+    """Streets at and beyond a pole, where a metre is many degrees wide, count like those elsewhere."""
+    rows = [(k, 0, lat, lon, lat + 0.0004, lon + east) for k, (lat, lon, east) in enumerate([(47.6, -117.4, 0.001), (90.0, 10.0, 0.001), (-90.0, 10.0, 0.001), (89.999, 10.0, 0.5), (89.9, -60.0, 0.1), (-89.9, 3.0, 0.0), (107.6, 10.0, 0.0)])]
+    segments = spark.createDataFrame(rows, "way_id bigint, pos bigint, lat1 double, lon1 double, lat2 double, lon2 double")
+    # 20 m beside the middle of way 4, 20 m and 30 m beside that of way 5, 15 m beside that of way 0.
+    off = lambda m, lat: m / geo.DEGREE_M / math.cos(math.radians(lat))
+    points = trace(spark, [(89.9002, -59.95 + off(20, 89.9002)), (-89.8998, 3 + off(20, 89.8998)), (47.6002 + 10 / geo.DEGREE_M, -117.3995)])
+    assert sorted(r["way_id"] for r in coverage.ridden_flag(points, segments).collect()) == [0, 4, 5]
+    assert coverage.ridden_flag(trace(spark, [(-89.8998, 3 + off(30, 89.8998))]), segments).count() == 0
