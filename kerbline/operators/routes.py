@@ -42,12 +42,12 @@ def spread(samples: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def climbs(legs: DataFrame) -> DataFrame:
-    """activity_id, up, down (unknown elevations are 0), up_known, down_known (unknown ones are passed over)."""
+    """activity_id, up, down (unknown elevations are 0), up_known, down_known (unknown ones are passed over; 0 where all are)."""
     before = F.last("ele", ignorenulls=True).over(W.partitionBy("activity_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
     rows = legs.select("activity_id", "seq", "ele", "ele0", before.alias("known")).where("seq > 1")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     gain = lambda a, b: F.sum(F.greatest(a - b, F.lit(0.0)))
-    known = lambda a, b: F.sum(F.when(F.col("ele").isNotNull() & F.col("known").isNotNull(), F.greatest(F.col(a) - F.col(b), F.lit(0.0))).when(F.col("ele").isNotNull(), 0.0))
+    known = lambda a, b: F.sum(F.when(F.col("ele").isNotNull() & F.col("known").isNotNull(), F.greatest(F.col(a) - F.col(b), F.lit(0.0))).otherwise(0.0))
     return rows.groupBy("activity_id").agg(gain(zero("ele"), zero("ele0")).alias("up"), gain(zero("ele0"), zero("ele")).alias("down"), known("ele", "known").alias("up_known"), known("known", "ele").alias("down_known"))
 
 

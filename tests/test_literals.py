@@ -117,3 +117,9 @@ def test_ridden_flag_near_poles(spark):
     points = trace(spark, [(89.9002, -59.95 + off(20, 89.9002)), (-89.8998, 3 + off(20, 89.8998)), (47.6002 + 10 / geo.DEGREE_M, -117.3995)])
     assert sorted(r["way_id"] for r in coverage.ridden_flag(points, segments).collect()) == [0, 4, 5]
     assert coverage.ridden_flag(trace(spark, [(-89.8998, 3 + off(30, 89.8998))]), segments).count() == 0
+
+
+def test_ascent_where_no_later_elevation_is_known(spark):
+    points = trace(spark, [(40, 0), (40, 1), (40, 2)]).withColumn("ele", F.when(F.col("seq") == 1, 280.0))
+    got = routes.climbs(coverage.legs(points)).first()
+    assert (got["up"], got["down"], got["up_known"], got["down_known"]) == (0.0, 280.0, 0.0, 0.0)
