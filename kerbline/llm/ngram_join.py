@@ -230,7 +230,8 @@ def useful(first: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> n
 def lists(heads: DataFrame, percent: int, buckets: int) -> DataFrame:
     """(h, part, set, n, pos, lead, lead_n, lead_pos): members of each prefix shingle's list with its first set, which is not a row itself.
 
-    The first set is one that could pass the positional filter with a set of its own size; a list without such a set links nothing."""
+    The first set is one that could pass the positional filter with a set of its own size; a list without such a set links nothing.
+    What one part of a split list holds may have its partners in others, so all of it is kept, the first set as a row as well."""
     def entries(batches):
         for batch in batches:
             for k, m, block in zip(*(batch.column(c).to_pylist() for c in ("k", "m", "block"))):
@@ -249,7 +250,7 @@ def lists(heads: DataFrame, percent: int, buckets: int) -> DataFrame:
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*names[:5], "late")]
             first = np.ones(len(cols[0]), bool)
             first[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
-            ok = useful(first, cols[3], cols[4], percent)
+            ok = useful(first, cols[3], cols[4], percent) | (cols[1] > 0)
             h, part, s, n, pos, late = (x[ok] for x in cols)
             first = np.ones(len(h), bool)
             first[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
@@ -259,7 +260,7 @@ def lists(heads: DataFrame, percent: int, buckets: int) -> DataFrame:
             earlier = at < 0
             of = lambda x, k: np.where(earlier, lead[k] if lead else x[0], x[np.maximum(at, 0)])  # noqa: E731, B023
             again = s == np.concatenate([[before[2] if before else s[0]], s[:-1]])
-            kept = ~first & ~again & ~of(late, 3)
+            kept = np.where(part > 0, first | ~again, ~first & ~again & ~of(late, 3))
             found = [x[kept] for x in (h, part, s, n, pos, of(s, 0), of(n, 1), of(pos, 2))]
             if kept.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
@@ -387,8 +388,9 @@ def classified(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     rows = common.written(sets_of(docs, words), "sets")
     classes = common.written(rows.where("set is not null").groupBy("set").agg(F.min(F.struct("doc_id", "key")).alias("rep"), *(F.min(b).alias(b) for b in BITS)), "classes")
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    members = common.written(lists(prefixes(docs, counts, words, percent, buckets), percent, buckets), "lists")
-    leads = members.select("h", "part", F.col("lead").alias("set"), F.col("lead_n").alias("n"), F.col("lead_pos").alias("pos")).distinct()
+    whole = common.written(lists(prefixes(docs, counts, words, percent, buckets), percent, buckets), "lists")
+    leads = whole.select("h", "part", F.col("lead").alias("set"), F.col("lead_n").alias("n"), F.col("lead_pos").alias("pos")).distinct()
+    members = whole.where("set <> lead")
     done = [common.written(stars(members, leads, percent), "pairs")]
     links = verified(docs, classes, done[0], counts, words, percent)
     roots, last = components(links), None

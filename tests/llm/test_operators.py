@@ -242,6 +242,15 @@ def test_ngram_many_copies(spark):
     assert got == {i: top(i) for i in range(len(texts))}
 
 
+def test_ngram_split_lists(spark, monkeypatch):
+    """Few sets in lists that are split for the many copies of one: their partners lie in other parts."""
+    monkeypatch.setattr(ngram_join, "HOT", 1)
+    w = [f"w{k}" for k in range(30)]
+    texts = [" ".join(w)] * 40 + [" ".join([*w[:k], "x", *w[k + 1 :]]) for k in (0, 29)] + [" ".join(f"t{i}v{k}" for k in range(20)) for i in range(60)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {i: 0 if i < 42 else i for i in range(len(texts))}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a bigint, b bigint")
     got = {r["node"]: r["root"] for r in components.components(links).collect()}
