@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from kerbline.functions import geo
 from kerbline.operators.graph import saved
 
+#: What stands behind a document's number and behind a document: signs that no XML text holds.
+FIELD, RECORD = "\x1f", "\x1e"
+
 
 def cumulative_profile(legs: DataFrame) -> DataFrame:
     """Running miles (two decimals) and feet (whole)."""
@@ -183,13 +186,17 @@ def geojson(points: DataFrame) -> DataFrame:
 
 
 def write_files(documents: DataFrame, column: str, path: str) -> None:
-    """One text file for each route, in a folder of its activity_id."""
-    documents.select("activity_id", column).write.partitionBy("activity_id").text(path)
+    """Text files of many documents each, so that millions of routes are no millions of files: every document stands whole
+    behind its activity_id and FIELD, and ends with RECORD. XML allows neither sign."""
+    own = F.concat(F.col("activity_id").cast("string"), F.lit(FIELD), F.col(column))
+    documents.select(own.alias("value")).write.option("lineSep", RECORD).text(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, value) of the track files below `path`, each read whole; file is the activity_id of its folder."""
-    return spark.read.text(path, wholetext=True).select(F.col("activity_id").cast("bigint").alias("file"), "value")
+    """(file, value) of the documents below `path`, each whole; file is its activity_id."""
+    rows = spark.read.option("lineSep", RECORD).text(path)
+    at = F.instr("value", FIELD)
+    return rows.select(F.substring("value", F.lit(1), at - 1).cast("bigint").alias("file"), F.substring("value", at + 1, F.length("value")).alias("value"))
 
 
 def parse_tracks(files: DataFrame) -> DataFrame:
