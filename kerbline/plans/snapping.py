@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions import geo
 from kerbline.operators import graph, network, routes, snapping
-from kerbline.plans.catalog import legs, query, r6, required, ridden, rides, segments
+from kerbline.plans.catalog import legs, per_box, query, r6, required, ridden, rides, segments
 from kerbline.plans.twins import hav
 from kerbline.sources.domain import Domain
 
@@ -63,6 +63,7 @@ def nodes_within_cells(d):
 
 @query("traversal_penalty_join", f"""WITH {STEPS} SELECT DISTINCT s.route_id, g.way_id, g.pos, CASE WHEN r.way_id IS NULL THEN 5e0 ELSE 75e0 END AS multiplier
 FROM hops s JOIN segments g ON s.a <> s.b AND least(s.a, s.b) = least(g.u, g.v) AND greatest(s.a, s.b) = greatest(g.u, g.v) LEFT JOIN ridden r ON r.way_id = g.way_id AND r.pos = g.pos""")
+@lambda f: per_box(f, "route_id")
 def traversal_penalty_join(d):
     s = segments(d)
     return snapping.traversal_penalties(drawn(d), snapping.vertices(d.nodes, s), s, ridden(d))

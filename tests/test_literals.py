@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions import geo
 from kerbline.operators import activities, areas, coverage, graph, routes
+from kerbline.plans import catalog
 
 
 def trace(spark, points, activity=1):
@@ -123,3 +124,34 @@ def test_ascent_where_no_later_elevation_is_known(spark):
     points = trace(spark, [(40, 0), (40, 1), (40, 2)]).withColumn("ele", F.when(F.col("seq") == 1, 280.0))
     got = routes.climbs(coverage.legs(points)).first()
     assert (got["up"], got["down"], got["up_known"], got["down_known"]) == (0.0, 280.0, 0.0, 0.0)
+
+
+def test_track_documents_share_files(spark, tmp_path):
+    """Documents with line ends stay whole, and their number does not make the number of files."""
+    rows = [(k, f'<?xml version="1.0"?>\n<gpx>{k}\r\n</gpx>') for k in range(300)]
+    routes.write_files(spark.createDataFrame(rows, "activity_id bigint, gpx string").coalesce(2), "gpx", str(tmp_path / "tracks"))
+    assert len([p for p in (tmp_path / "tracks").rglob("*") if p.suffix == ".txt"]) <= 2
+    assert sorted(map(tuple, routes.read_files(spark, str(tmp_path / "tracks")).collect())) == rows
+
+
+def test_shared_legs(spark):
+    """A leg that several traces share is cut once, with how often it is ridden; every trace's last point counts."""
+    points = trace(spark, [(40, 0), (40, 0.001), (40, 0.002)]).union(trace(spark, [(40, 0), (40, 0.001)], 2)).union(trace(spark, [(40, 0.001), (40, 0.002)], 3))
+    legs = coverage.legs(points)
+    every = sorted(map(tuple, coverage.densified(legs).groupBy("lat", "lon").count().collect()))
+    rows = coverage.shared_points(legs)
+    assert sorted(map(tuple, rows.groupBy("lat", "lon").agg(F.sum("times")).collect())) == every
+    assert rows.count() < coverage.densified(legs).count()
+
+
+def test_equal_boxes_are_answered_once(spark):
+    class Areas:
+        boxes = spark.createDataFrame([(5, 0.0, 0.0, 1.0, 1.0), (3, 0.0, 0.0, 1.0, 1.0), (4, 0.0, 0.0, 1.0, 2.0)], "area_id bigint, south double, west double, north double, east double")
+
+    asked = []
+
+    def f(d):
+        asked.append(sorted(r["area_id"] for r in d.boxes.collect()))
+        return d.boxes.select("area_id", F.col("east").alias("x"))
+
+    assert sorted(map(tuple, catalog.per_box(f)(Areas()).collect())) == [(3, 1.0), (4, 2.0), (5, 1.0)] and asked == [[3, 4]]
