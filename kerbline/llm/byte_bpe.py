@@ -1,7 +1,8 @@
 """Byte-level BPE: a minimal perfect hash over the vocabulary, then a heap over linked bytes for what it misses.
 
 Tier one resolves a pre-token that is itself a vocabulary entry. Tier two merges the lowest rank first
-over a doubly linked list of byte positions. Input texts may be null or empty (no ids), of any length
+over a doubly linked list of byte positions. Texts are cut at spaces, and what stands between
+them is remembered with its ids, so only new parts meet the pattern. Input texts may be null or empty (no ids), of any length
 (one pre-token of n bytes costs n log n); repeated rows are encoded each for itself and an empty table
 gives an empty table. Other columns of the input pass through unless they bear the name of the result.
 """
@@ -10,11 +11,15 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from array import array
+from collections.abc import Callable
+from itertools import filterfalse
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,8 +28,8 @@ from pyspark.sql import functions as F
 from . import common
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Pre-tokens in each of the two generations that a worker remembers.
-REMEMBERED = 120_000
+#: Pre-tokens, and parts between spaces, in each of the two generations that a worker remembers.
+REMEMBERED = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -45,7 +50,7 @@ class PerfectHash:
             bit = (low[left] + (len(self.levels) + 1) * high[left]) % size
             alone = np.bincount(bit, minlength=size) == 1
             number = np.where(alone, taken + np.cumsum(alone) - 1, -1)
-            self.levels.append((size, number.tolist()))
+            self.levels.append((size, number.tolist(), number))
             mine = alone[bit]
             numbers.append((number[bit[mine]], left[mine]))
             left, taken = left[~mine], taken + int(alone.sum())
@@ -58,37 +63,58 @@ class PerfectHash:
         """The key's place in the list given, or -1."""
         h = xxhash.xxh3_128_intdigest(key)
         at, step = h & 0xFFFFFFFFFFFF, h >> 64 & 0xFFFFFFFFFFFF
-        for size, number in self.levels:
+        for size, number, _ in self.levels:
             at += step
             if (i := number[at % size]) >= 0:
                 return int(self.order[i]) if self.keys[i] == key else -1
         return -1
 
 
-def merge(piece: bytes, rank: dict[bytes, int]) -> list[int]:
+    def find_all(self, keys: list[bytes]) -> list[int]:
+        """What find() gives for each of the keys."""
+        step, at = (np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, keys)), ">u8").reshape(-1, 2).T & np.uint64(0xFFFFFFFFFFFF)).astype(np.int64)
+        found, left = np.full(len(keys), -1), np.arange(len(keys))
+        for size, _, number in self.levels:
+            at = at + step
+            got = number[at % size]
+            found[left[got >= 0]] = got[got >= 0]
+            left, at, step = (x[got < 0] for x in (left, at, step))
+        own = self.keys
+        return [o if i >= 0 and own[i] == k else -1 for k, i, o in zip(keys, found.tolist(), self.order[found].tolist())]
+
+
+def pairs_of(rank: dict[bytes, int]) -> list[int]:
+    """The rank of every two bytes, -1 without one, by first * 256 + second."""
+    return [rank.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+
+
+def merge(piece: bytes, rank: dict[bytes, int], pairs: list[int]) -> list[int]:
     """Ids of a piece: join the leftmost adjacent pair of lowest rank until no pair has one.
 
-    `end[i]` is where the part that begins at byte i ends, and so where its neighbour begins; 0 once it was joined.
+    `end[i]` is where the part that begins at byte i ends, and so where its neighbour begins; 0 once it was joined. `now[i]` is the rank
+    of the part and its neighbour, which tells a pair on the heap that has changed meanwhile: pairs only get longer, so no rank comes again.
     """
-    n, get = len(piece), rank.get
+    n, get, push, pop = len(piece), rank.get, heapq.heappush, heapq.heappop
+    now = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:])]
+    heap = [r * n + i for i, r in enumerate(now) if r >= 0]
     end, before = list(range(1, n + 1)), list(range(-1, n))
-    heap = [r * n + i for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
     while heap:
-        r, i = divmod(heapq.heappop(heap), n)
+        r, i = divmod(pop(heap), n)
+        if now[i] != r:
+            continue
         j = end[i]
-        if not j or j == n or get(piece[i : (k := end[j])]) != r:
-            continue  # a part of the pair has been joined meanwhile
-        end[i], end[j], before[k] = k, 0, i
-        if k < n and (r := get(piece[i : end[k]])) is not None:
-            heapq.heappush(heap, r * n + i)
-        if (p := before[i]) >= 0 and (r := get(piece[p:k])) is not None:
-            heapq.heappush(heap, r * n + p)
-    ids, i = [], 0
-    while i < n:
-        ids.append(rank[piece[i : end[i]]])
-        i = end[i]
-    return ids
+        end[i] = k = end[j]
+        end[j], before[k], now[j if k < n else i] = 0, i, -1
+        if k < n:
+            now[i] = r = get(piece[i : end[k]], -1)
+            if r >= 0:
+                push(heap, r * n + i)
+        if (p := before[i]) >= 0:
+            now[p] = r = get(piece[p:k], -1)
+            if r >= 0:
+                push(heap, r * n + p)
+    return [rank[piece[i:e]] for i, e in enumerate(end) if e]
 
 
 class Pieces(common.Recent):
@@ -96,41 +122,111 @@ class Pieces(common.Recent):
 
     def __init__(self, rank: dict[bytes, int]):
         super().__init__(self.tiers, REMEMBERED)
-        self.rank, keys = rank, list(rank)
+        self.rank, self.pairs, keys = rank, pairs_of(rank), list(rank)
         self.hash, self.ids = PerfectHash(keys), [rank[k] for k in keys]
 
     def tiers(self, piece: str) -> bytes:
         raw = piece.encode()
         i = self.hash.find(raw)
-        return array("i", (self.ids[i],) if i >= 0 else merge(raw, self.rank)).tobytes()
+        return array("i", (self.ids[i],) if i >= 0 else merge(raw, self.rank, self.pairs)).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         return super().__missing__(piece) if len(piece) < 100 else self.tiers(piece)
 
 
-class Codec:
-    def __init__(self, path: str, pattern: str):
-        rank = read_ranks(path)
-        self.tokens = [b""] * (max(rank.values()) + 1)
-        for k, v in rank.items():
-            self.tokens[v] = k
-        self.pieces, self.cut = Pieces(rank), regex.compile(pattern).findall
+class Parts(common.Recent):
+    """What stands behind a space, up to the next one, to the int32 bytes of the ids of both."""
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.cut(text))), np.int32)
+    #: A word, signs behind it: with the space before it, a pre-token each.
+    WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-/:-@\[-`{-~]*)").fullmatch
+
+    def __init__(self, pieces: Pieces, cut: Callable[[str], list[str]]):
+        super().__init__(self.tiers, REMEMBERED)
+        self.pieces, self.cut = pieces, cut
+
+    def tiers(self, part: str) -> bytes:
+        first, *more = self.cut(" " + part)
+        return self[first[1:]] + b"".join(map(self.pieces.__getitem__, more)) if more else self.pieces.tiers(first)
+
+    def __missing__(self, part: str) -> bytes:
+        return super().__missing__(part) if len(part) < 100 else self.tiers(part)
+
+    def fill(self, parts: set[str]) -> None:
+        """Learn words that are not remembered, many at a time; other parts are cut by the pattern when they are asked for."""
+        self.room(2 * len(parts))
+        older, words, signed = self.older, set(), []
+        for p in parts:
+            if (got := older.get(p)) is not None:
+                self[p] = got
+            elif len(p) < 100 and (m := self.WORD(p)):
+                word, signs = m.groups()
+                words.add(word)
+                if signs:
+                    signed.append((p, word, signs))
+        words = [w for w in words if w not in self]
+        raw, own = [b" " + w.encode() for w in words], self.pieces
+        for w, k, i in zip(words, raw, own.hash.find_all(raw)):
+            self[w] = older.get(w) or array("i", (own.ids[i],) if i >= 0 else merge(k, own.rank, own.pairs)).tobytes()
+        for p, word, signs in signed:
+            self[p] = self[word] + own[signs]
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
 
+class Codec:
+    #: A space amid white space or behind it at the end: there, a pre-token may hold it behind other signs.
+    AMID = re.compile(r"\s (?!\S)").search
 
-_codecs: dict[tuple[str, str], Codec] = {}
+    def __init__(self, path: str, pattern: str):
+        self.pieces, self.cut = Pieces(read_ranks(path)), regex.compile(pattern).findall
+        self.parts = Parts(self.pieces, self.cut) if pattern == public_tokenizers.PATTERN else None
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """By public_tokenizers.PATTERN a pre-token begins at every space that is not AMID, so texts are cut at spaces before the pattern is asked."""
+        out, at = [], 0
+        while at < len(texts):
+            cut, new = [], set()
+            while at < len(texts) and len(cut) < 200 and len(new) < REMEMBERED // 8:
+                first, *more = [texts[at]] if self.parts is None or self.AMID(texts[at]) else texts[at].split(" ")
+                if more:
+                    new.update(filterfalse(self.parts.__contains__, more))
+                cut.append((first, more))
+                at += 1
+            if new:
+                self.parts.fill(new)
+            for first, more in cut:
+                ids = [*map(self.pieces.__getitem__, self.cut(first)), *(map(self.parts.__getitem__, more) if more else ())]
+                out.append(np.frombuffer(b"".join(ids), np.int32))
+        return out
+
+
+def tokens_of(path: str) -> pa.Array:
+    """The bytes of every id; ids that the vocabulary lacks have none."""
+    rank = read_ranks(path)
+    tokens = [b""] * (max(rank.values()) + 1)
+    for k, v in rank.items():
+        tokens[v] = k
+    return pa.array(tokens, pa.binary())
+
+
+def decoded(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """The bytes that each row's ids stand for end to end; none for null."""
+    found = tokens.take(ids.flatten())
+    ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1) if len(found) else np.zeros(1, np.int32)
+    rows = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends[rows].astype(np.int32)), found.buffers()[2] or pa.py_buffer(b"")])
+
+
+_codecs: dict[tuple[str, ...], Codec | pa.Array] = {}
+
+
+def remembered(make: Callable, *key: str):
+    """One for each Python worker, which serves many tasks."""
+    if key not in _codecs:
+        _codecs[key] = make(*key)
+    return _codecs[key]
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """One for each Python worker, which serves many tasks."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    return remembered(Codec, path, pattern)
 
 
 def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -143,7 +239,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
         own = codec(path, pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [own.encode(t) for t in common.texts_of(batch.column(text))]
+            found = own.encode(common.texts_of(batch.column(text)))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])])
             ids = common.lists(offsets, pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
             return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids], names=[*kept, out])
@@ -160,12 +256,11 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
     schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in kept) + f"`{out}` binary"
 
     def run(batches):
-        tokens = codec(path, public_tokenizers.PATTERN).tokens
+        tokens = remembered(tokens_of, path)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                raw = [b"".join(map(tokens.__getitem__, x or ())) for x in batch.column(ids).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(raw, pa.binary())], names=[*kept, out])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), decoded(batch.column(ids), tokens)], names=[*kept, out])
 
     return df.select(*(f"`{c}`" for c in kept)).mapInArrow(run, schema)
 

@@ -44,6 +44,24 @@ def test_byte_bpe(spark, docs):
     assert [hash_.find(k) for k in list(ranks)[:5000]] == list(range(5000)) and hash_.find(b"\xff none") == -1
 
 
+def test_byte_bpe_parts():
+    """Texts are cut at spaces and each new word is merged once, wherever it stands; white space and signs around spaces give the library's ids."""
+    import tiktoken
+
+    path, rng = P.path(byte_bpe.VOCABULARY), random.Random(5)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    some = [" ", " ", "  ", "\n", "\t", "\x1c", "\x85", "\xa0", "a", "it's", "'s", "'", "re", "é", "漢", "12", "٣", ",", "--", "🙂", "\u200b", "don't", "thandouwh"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randrange(9))) for _ in range(5000)]
+    own = byte_bpe.Codec(path, P.PATTERN)
+    assert [t for t, ids in zip(texts, own.encode(texts)) if ids.tolist() != enc.encode_ordinary(t)] == []
+    met, cut = [], own.cut
+    own.cut = own.parts.cut = lambda t: met.append(t) or cut(t)
+    assert [len(x) for x in own.encode(["qzxqv qzxqv, (qzxqv)"] * 3)] == [len(enc.encode_ordinary("qzxqv qzxqv, (qzxqv)"))] * 3
+    assert " qzxqv" not in met and " qzxqv," not in met and met.count(" (qzxqv)") == 1
+    keys = list(byte_bpe.read_ranks(path))[::97] + [b"qz qz", b"", b" qzq"]
+    assert own.pieces.hash.find_all(keys) == [own.pieces.hash.find(k) for k in keys]
+
+
 def test_token_files(spark, docs):
     from tokenizers import Tokenizer
 
