@@ -29,7 +29,7 @@ from . import common
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pre-tokens, and parts between spaces, in each of the two generations that a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -153,7 +153,7 @@ class Parts(common.Recent):
 
     def fill(self, parts: set[str]) -> None:
         """Learn words that are not remembered, many at a time; other parts are cut by the pattern when they are asked for."""
-        self.room(2 * len(parts))
+        self.room(len(parts))
         older, words, signed = self.older, set(), []
         for p in parts:
             if (got := older.get(p)) is not None:
@@ -262,7 +262,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
                 batch = whole.slice(at, 1000)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), decoded(batch.column(ids), tokens)], names=[*kept, out])
 
-    return df.select(*(f"`{c}`" for c in kept)).mapInArrow(run, schema)
+    return df.select(*(f"`{c}`" for c in kept)).mapInArrow(common.releasing(run), schema)
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ SPARSE = 16
 #: Lists with so many entries or fewer are searched for all their pairs between components in the first turn, longer ones by turns.
 SHORT = 16
 #: Entries of lists that a task gathers before it sends them on; sets that it remembers; how far the parts of a split list lie apart.
-BLOCK, SEEN, STEP = 1 << 19, 1 << 17, np.uint64(0x9E3779B97F4A7C15)
+BLOCK, SEEN, STEP = 1 << 17, 1 << 17, np.uint64(0x9E3779B97F4A7C15)
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -93,7 +93,7 @@ def shingle_counts(docs: DataFrame, words: int = WORDS, counters: int = COUNTERS
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "counts"])
 
     schema = "part int, counts binary"
-    rows = docs.select("text").mapInArrow(count, schema).repartition(parts, "part").mapInArrow(add, schema).collect()
+    rows = docs.select("text").mapInArrow(common.releasing(count), schema).repartition(parts, "part").mapInArrow(add, schema).collect()
     out = np.zeros(counters, np.int64)
     for r in rows:
         out[r["part"] * width : (r["part"] + 1) * width] += np.frombuffer(zlib.decompress(r["counts"]), np.int64)
@@ -144,7 +144,7 @@ def sets_of(docs: DataFrame, words: int) -> DataFrame:
                 cols = [batch.column("doc_id"), batch.column("key"), pa.array([n for n, _, _ in found], pa.int32()), pa.array([d for _, d, _ in found], pa.int64()), *(pa.array(bits[:, k].copy()) for k in range(len(BITS)))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n", "set", *BITS])
 
-    return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(run, "doc_id bigint, key bigint, n int, set bigint, " + ", ".join(f"{b} bigint" for b in BITS))
+    return docs.select("doc_id", row_key().alias("key"), "text").mapInArrow(common.releasing(run), "doc_id bigint, key bigint, n int, set bigint, " + ", ".join(f"{b} bigint" for b in BITS))
 
 
 def packed(key: np.ndarray, part: np.ndarray, sets: np.ndarray, n: np.ndarray, pos: np.ndarray) -> tuple[int, int, bytes]:
@@ -207,7 +207,7 @@ def prefixes(docs: DataFrame, counts, words: int, percent: int, buckets: int) ->
         if kept:
             yield blocks()
 
-    return docs.select("text").mapInArrow(run, "bucket int, k int, m int, block binary")
+    return docs.select("text").mapInArrow(common.releasing(run), "bucket int, k int, m int, block binary")
 
 
 def useful(first: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
@@ -239,7 +239,7 @@ def lists(heads: DataFrame, percent: int, buckets: int) -> DataFrame:
                 h = (key - part.astype(np.uint64) * STEP).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, part, *others)], names=["h", "part", "set", "n", "pos"])
 
-    rows = heads.repartitionById(buckets, "bucket").select("k", "m", "block").mapInArrow(entries, "h bigint, part int, set bigint, n int, pos int")
+    rows = heads.repartitionById(buckets, "bucket").select("k", "m", "block").mapInArrow(common.releasing(entries), "h bigint, part int, set bigint, n int, pos int")
     late = F.col("n") - F.col("pos") < needed(F.col("n"), F.col("n"), percent)
     rows = rows.withColumn("late", late).sortWithinPartitions("h", "part", "late", "set", "n")
     names = ["h", "part", "set", "n", "pos", "lead", "lead_n", "lead_pos"]
@@ -267,7 +267,7 @@ def lists(heads: DataFrame, percent: int, buckets: int) -> DataFrame:
             lead = [of(x, k)[-1] for k, x in enumerate((s, n, pos, late))]
             before = (h[-1], part[-1], s[-1])
 
-    return rows.mapInArrow(run, "h bigint, part int, set bigint, n int, pos int, lead bigint, lead_n int, lead_pos int")
+    return rows.mapInArrow(common.releasing(run), "h bigint, part int, set bigint, n int, pos int, lead bigint, lead_n int, lead_pos int")
 
 
 def near(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Column:
@@ -379,7 +379,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, counts, word
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return common.written(sent.mapInArrow(run, "a bigint, b bigint"), "verified")
+    return common.written(sent.mapInArrow(common.releasing(run), "a bigint, b bigint"), "verified")
 
 
 def classified(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -167,6 +167,7 @@ def keep_good(docs: DataFrame, model: Machine, cut: float = CUT) -> DataFrame:
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
         out = [model.score(common.texts_of(part.slice(k, 64))) for _, part in common.parts(text) for k in range(0, len(part), 64)]
+        common.release()
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return docs.where(scored("text") >= cut)

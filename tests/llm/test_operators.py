@@ -62,6 +62,22 @@ def test_byte_bpe_parts():
     assert own.pieces.hash.find_all(keys) == [own.pieces.hash.find(k) for k in keys]
 
 
+def test_prefix_blocks_and_memory(spark, monkeypatch):
+    """A task holds few entries at a time, and gives back what it has freed when it ends, not before its last batch."""
+    calls, got = [], {}
+    monkeypatch.setattr(byte_bpe.common, "release", lambda: calls.append(len(got["out"])))
+    docs = type("Docs", (), {"select": lambda self, *_: self, "mapInArrow": lambda self, run, _: got.update(run=run)})()
+    counts = type("Counts", (), {"value": np.ones(ngram_join.COUNTERS, np.int64)})()
+    ngram_join.prefixes(docs, counts, 5, 75, 4)
+    rng = random.Random(8)
+    texts = [" ".join(str(rng.randrange(1 << 40)) for _ in range(4000)) for _ in range(200)]
+    got["out"] = []
+    for batch in got["run"](iter([pa.record_batch([pa.array(texts)], names=["text"])])):
+        got["out"].append(sum(batch.column("k").to_pylist()))
+    assert sum(got["out"]) == 200 * (3996 - 2997 + 1) and max(got["out"]) < (1 << 17) + 1000 and calls == [len(got["out"])]
+    byte_bpe.common.release()
+
+
 def test_token_files(spark, docs):
     from tokenizers import Tokenizer
 
