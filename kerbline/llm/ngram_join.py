@@ -300,10 +300,10 @@ def open_lists(every: DataFrame, roots: DataFrame) -> DataFrame:
 
 def fresh(found: DataFrame, done: list[DataFrame]) -> DataFrame:
     """Distinct pairs of `found` that were not verified before."""
-    ends = lambda p: p.withColumn("lo", F.least("hub", "other")).withColumn("hi", F.greatest("hub", "other"))
-    out = ends(distinct_pairs(found)).dropDuplicates(["lo", "hi"])
+    lo, hi = F.least("hub", "other").alias("lo"), F.greatest("hub", "other").alias("hi")
+    out = found.groupBy(lo, hi).agg(F.min(F.struct("hub", "other", "at", "to")).alias("x")).select("lo", "hi", "x.*")
     for d in done:
-        out = out.join(ends(d).select("lo", "hi"), ["lo", "hi"], "left_anti")
+        out = out.join(d.select(lo, hi), ["lo", "hi"], "left_anti")
     return common.written(out.drop("lo", "hi"), "pairs")
 
 

@@ -137,7 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     ids = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     one = F.min(F.struct(F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"), "q"))  # of rows that share an id always the same
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(one.alias("x")).select("doc_id", "x.text", "x.q").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return fit([(r["text"] or "", r["q"]) for r in rows.select("text", "q").collect()])
+    model = fit([(r["text"] or "", r["q"]) for r in rows.select("text", "q").collect()])
+    common.release()
+    return model
 
 
 def score(docs: DataFrame, model: Machine, cut: float = CUT) -> DataFrame:

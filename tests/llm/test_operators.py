@@ -291,6 +291,24 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_in_few_rounds(spark, monkeypatch):
+    made, written = [], components.common.written
+    monkeypatch.setattr(components.common, "written", lambda df, name: made.append(name) or written(df, name))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(400)], "a bigint, b bigint")
+    assert {tuple(r) for r in components.components(chain).collect()} == {(i, 0) for i in range(401)}
+    assert len(made) == 1  # a round of shuffles for each doubling before
+    monkeypatch.setattr(components, "LINKS", 16)  # many blocks: rounds have to go on
+    rng = random.Random(4)
+    links, root = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(330)], {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in links:
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    got = sorted(map(tuple, components.components(spark.createDataFrame(links, "a bigint, b bigint").repartition(7)).collect()))
+    assert got == sorted((x, find(x)) for x in root)
+
+
 def test_quality(spark):
     good = [(i, " ".join(random.choice(WORDS) for _ in range(80)) + ".") for i in range(120)]
     bad = [(i, "### %%% " * 40) for i in range(120, 240)]
