@@ -100,6 +100,21 @@ def test_token_parts():
     assert [t for t, e, g in zip(texts, whole, got) if [*e.ids, token_files.END] != g.tolist()] == []
 
 
+def test_token_memory(spark, docs, monkeypatch):
+    words = token_files.Words(P.path(token_files.VOCABULARY))
+    for known in (False, True):  # what is met once does not fill the table of frequent parts
+        words.encode(["Qzvx stands here"], token_files.END)
+        assert ("qzvx" in words) == known
+    monkeypatch.setattr(token_files, "REMEMBERED", 64)
+    words, rng = token_files.Words(P.path(token_files.VOCABULARY)), random.Random(5)
+    texts = [" ".join(rng.choice(("the", "Éa", "x-%d", "a%d's", "字%d")).replace("%d", str(rng.randrange(99))) for _ in range(rng.randrange(90))) for _ in range(300)]
+    whole = words.one.encode_batch_fast(texts, add_special_tokens=False)
+    assert [x.tolist() for x in words.encode(texts, token_files.END)] == [[*e.ids, token_files.END] for e in whole]
+    assert len(words) <= 400 and len(words.older) <= 800  # no more than one batch beyond
+    plan = token_files.written_and_read(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # ids stay in Python until they are digested
+
+
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 70_000])
 def test_blocks(n):
     ids = np.random.default_rng(n).integers(0, 49_408, n).astype(np.int32)
