@@ -16,16 +16,19 @@ from kerbline.llm import byte_bpe, common, decontaminate, ngram_join, quality, s
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
+    common.small_batches(spark)
     return quality.keep_good(docs, quality.train(docs, common.table(spark, sf_dir, "labels")))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    common.small_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    common.small_batches(spark)
     return decontaminate.keep_clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
@@ -36,6 +39,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and digest of each document's ids, and the digest of what they decode to."""
+    common.small_batches(spark)
     return byte_bpe.digests(docs)
 
 

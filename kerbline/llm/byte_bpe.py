@@ -215,18 +215,14 @@ def decoded(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends[rows].astype(np.int32)), found.buffers()[2] or pa.py_buffer(b"")])
 
 
-_codecs: dict[tuple[str, ...], Codec | pa.Array] = {}
-
-
-def remembered(make: Callable, *key: str):
-    """One for each Python worker, which serves many tasks."""
-    if key not in _codecs:
-        _codecs[key] = make(*key)
-    return _codecs[key]
+def codec(path: str, pattern: str) -> Codec:
+    return common.lasting(__name__, Codec, path, pattern)
 
 
-def codec(path: str, pattern: str) -> Codec:
-    return remembered(Codec, path, pattern)
+def encoded(texts: pa.Array, own: Codec) -> pa.ListArray:
+    """The ids of each text."""
+    found = own.encode(common.texts_of(texts))
+    return common.lists(np.concatenate([[0], np.cumsum([len(x) for x in found])]), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
 
 
 def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -239,9 +235,7 @@ def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None
         own = codec(path, pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = own.encode(common.texts_of(batch.column(text)))
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])])
-            ids = common.lists(offsets, pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
+            ids = encoded(batch.column(text), own)
             return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids], names=[*kept, out])
 
         return step
@@ -256,7 +250,7 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
     schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in kept) + f"`{out}` binary"
 
     def run(batches):
-        tokens = remembered(tokens_of, path)
+        tokens = common.lasting(__name__, tokens_of, path)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
@@ -270,8 +264,20 @@ def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Encode, decode the ids again, and give counts and digests of both."""
-    done = decode(encode(docs.select("doc_id", "text")))
+    """Encode, decode the ids again, and give counts and digests of both; a task does so in one Python worker, not two at a time."""
+    path = public_tokenizers.path(VOCABULARY)
+
+    def make():
+        own, tokens = codec(path, public_tokenizers.PATTERN), common.lasting(__name__, tokens_of, path)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ids = encoded(batch.column("text"), own)
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, decoded(ids, tokens)], names=["doc_id", "ids", "decoded"])
+
+        return step
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    done = common.map_batches(docs.select("doc_id", "text"), "text", make, f"doc_id {kind}, ids array<int>, decoded binary")
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

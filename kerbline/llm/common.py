@@ -73,6 +73,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_few(df: DataFrame, name: str, files: int) -> DataFrame:
+    """As written(), with so many files at most, if any number.
+
+    Hadoop's local file system starts a process of its own for each file that an executor opens, which shares all memory of the executor for a
+    moment and counts once more."""
+    return written(df.coalesce(files) if files else df, name)
+
+
 def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Python strings of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]
@@ -101,10 +109,43 @@ def release() -> None:
         trim(0)
 
 
-def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """`run`, for mapInArrow, and what it has freed given back when a task ends."""
+#: What this process keeps from task to task, by operator and key.
+_lasting: dict[tuple, object] = {}
+
+
+def serves(operator: str) -> None:
+    """Drop what other operators have left in this Python worker: it lives on and serves tasks of them all."""
+    for key in [k for k in _lasting if k[0] != operator]:
+        del _lasting[key]
+
+
+def lasting(operator: str, make: Callable, *key):
+    """make(*key), once in each Python worker until it serves another operator."""
+    serves(operator)
+    own = (operator, make, *key)
+    if own not in _lasting:
+        _lasting[own] = make(*key)
+    return _lasting[own]
+
+
+#: Bytes of an Arrow batch that travels to a Python worker, or one row.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session hold BATCH bytes at most: each task keeps some in the executor's JVM and in its worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    size, unit = re.match(r"(\d+)([kmgtp]?)", spark.conf.get(name).strip().lower()).groups()
+    if int(size) * 1024 ** " kmgtp".index(unit or " ") > BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], operator: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, for mapInArrow, after what other operators keep in the worker was dropped, and what it has freed given back when a task ends."""
+    operator = operator or run.__module__
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        serves(operator)
         yield from run(batches)
         release()
 
@@ -120,7 +161,7 @@ def map_batches(df: DataFrame, column: str, make: Callable[[], Callable[[pa.Reco
             for part in slices(batch, column):
                 yield step(part)
 
-    return df.mapInArrow(releasing(run), schema)
+    return df.mapInArrow(releasing(run, make.__module__), schema)
 
 
 def lists(offsets: np.ndarray, values: pa.Array) -> pa.ListArray:

@@ -48,7 +48,7 @@ def contracted(links: DataFrame) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*map(np.concatenate, zip(*kept)))], names=["a", "b"])
 
-    return links.mapInArrow(run, "a bigint, b bigint")
+    return links.mapInArrow(common.releasing(run), "a bigint, b bigint")
 
 
 def settled(links: DataFrame) -> bool:
@@ -58,8 +58,9 @@ def settled(links: DataFrame) -> bool:
     return not nodes.agg(F.count_if((F.col("low") < F.col("high")) | (F.col("low").isNotNull() & (F.col("met") > 0)))).first()[0]
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b): root is the smallest node reachable. Nulls and loops are dropped."""
+def components(links: DataFrame, files: int = 0) -> DataFrame:
+    """(node, root) for every node of the links (a, b): root is the smallest node reachable. Nulls and loops are dropped.
+    `files`: of each table written on the way, at most, if any number."""
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.union(pairs.select("b", "a")).where("a > b") if not large else pairs.union(pairs.select("b", "a"))
@@ -69,8 +70,8 @@ def components(links: DataFrame) -> DataFrame:
         return kept.where("a <> b").distinct()
 
     now = links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = common.written(contracted(contracted(now).distinct()), "links")
+    now = common.written_few(contracted(contracted(now).distinct()), "links", files)
     while not settled(now):
-        now = common.written(contracted(star(star(now, True), False)), "links")
+        now = common.written_few(contracted(star(star(now, True), False)), "links", files)
     roots = now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     return roots.union(now.select("b", "b").distinct())

@@ -195,16 +195,14 @@ def indexes(benchmark: DataFrame):
         yield context.broadcast((uuid.uuid4().hex, held))
 
 
-_built: dict[str, Index] = {}
-
-
 def built(items) -> Index:
     """The index of a broadcast, made once in each Python worker."""
     key, held = items.value
-    if key not in _built:
-        _built.clear()
-        _built[key] = Index(held)
-    return _built[key]
+    kept = common.lasting(__name__, dict)  # one at a time
+    if key not in kept:
+        kept.clear()
+        kept[key] = Index(held)
+    return kept[key]
 
 
 def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -239,6 +237,7 @@ def holds_none(items):
         index, kept = built(items), np.ones(len(text), bool)
         for at, part in common.parts(text):
             kept[[at + i for i, *_ in search_texts(index, part)]] = False
+        common.release()
         return pa.array(kept)
 
     return clean

@@ -48,6 +48,10 @@ SPARSE = 16
 SHORT = 16
 #: Entries of lists that a task gathers before it sends them on; sets that it remembers; how far the parts of a split list lie apart.
 BLOCK, SEEN, STEP = 1 << 17, 1 << 17, np.uint64(0x9E3779B97F4A7C15)
+#: Words of all texts for each task that writes a table on the way, where that is more than two tasks for each core.
+SHARE = 1 << 20
+#: Entries, roughly, of the key ranges into which a bucket is cut: a task has one of them in memory at a time.
+RANGE = 1 << 17
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -168,11 +172,14 @@ def unpacked(k: int, m: int, block: bytes) -> list[np.ndarray]:
 
 
 def prefixes(docs: DataFrame, counts, words: int, percent: int, buckets: int) -> DataFrame:
-    """(bucket, k, m, block): the prefixes of all sets, up to BLOCK entries of a task at a time cut into ranges of their keys.
+    """(bucket, cut, k, m, block): the prefixes of all sets, up to BLOCK entries of a task at a time cut into ranges of their keys, so many to each
+    bucket that a range holds about RANGE entries, all of a list, and little more than the longest part of a list otherwise.
 
     A copy that the task remembers (the last SEEN sets at most) is left out before any shuffle. `part` is 0, or for the list of a very frequent shingle
     from 1 on; the key is the shingle, moved by a fixed step for each part, so that the parts of a list lie in different ranges."""
 
+    cuts = max(1, -(-int(counts.value.sum()) * (100 - percent) // (100 * buckets * RANGE)))
+
     def run(batches):
         own, seen, held, kept = counts.value, set(), 0, []
         hot = 4 * float(own[own > 0].mean()) if own.any() else 0.0
@@ -181,11 +188,11 @@ def prefixes(docs: DataFrame, counts, words: int, percent: int, buckets: int) ->
             key, part, sets, n, pos = (np.concatenate(x) for x in zip(*kept))
             order = np.argsort(key, kind="stable")
             key, part, sets, n, pos = (x[order] for x in (key, part, sets, n, pos))
-            bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(key)]
-            rows = [(int(bucket[a]), *packed(*(x[a:b] for x in (key, part, sets, n, pos)))) for a, b in zip(edges, edges[1:])]
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "k", "m", "block"])
+            cut = ((key >> np.uint64(32)) * np.uint64(buckets * cuts) >> np.uint64(32)).astype(np.int64)
+            edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), len(key)]
+            rows = [(*divmod(int(cut[a]), cuts), *packed(*(x[a:b] for x in (key, part, sets, n, pos)))) for a, b in zip(edges, edges[1:])]
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["bucket", "cut", "k", "m", "block"])
 
         for whole in batches:
             for batch in common.slices(whole, "text"):
@@ -207,16 +214,14 @@ def prefixes(docs: DataFrame, counts, words: int, percent: int, buckets: int) ->
         if kept:
             yield blocks()
 
-    return docs.select("text").mapInArrow(common.releasing(run), "bucket int, k int, m int, block binary")
+    return docs.select("text").mapInArrow(common.releasing(run), "bucket int, cut int, k int, m int, block binary")
 
 
 def useful(first: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
-    """Whether a row has a partner within the length and positional filters in its list; rows of lists longer than SPAN, or that
-    reach over the ends of the batch, all count as useful."""
-    lists = np.cumsum(first) - (1 if first[0] else 0)
+    """Whether a row has a partner within the length and positional filters in its list; rows of lists longer than SPAN all count as useful."""
+    lists = np.cumsum(first) - 1
     size = np.bincount(lists)
     ok = size[lists] > SPAN
-    ok |= (lists == lists[0]) | (lists == lists[-1])
     n, left = n.astype(np.int64), (n - pos).astype(np.int64)
     for d in range(1, min(SPAN, int(size.max()))):
         x, y = slice(None, -d), slice(d, None)
@@ -227,47 +232,53 @@ def useful(first: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> n
     return ok
 
 
+def starts(h: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Whether a list, or a part of a split one, begins at each entry."""
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
+    return first
+
+
+def led(blocks: list[tuple[int, int, bytes]], percent: int) -> list[np.ndarray]:
+    """The columns of lists() for the blocks of one range of keys."""
+    key, part, s, n, pos = (np.concatenate(x) for x in zip(*(unpacked(*b) for b in blocks)))
+    h, size = (key - part.astype(np.uint64) * STEP).view(np.int64), n.astype(np.int64)
+    late = size - pos < -(-2 * size * percent // (100 + percent))
+    order = np.lexsort((n, s, late, part, h))
+    h, part, s, n, pos, late = (x[order] for x in (h, part, s, n, pos, late))
+    ok = useful(starts(h, part), n, pos, percent) | (part > 0)
+    h, part, s, n, pos, late = (x[ok] for x in (h, part, s, n, pos, late))
+    first = starts(h, part)
+    lead = np.flatnonzero(first)[np.cumsum(first) - 1] if len(h) else np.zeros(0, np.int64)
+    again = np.zeros(len(h), bool)
+    again[1:] = s[1:] == s[:-1]
+    kept = np.where(part > 0, first | ~again, ~first & ~again & ~late[lead])
+    at = lead[kept]
+    return [*(x[kept] for x in (h, part, s, n, pos)), s[at], n[at], pos[at]]
+
+
 def lists(heads: DataFrame, percent: int, buckets: int) -> DataFrame:
     """(h, part, set, n, pos, lead, lead_n, lead_pos): members of each prefix shingle's list with its first set, which is not a row itself.
 
     The first set is one that could pass the positional filter with a set of its own size; a list without such a set links nothing.
-    What one part of a split list holds may have its partners in others, so all of it is kept, the first set as a row as well."""
-    def entries(batches):
-        for batch in batches:
-            for k, m, block in zip(*(batch.column(c).to_pylist() for c in ("k", "m", "block"))):
-                key, part, *others = unpacked(k, m, block)
-                h = (key - part.astype(np.uint64) * STEP).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, part, *others)], names=["h", "part", "set", "n", "pos"])
-
-    rows = heads.repartitionById(buckets, "bucket").select("k", "m", "block").mapInArrow(common.releasing(entries), "h bigint, part int, set bigint, n int, pos int")
-    late = F.col("n") - F.col("pos") < needed(F.col("n"), F.col("n"), percent)
-    rows = rows.withColumn("late", late).sortWithinPartitions("h", "part", "late", "set", "n")
-    names = ["h", "part", "set", "n", "pos", "lead", "lead_n", "lead_pos"]
+    What one part of a split list holds may have its partners in others, so all of it is kept, the first set as a row as well.
+    A part of a list lies in one range of keys, and ranges are taken one by one: entries are unpacked, sorted and filtered in one Python worker."""
+    schema = "h bigint, part int, set bigint, n int, pos int, lead bigint, lead_n int, lead_pos int"
 
     def run(batches):
-        lead = before = None
+        now, blocks = None, []
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in (*names[:5], "late")]
-            first = np.ones(len(cols[0]), bool)
-            first[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
-            ok = useful(first, cols[3], cols[4], percent) | (cols[1] > 0)
-            h, part, s, n, pos, late = (x[ok] for x in cols)
-            first = np.ones(len(h), bool)
-            first[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
-            if before is not None:
-                first[0] = (h[0], part[0]) != before[:2]
-            at = np.maximum.accumulate(np.where(first, np.arange(len(h)), -1))
-            earlier = at < 0
-            of = lambda x, k: np.where(earlier, lead[k] if lead else x[0], x[np.maximum(at, 0)])  # noqa: E731, B023
-            again = s == np.concatenate([[before[2] if before else s[0]], s[:-1]])
-            kept = np.where(part > 0, first | ~again, ~first & ~again & ~of(late, 3))
-            found = [x[kept] for x in (h, part, s, n, pos, of(s, 0), of(n, 1), of(pos, 2))]
-            if kept.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=names)
-            lead = [of(x, k)[-1] for k, x in enumerate((s, n, pos, late))]
-            before = (h[-1], part[-1], s[-1])
-
-    return rows.mapInArrow(common.releasing(run), "h bigint, part int, set bigint, n int, pos int, lead bigint, lead_n int, lead_pos int")
+            for cut, *block in zip(*(batch.column(c).to_pylist() for c in ("cut", "k", "m", "block"))):
+                if cut != now and blocks:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in led(blocks, percent)], names=[x.split()[0] for x in schema.split(", ")])
+                    blocks.clear()
+                now = cut
+                blocks.append(block)
+        if blocks:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in led(blocks, percent)], names=[x.split()[0] for x in schema.split(", ")])
+
+    rows = heads.repartitionById(buckets, "bucket").sortWithinPartitions("cut").select("cut", "k", "m", "block")
+    return rows.mapInArrow(common.releasing(run), schema)
 
 
 def near(n: Column, pos: Column, m: Column, at: Column, percent: int) -> Column:
@@ -290,21 +301,21 @@ def stars(members: DataFrame, leads: DataFrame, percent: int) -> DataFrame:
     return distinct_pairs(star.union(more))
 
 
-def open_lists(every: DataFrame, roots: DataFrame) -> DataFrame:
+def open_lists(every: DataFrame, roots: DataFrame, files: int) -> DataFrame:
     """(h, set, n, pos, bits, c, main, m): members of the m entries of lists whose sets lie in several components c, `main` being the largest there."""
     every = every.join(roots, F.col("set") == F.col("node"), "left").withColumn("c", F.coalesce("root", "set")).drop("node", "root")
-    every = common.written(every, "entries")
+    every = common.written_few(every, "entries", files)
     several = every.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("m"), F.count("*").alias("cs")).where("cs > 1").drop("cs")
     return every.join(several, "h")
 
 
-def fresh(found: DataFrame, done: list[DataFrame]) -> DataFrame:
+def fresh(found: DataFrame, done: list[DataFrame], files: int) -> DataFrame:
     """Distinct pairs of `found` that were not verified before."""
     lo, hi = F.least("hub", "other").alias("lo"), F.greatest("hub", "other").alias("hi")
     out = found.groupBy(lo, hi).agg(F.min(F.struct("hub", "other", "at", "to")).alias("x")).select("lo", "hi", "x.*")
     for d in done:
         out = out.join(d.select(lo, hi), ["lo", "hi"], "left_anti")
-    return common.written(out.drop("lo", "hi"), "pairs")
+    return common.written_few(out.drop("lo", "hi"), "pairs", files)
 
 
 def more_stars(left: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -347,13 +358,13 @@ def linked(a: np.ndarray, b: np.ndarray, at: int, to: int, counts: np.ndarray, p
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, counts, words: int, percent: int) -> DataFrame:
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, counts, words: int, percent: int, files: int) -> DataFrame:
     """Those of the distinct pairs (hub, other, at, to) that are links (a, b), by their texts."""
     none = F.lit(None).cast("int")
     dealt = pairs.withColumn("chunk", F.pmod(F.xxhash64("other"), F.lit(CHUNKS)).cast("int"))
     hubs = dealt.select("hub", "chunk").distinct().select("hub", "chunk", F.col("hub").alias("set"), none.alias("at"), none.alias("to"))
     asked = hubs.union(dealt.select("hub", "chunk", "other", "at", "to")).join(classes.select("set", "rep"), "set")
-    asked = common.written(asked, "asked")
+    asked = common.written_few(asked, "asked", files)
     mark = lambda c: F.pmod(F.col(c), F.lit(MARKS)).cast("int")
     marks = asked.select(mark("rep.key").alias("mark")).distinct()  # MARKS rows at most
     texts = docs.select("doc_id", row_key().alias("key"), "text").join(F.broadcast(marks), mark("key") == F.col("mark"), "left_semi")
@@ -379,23 +390,24 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, counts, word
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    return common.written(sent.mapInArrow(common.releasing(run), "a bigint, b bigint"), "verified")
+    return common.written_few(sent.mapInArrow(common.releasing(run), "a bigint, b bigint"), "verified", files)
 
 
-def classified(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, key, n, root) for every row: root is a number of its component, null where there are no words."""
+def classified(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, int]:
+    """(doc_id, key, n, root) for every row, written: root is a number of its component, null where there are no words; the files of a table."""
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, words))  # COUNTERS numbers
-    rows = common.written(sets_of(docs, words), "sets")
-    classes = common.written(rows.where("set is not null").groupBy("set").agg(F.min(F.struct("doc_id", "key")).alias("rep"), *(F.min(b).alias(b) for b in BITS)), "classes")
+    files = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-int(counts.value.sum()) // SHARE))
+    rows = common.written_few(sets_of(docs, words), "sets", files)
+    classes = common.written_few(rows.where("set is not null").groupBy("set").agg(F.min(F.struct("doc_id", "key")).alias("rep"), *(F.min(b).alias(b) for b in BITS)), "classes", files)
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    whole = common.written(lists(prefixes(docs, counts, words, percent, buckets), percent, buckets), "lists")
+    whole = common.written_few(lists(prefixes(docs, counts, words, percent, buckets), percent, buckets), "lists", files)
     leads = whole.select("h", "part", F.col("lead").alias("set"), F.col("lead_n").alias("n"), F.col("lead_pos").alias("pos")).distinct()
     members = whole.where("set <> lead")
-    done = [common.written(stars(members, leads, percent), "pairs")]
-    links = verified(docs, classes, done[0], counts, words, percent)
-    roots, last = components(links), None
+    done = [common.written_few(stars(members, leads, percent), "pairs", files)]
+    links = verified(docs, classes, done[0], counts, words, percent, files)
+    roots, last = components(links, files), None
     every = members.select("h", "set", "n", "pos").union(leads.select("h", "set", "n", "pos"))
-    left = common.written(open_lists(every, roots).join(classes.select("set", *BITS), "set"), "entries")
+    left = common.written_few(open_lists(every, roots, files).join(classes.select("set", *BITS), "set"), "entries", files)
     found, left = rest(left.where(F.col("m") <= SHORT), percent), left.where(F.col("m") > SHORT)
     while True:
         n, pairs = left.groupBy("h").agg(F.count_if(F.col("c") != F.col("main")).alias("k"), F.count("*").alias("m")).agg(F.sum("k"), F.sum(F.col("k") * F.col("m"))).first()
@@ -405,22 +417,23 @@ def classified(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
             found = more if found is None else found.union(more)
         if found is None:
             break
-        done.append(fresh(found, done))
-        links = links.union(verified(docs, classes, done[-1], counts, words, percent))
-        roots, last, found = components(links), n, None
+        done.append(fresh(found, done, files))
+        links = links.union(verified(docs, classes, done[-1], counts, words, percent, files))
+        roots, last, found = components(links, files), n, None
         if last_turn:
             break
-        left = common.written(open_lists(left.select("h", "set", "n", "pos", *BITS), roots), "entries")
-    roots = common.written(roots, "roots")
-    return rows.join(roots, F.col("set") == F.col("node"), "left").select("doc_id", "key", F.col("n").cast("bigint").alias("n"), F.coalesce("root", "set").alias("root"))
+        left = common.written_few(open_lists(left.select("h", "set", "n", "pos", *BITS), roots, files), "entries", files)
+    roots = common.written_few(roots, "roots", files)
+    full = rows.join(roots, F.col("set") == F.col("node"), "left").select("doc_id", "key", F.col("n").cast("bigint").alias("n"), F.coalesce("root", "set").alias("root"))
+    return common.written_few(full, "rows", files), files
 
 
 def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
-    full = common.written(classified(docs, words, percent), "rows")
-    least = common.written(full.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least")
+    full, files = classified(docs, words, percent)
+    least = common.written_few(full.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least")), "least", files)
     some = full.where("root is not null").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
-    return some.union(full.where("root is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return some.union(full.where("root is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))).coalesce(files)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -428,16 +441,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Repeated rows count as one; rows without words stay, each different one once."""
     whole = F.xxhash64(*(F.to_json(c) if docs.schema[c].dataType.typeName() in ("map", "variant") else F.col(f"`{c}`") for c in docs.columns))
-    rows = common.written(classified(docs), "rows")
+    rows, files = classified(docs)
     named = docs.select("doc_id", row_key().alias("key"), whole.alias("row")).groupBy("doc_id", "key", "row").agg(F.count("*").alias("times"))
     every = rows.select("doc_id", "key", "root").distinct().alias("r").join(named.alias("d"), F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("r.key") == F.col("d.key")))
     first = F.min(F.struct(F.col("d.doc_id").isNull().alias("none"), F.col("d.doc_id").alias("id"), F.col("d.row").alias("row"), F.col("d.times").alias("times")))
     kept = every.where("root is not null").groupBy("root").agg(first.alias("x")).select("x.id", "x.row", "x.times").union(every.where("root is null").select("d.doc_id", "d.row", "d.times"))
-    kept = common.written(kept, "kept")
+    kept = common.written_few(kept, "kept", files)
     held = docs.withColumn("__row", whole)
     of = lambda k: held.join(k, held["doc_id"].eqNullSafe(k["id"]) & (held["__row"] == k["row"]), "left_semi")
     # Only rows that are repeated have to meet; the texts of others stay where they are read.
-    return of(kept.where("times = 1")).unionByName(of(kept.where("times > 1")).dropDuplicates(["doc_id", "__row"])).drop("__row")
+    return of(kept.where("times = 1")).unionByName(of(kept.where("times > 1")).dropDuplicates(["doc_id", "__row"])).drop("__row").coalesce(files)
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:

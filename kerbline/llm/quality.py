@@ -44,7 +44,8 @@ def statistics(raw: bytes, words: list[bytes], counts: Counter) -> list[float]:
     ]
 
 
-_buckets = common.Recent(lambda word: xxhash.xxh3_64_intdigest(word) % WORDS, 1 << 16)
+def _buckets() -> common.Recent:
+    return common.Recent(lambda word: xxhash.xxh3_64_intdigest(word) % WORDS, 1 << 16)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray, list[float]]:
@@ -52,7 +53,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, list[float]]:
     raw = text.encode()
     words = raw.split()
     counts = Counter(words)
-    buckets, inverse = np.unique(np.fromiter(map(_buckets.__getitem__, counts), np.int32, len(counts)), return_inverse=True)
+    buckets, inverse = np.unique(np.fromiter(map(common.lasting(__name__, _buckets).__getitem__, counts), np.int32, len(counts)), return_inverse=True)
     ids = buckets.astype(np.int32)
     x = np.sqrt(np.bincount(inverse, np.fromiter(counts.values(), np.float64, len(counts)), len(ids))).astype(np.float32)
     return ids, x / max(1e-9, float(np.sqrt((x * x).sum()))), statistics(raw, words, counts)
@@ -138,6 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     one = F.min(F.struct(F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"), "q"))  # of rows that share an id always the same
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(one.alias("x")).select("doc_id", "x.text", "x.q").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     model = fit([(r["text"] or "", r["q"]) for r in rows.select("text", "q").collect()])
+    common.serves("")  # the driver needs the buckets no more
     common.release()
     return model
 

@@ -543,3 +543,88 @@ def test_classifier_of_shared_ids(spark):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id bigint, quality int, toxic int")
     models = [quality.train(spark.createDataFrame(r, "doc_id bigint, text string").repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 7))]
     assert np.array_equal(*(m.score([t for _, t in rows[:20]]) for m in models))
+
+
+def test_ngram_lists_of_ranges(monkeypatch):
+    """Lists and their first sets are the same however the keys are cut into ranges and the entries into blocks, against plain Python."""
+    rng = random.Random(6)
+    sets = {rng.randrange(-(1 << 62), 1 << 62): rng.randint(4, 12) for _ in range(60)}
+    size = lambda n: n - (3 * n + 3) // 4 + 1
+    rows = [(h, 0 if h % 3 else 1 + s % 2, s, n, rng.randrange(size(n))) for h in [rng.randrange(-(1 << 62), 1 << 62) for _ in range(80)] for s, n in rng.sample(sorted(sets.items()), rng.choice([1, 2, 5, 30]))]
+    rows += rng.sample(rows, 50)  # copies that came from other tasks
+    want, groups = [], {}
+    for r in set(rows):
+        groups.setdefault(r[:2], []).append(r[2:])
+    near = lambda x, y: 100 * min(x[1], y[1]) >= 75 * max(x[1], y[1]) and 175 * min(x[1] - x[2], y[1] - y[2]) >= 75 * (x[1] + y[1])
+    late = lambda x: 175 * (x[1] - x[2]) < 150 * x[1]
+    for (h, part), own in groups.items():
+        every = [r[2:] for r in rows if r[:2] == (h, part)]
+        if not part and len(every) <= ngram_join.SPAN:
+            own = [x for x in own if any(near(x, y) for y in own if y != x) or every.count(x) > 1 and near(x, x)]
+        own.sort(key=lambda x: (late(x), x[0]))
+        if own and (part or not late(own[0])):
+            want += [(h, part, *x, *own[0]) for x in own[0 if part else 1 :]]
+
+    def key(r):
+        return (r[0] + r[1] * int(ngram_join.STEP)) % (1 << 64)
+
+    for ranges in (1, 7):
+        got = []
+        for k in range(ranges):
+            mine = sorted((r for r in rows if key(r) * ranges >> 64 == k), key=key)
+            blocks = []
+            for held in (mine[::2], mine[1::2]):
+                if held:
+                    _, part, s, n, pos = (np.array(c) for c in zip(*held))
+                    blocks.append(ngram_join.packed(np.array([key(r) for r in held], np.uint64), part, s, n, pos))
+            if blocks:
+                got += zip(*(c.tolist() for c in ngram_join.led(blocks, 75)))
+        assert sorted(got) == sorted(want) and len(want) > 100
+
+
+def test_workers_keep_one_operator(spark):
+    """What an operator keeps in a Python worker goes when the worker serves another; digests and lists ask for one worker a task."""
+    rows = spark.range(1).select(F.col("id").alias("doc_id"), F.lit("a text of words and more words").alias("text"))
+    byte_bpe.common.lasting("other", list)
+    quality.features("some words")
+    assert {k[0] for k in byte_bpe.common._lasting} == {quality.__name__}
+    list(byte_bpe.common.releasing(lambda batches: batches)(iter([])))
+    assert not byte_bpe.common._lasting
+    for frame in (byte_bpe.digests(rows), ngram_join.lists(ngram_join.prefixes(rows, spark.sparkContext.broadcast(ngram_join.shingle_counts(rows)), 5, 75, 4), 75, 4)):
+        stages = frame._jdf.queryExecution().executedPlan().toString().split("Exchange")
+        assert max(s.count("MapInArrow") for s in stages) == 1
+
+
+def test_small_batches(spark):
+    """Texts travel to Python workers a few MB at a time."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    byte_bpe.common.small_batches(spark)
+    try:
+        sizes = spark.range(0, 40, 1, 1).select(F.expr("repeat('x', 1000000)").alias("text")).mapInArrow(lambda bs: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in bs), "n bigint").collect()
+        assert max(r["n"] for r in sizes) < 6_000_000 and sum(r["n"] for r in sizes) >= 40_000_000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+
+
+def test_ngram_few_files(spark, monkeypatch, tmp_path):
+    """Tables on the way have few files for few words, however many partitions the session asks for: each costs a process."""
+    files, written = [], byte_bpe.common.written
+
+    def counted(df, name, *rest):
+        out = written(df, name, *rest)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(byte_bpe.common, "written", counted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "29")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.createDataFrame([(i, " ".join(f"w{i % 30}x{k}" for k in range(20)) + f" end{i % 2}") for i in range(90)], "doc_id bigint, text string")
+        ngram_join.keep_one(docs).write.parquet(out := str(tmp_path / "out"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert len(files) > 5 and max(files) <= most and len(spark.read.parquet(out).inputFiles()) <= most
+    assert spark.read.parquet(out).count() == 30
