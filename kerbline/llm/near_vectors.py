@@ -1,28 +1,47 @@
 """Near-duplicate vectors by an epsilon grid order join.
 
 Vectors of unit length with cosine >= t lie within eps = sqrt(2 - 2t). They are projected on leading principal axes and sorted by grid
-cells of side eps (lexicographically); the sequence is cut into blocks that know their bounds. Intervals of the sequence are
-joined recursively, four parts at a time, and pairs of intervals whose bounds lie more than eps apart are skipped; so no pair
-that qualifies is lost. Inside a pair of blocks the recursion goes on down to LEAF rows. A block pair gives partial link counts and a
-forest of links, never all pairs.
+cells of side eps (lexicographically); the sequence is cut into blocks that know their bounds. Pairs of blocks whose bounds lie more than
+eps apart are skipped, and inside a pair the recursion over intervals of the sequence skips likewise down to LEAF rows; so no pair that
+qualifies is lost. There a product of SIEVE leading coordinates and the length of the rest, which is never less than the cosine, leaves a
+few rows, and these are compared whole in double precision. A block pair gives partial link counts and a forest of links, never all pairs.
+
+Blocks meet in a cartesian product of the table's partitions: each task reads two partitions from the shared folder, so neither the
+disk nor the memory of a task grows with the number of block pairs, which is the square of the blocks where nothing can be skipped.
 
 Equal vectors are one class from the start, named by the hash of their components. Vectors that are null, empty, zero, or hold null
 or non-finite components are linked with nothing; those of each length are joined among themselves. Repeated rows count as vectors,
 and so do different vectors under one id; null ids take part but name no component; an empty table gives an empty table; other
-columns are not read.
+columns are not read. The given vectors are read several times, as copies of them would fill the disk.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
-from .components import components
+from .components import components, forest
+
+COSINE, GRID, BOUNDS, SIEVE, BLOCK, BLOCKS, LEAF = 0.9, 4, 8, 31, 4096, 32, 512
+#: Bytes of a block's vectors at most (or LEAF rows); blocks of a file of them at most; sieved blocks that a task remembers.
+BYTES, FILE, KEPT = 4 << 20, 16, 32
+#: More than what single precision can take from a sum of SIEVE + 1 products.
+LOSS = 1e-4
+
 
-COSINE, GRID, BOUNDS, BLOCK, LEAF = 0.9, 4, 8, 4096, 256
+def units(batch: pa.RecordBatch, dims: int) -> np.ndarray:
+    """The rows' vectors as unit vectors."""
+    return unit(batch.column("e").flatten().to_numpy().reshape(-1, dims))
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    v = v.astype(np.float64)
+    v = v / np.abs(v).max(1, keepdims=True)  # first, so that squares do not overflow
+    return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
 def principal_axes(vectors: DataFrame, dims: int, k: int) -> np.ndarray:
@@ -30,11 +49,11 @@ def principal_axes(vectors: DataFrame, dims: int, k: int) -> np.ndarray:
     def sums(batches):
         total = np.zeros((dims, dims))
         for batch in batches:
-            u = batch.column("u").flatten().to_numpy().reshape(-1, dims)
+            u = units(batch, dims)
             total += u.T @ u
         yield pa.RecordBatch.from_arrays([pa.array(range(dims), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "row"])
 
-    parts = vectors.select("u").mapInArrow(sums, "i int, row array<double>")
+    parts = vectors.select("e").mapInArrow(sums, "i int, row array<double>")
     rows = parts.select("i", F.posexplode("row").alias("j", "s")).groupBy("i", "j").agg(F.sum("s").alias("s")).collect()  # dims * dims
     m = np.zeros((dims, dims))
     for r in rows:
@@ -48,40 +67,65 @@ def apart(lo_a, hi_a, lo_b, hi_b) -> np.ndarray:
     return (gap * gap).sum(-1)
 
 
+class Block:
+    """A block's classes (ids, how many vectors each, vectors), their leading coordinates, and these with the length of the rest."""
+
+    def __init__(self, ids: np.ndarray, ms: np.ndarray, e: np.ndarray, axes: np.ndarray, sieved: tuple | None = None):
+        self.ids, self.ms, self.e = ids, ms, e
+        self.sieved = sieved or self.sieve(axes)
+        self.p, self.q = self.sieved
+        self.boxes: dict[tuple[int, int], tuple] = {}
+
+    def box(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the leading coordinates of an interval."""
+        if (start, end) not in self.boxes:
+            p = self.p[start:end]
+            self.boxes[start, end] = p.min(0), p.max(0)
+        return self.boxes[start, end]
+
+    def sieve(self, axes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p = unit(self.e) @ axes
+        rest = np.sqrt(np.maximum(0, 1 - (p * p).sum(1, keepdims=True)))
+        return p[:, :BOUNDS].copy(), np.hstack([p, rest]).astype(np.float32)
+
+
 class Blocks:
     """Links between the rows of two blocks (or of one with itself) by recursion over intervals."""
 
-    def __init__(self, a: tuple, b: tuple, same: bool, cosine: float):
-        (self.ia, self.wa, self.a, self.pa), (self.ib, self.wb, self.b, self.pb) = a, b
-        self.same, self.cosine, self.far = same, cosine, (2 - 2 * cosine) * (1 + 1e-6) + 1e-9
-        self.na, self.nb = np.zeros(len(self.ia), np.int64), np.zeros(len(self.ib), np.int64)
-        self.root: dict[int, int] = {}
-        self.forest: list[tuple[int, int]] = []
-
-    def find(self, x: int) -> int:
-        while (r := self.root.get(x, x)) != x:
-            self.root[x] = self.root.get(r, r)
-            x = r
-        return x
+    def __init__(self, a: Block, b: Block, same: bool, cosine: float):
+        self.a, self.b, self.same, self.cosine, self.far = a, b, same, cosine, far(cosine)
+        self.na, self.nb = np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)
+        self.ids, self.shift = (a.ids, 0) if same else (np.concatenate([a.ids, b.ids]), len(a.ids))
+        self.label = np.arange(len(self.ids))
+        self.forest: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def link(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Join the components of rows x and y; only links between different ones are kept, ends of each component for its rows."""
+        x, y = self.label[x], self.label[y]
+        if (open_ := x != y).any():
+            ends, roots = forest(x[open_], y[open_])
+            self.forest.append((self.ids[ends], self.ids[roots]))
+            to = np.arange(len(self.label))
+            to[ends] = roots
+            self.label = to[self.label]
 
     def run(self, a0: int, a1: int, b0: int, b1: int) -> None:
         if self.same and b1 <= a0:
             return
-        p, q = self.pa[a0:a1], self.pb[b0:b1]
-        if apart(p.min(0), p.max(0), q.min(0), q.max(0)) > self.far:
+        if apart(*self.a.box(a0, a1), *self.b.box(b0, b1)) > self.far:
             return
         if a1 - a0 <= LEAF and b1 - b0 <= LEAF:
-            near = self.a[a0:a1] @ self.b[b0:b1].T >= self.cosine
-            if self.same:
-                near &= np.arange(a0, a1)[:, None] < np.arange(b0, b1)
-            if near.any():
-                self.na[a0:a1] += near @ self.wb[b0:b1]
-                self.nb[b0:b1] += self.wa[a0:a1] @ near
-                for i, j in zip(*np.nonzero(near)):
-                    x, y = self.find(int(self.ia[a0 + i])), self.find(int(self.ib[b0 + j]))
-                    if x != y:
-                        self.root[max(x, y)] = min(x, y)
-                        self.forest.append((int(self.ia[a0 + i]), int(self.ib[b0 + j])))
+            most = self.a.q[a0:a1] @ self.b.q[b0:b1].T
+            if most.max() >= self.cosine - LOSS:
+                may = most >= self.cosine - LOSS
+                i, j = a0 + np.flatnonzero(may.any(1)), b0 + np.flatnonzero(may.any(0))
+                near = unit(self.a.e[i]) @ unit(self.b.e[j]).T >= self.cosine
+                if self.same:
+                    near &= i[:, None] < j
+                self.na[i] += near @ self.b.ms[j]
+                self.nb[j] += self.a.ms[i] @ near
+                x, y = np.nonzero(near)
+                self.link(i[x], self.shift + j[y])
             return
         am, bm = ((a0 + a1) // 2, (b0 + b1) // 2) if a1 - a0 > LEAF and b1 - b0 > LEAF else ((a0 + a1) // 2, b1) if a1 - a0 > LEAF else (a1, (b0 + b1) // 2)
         for x in ((a0, am), (am, a1)):
@@ -90,148 +134,118 @@ class Blocks:
                     self.run(*x, *y)
 
 
+def far(cosine: float) -> float:
+    """Squared distance beyond which no two unit vectors have the cosine, and a little more."""
+    return (2 - 2 * cosine) * (1 + 1e-6) + 1e-9
+
+
 def join(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
-    rows = vectors.select("vec_id", F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0)).alias("e"))  # no negative zero
+    common.small_batches(vectors.sparkSession)
+    kind = vectors.schema["embedding"].dataType.elementType
+    kind = "float" if isinstance(kind, T.FloatType) else "double"  # as given, so that vectors travel in as few bytes
+    zero = F.lit(0.0).cast(kind)
+    rows = vectors.select("vec_id", F.transform(F.col("embedding").cast(f"array<{kind}>"), lambda x: x + zero).alias("e"))  # no negative zero
     good = F.coalesce((F.size("e") > 0) & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0), F.lit(False))
-    rows = common.written(rows.select("vec_id", good.alias("good"), F.when(good, F.col("e")).alias("e")).withColumn("rep", F.xxhash64("e")), "vectors")
-    classes = rows.where("good").groupBy("e").agg(F.min("vec_id").alias("least"), F.count("*").alias("m")).withColumn("rep", F.xxhash64("e"))
-    lengths = [r[0] for r in rows.where("good").select(F.size("e")).distinct().collect()]
+    name = F.xxhash64("e").alias("rep")
+    given = rows.where(good).select("e", name)
+    rows = common.written(rows.select("vec_id", F.when(good, F.size("e")).alias("dims"), name), "vectors")
+    classes = rows.where("dims > 0").groupBy("rep").agg(F.min("vec_id").alias("least"), F.count("*").alias("m"))
     links = None
-    for dims in sorted(lengths):
-        own = links_of(classes.where(F.size("e") == dims).select("rep", "m", "e"), dims, cosine)
+    for dims, total in sorted(map(tuple, rows.where("dims > 0").groupBy("dims").count().collect())):
+        own = links_of(given.where(F.size("e") == dims), dims, total, kind, cosine)
         links = own if links is None else links.union(own)
     if links is None:
         links = vectors.sparkSession.createDataFrame([], "a bigint, b bigint, n bigint")
     counts = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     roots = components(links.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "root")
-    named = common.written(classes.select("rep", "m", "least").join(counts, "rep", "left").join(roots, "rep", "left").select("rep", "least", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "named")
+    named = common.written(classes.join(counts, "rep", "left").join(roots, "rep", "left").select("rep", "least", (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root")), "named")
     least = common.written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     named = common.written(named.select("rep", "n_links", "root").join(least, "root").select("rep", "n_links", "component_id"), "named")
-    linked = rows.where("good").join(named, "rep").select("vec_id", "n_links", "component_id")
-    alone = rows.where("not good").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = rows.where("dims > 0").join(named, "rep").select("vec_id", "n_links", "component_id")
+    alone = rows.where("dims is null").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def links_of(classes: DataFrame, dims: int, cosine: float) -> DataFrame:
-    """(a, b, n): counts n of links of class a (b is null), and a forest of links (a, b), among distinct vectors of one length."""
-    spark = classes.sparkSession
-
-    def unit(batches):
-        for batch in batches:
-            v = batch.column("e").flatten().to_numpy().reshape(-1, dims)
-            v = v / np.abs(v).max(1, keepdims=True)  # first, so that squares do not overflow
-            v = v / np.sqrt((v * v).sum(1, keepdims=True))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("m"), pa.array(list(v), pa.list_(pa.float64()))], names=["rep", "m", "u"])
-
-    units = common.written(classes.mapInArrow(unit, "rep bigint, m bigint, u array<double>"), "units")
-    k = min(BOUNDS, dims)
-    axes = principal_axes(units, dims, k)
-    eps = float(np.sqrt(2 - 2 * cosine))
+def links_of(given: DataFrame, dims: int, total: int, kind: str, cosine: float) -> DataFrame:
+    """(a, b, n): counts n of links of class a (b is null), and a forest of links (a, b), among `total` vectors (e, rep) of one length."""
+    spark = given.sparkSession
+    axes = principal_axes(given, dims, min(SIEVE, dims))
+    eps, k = float(np.sqrt(2 - 2 * cosine)), min(BOUNDS, dims)
+    number = np.dtype(np.float32 if kind == "float" else np.float64)
+    size = max(LEAF, min(max(BLOCK, total // BLOCKS), BYTES // (number.itemsize * dims)))
 
     def project(batches):
         for batch in batches:
-            p = batch.column("u").flatten().to_numpy().reshape(-1, dims) @ axes
-            cells = np.floor(p[:, :GRID] / eps).astype(np.int32)
-            cols = [batch.column("rep"), batch.column("m"), batch.column("u"), pa.array(list(p), pa.list_(pa.float64())), pa.array(list(cells), pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["rep", "m", "u", "p", "cell"])
+            p = units(batch, dims) @ axes[:, :GRID]
+            cells = np.floor(p / eps).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p[:, 0]), pa.array(list(cells), pa.list_(pa.int32()))], names=["rep", "m", "e", "p", "cell"])
 
-    projected = common.written(units.mapInArrow(project, "rep bigint, m bigint, u array<double>, p array<double>, cell array<int>"), "projected")
+    classes = given.groupBy("e").agg(F.count("*").alias("m")).select(F.xxhash64("e").alias("rep"), "m", "e")
+    projected = classes.mapInArrow(project, f"rep bigint, m bigint, e array<{kind}>, p double, cell array<int>")
     order = [F.col("cell"), F.col("p"), F.col("rep")]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = projected.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-
-    def number(batches):
-        n = 0
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(n, n + batch.num_rows))], names=[*batch.schema.names, "idx"])
-            n += batch.num_rows
-
-    ordered = common.written(ordered.mapInArrow(number, "rep bigint, m bigint, u array<double>, p array<double>, cell array<int>, part int, idx bigint"), "ordered")
-    before, total = {}, 0
-    for r in ordered.groupBy("part").count().orderBy("part").collect():  # a row for each partition
-        before[r["part"]], total = total, total + r["count"]
-
-    def place(batches):
-        for batch in batches:
-            base = np.array([before[x] for x in batch.column("part").to_pylist()], np.int64)
-            rank = base + batch.column("idx").to_numpy()
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rep", "m", "u", "p")), pa.array(rank // BLOCK), pa.array(rank)], names=["rep", "m", "u", "p", "block", "rank"])
-
-    placed = ordered.mapInArrow(place, "rep bigint, m bigint, u array<double>, p array<double>, block bigint, rank bigint").repartition("block").sortWithinPartitions("block", "rank")
+    # A block to a file as long as shuffles have the partitions for it, then FILE blocks at most.
+    parts = max(-(-total // (FILE * size)), min(-(-total // size), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ordered = projected.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("rep", "m", "e", F.spark_partition_id().alias("part"))
 
     def pack(batches):
-        held: list = []
-        now = None
-
-        def close():
-            ids, ms, us, ps = (np.concatenate([h[i] for h in held]) for i in range(4))
-            row = [now, ids.tobytes(), ms.tobytes(), us.astype(np.float64).tobytes(), ps.tobytes(), ps.min(0), ps.max(0)]
-            types = [pa.int64(), *[pa.binary()] * 4, *[pa.list_(pa.float64())] * 2]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["block", "ids", "ms", "us", "ps", "lo", "hi"])
+        """Blocks of a partition's rows, numbered by partition and place; a last one may be larger, by half."""
+        held, n, now = [], 0, 0
+
+        def close(rows: int) -> pa.RecordBatch:
+            nonlocal held, n, now
+            ids, ms, es = (np.concatenate([h[i] for h in held]) for i in range(3))
+            held, n = [(ids[rows:], ms[rows:], es[rows:])], n - rows
+            ids, ms, es = ids[:rows], ms[:rows], es[:rows]
+            p = unit(es) @ axes[:, :k]
+            row = [(part << 32) + now, ids.tobytes(), ms.tobytes(), es.tobytes(), p.min(0), p.max(0)]
+            now += 1
+            types = [pa.int64(), *[pa.binary()] * 3, *[pa.list_(pa.float64())] * 2]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=["block", "ids", "ms", "es", "lo", "hi"])
 
         for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-            for x, y in zip(cuts, cuts[1:]):
-                if y > x:
-                    if held and blocks[x] != now:
-                        yield close()
-                        held = []
-                    now, part = int(blocks[x]), batch.slice(x, y - x)
-                    held.append((part.column("rep").to_numpy(), part.column("m").to_numpy(), part.column("u").flatten().to_numpy().reshape(-1, dims), part.column("p").flatten().to_numpy().reshape(-1, k)))
-        if held:
-            yield close()
-
-    blocks = common.written(placed.mapInArrow(pack, "block bigint, ids binary, ms binary, us binary, ps binary, lo array<double>, hi array<double>"), "blocks")
-    pairs = block_pairs(blocks.select("block", "lo", "hi"), -(-total // BLOCK), (2 - 2 * cosine) * (1 + 1e-6) + 1e-9)
-    sides = pairs.select(F.struct("a", "b").alias("pair"), F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    sent = sides.join(blocks.drop("lo", "hi"), "block").repartition("pair").sortWithinPartitions("pair", "block")
+            if batch.num_rows:
+                part = batch.column("part")[0].as_py()
+                held.append((batch.column("rep").to_numpy(), batch.column("m").to_numpy(), batch.column("e").flatten().to_numpy().reshape(-1, dims)))
+                n += batch.num_rows
+                while n > size * 3 // 2:
+                    yield close(size)
+        if n:
+            yield close(n)
+
+    blocks = common.written(ordered.mapInArrow(pack, "block bigint, ids binary, ms binary, es binary, lo array<double>, hi array<double>"), "blocks")
+    side = lambda s: blocks.select(*(F.col(c).alias(f"{c}_{s}") for c in blocks.columns))
+    met = side("a").join(side("b").hint("shuffle_replicate_nl"), (F.col("block_a") <= F.col("block_b")) & (gap() <= far(cosine)))
 
     def compare(batches):
-        first = None
+        sieved: dict[int, tuple] = {}
         for batch in batches:
             for r in range(batch.num_rows):
-                pair = batch.column("pair")[r].as_py()
-                got = tuple(np.frombuffer(batch.column(c)[r].as_buffer(), t).reshape(s) for c, t, s in (("ids", np.int64, -1), ("ms", np.int64, -1), ("us", np.float64, (-1, dims)), ("ps", np.float64, (-1, k))))
-                if pair["a"] != pair["b"] and batch.column("block")[r].as_py() == pair["a"]:
-                    first = tuple(x.copy() for x in got)
-                    continue
-                same = pair["a"] == pair["b"]
-                work = Blocks(got if same else first, got, same, cosine)
-                work.run(0, len(work.ia), 0, len(work.ib))
-                ids, n = np.concatenate([work.ia, work.ib]), np.concatenate([work.na, work.nb])
-                a = pa.array([*ids[n > 0].tolist(), *(x for x, _ in work.forest)], pa.int64())
-                b = pa.array([*[None] * int((n > 0).sum()), *(y for _, y in work.forest)], pa.int64())
-                c = pa.array([*n[n > 0].tolist(), *[0] * len(work.forest)], pa.int64())
-                yield pa.RecordBatch.from_arrays([a, b, c], names=["a", "b", "n"])
-
-    return common.written(sent.mapInArrow(compare, "a bigint, b bigint, n bigint"), "found")
-
-
-def block_pairs(blocks: DataFrame, n: int, far: float) -> DataFrame:
-    """(a, b), a <= b: pairs of blocks not provably distant, by recursion from the whole sequence down, four parts at a time."""
-    spark = blocks.sparkSession
-    levels = 0
-    while 4**levels < n:
-        levels += 1
-    pairs = spark.range(1).select(F.col("id").alias("a"), F.col("id").alias("b"))
-    for level in range(levels - 1, -1, -1):
-        width = 4**level
-        k = blocks.select(F.floor(F.col("block") / width).alias("node"), F.posexplode(F.arrays_zip("lo", "hi")).alias("d", "x"))
-        node = k.groupBy("node", "d").agg(F.min("x.lo").alias("lo"), F.max("x.hi").alias("hi")).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("d", "lo", "hi"))).alias("box"))
-        parts = lambda c: F.sequence(F.col(c) * 4, F.col(c) * 4 + 3)
-        children = pairs.select(F.explode(parts("a")).alias("a"), "b").select("a", F.explode(parts("b")).alias("b")).where(f"a <= b and b * {width} < {n}")
-        gap = F.aggregate(
-            F.zip_with("box_a", "box_b", lambda x, y: F.greatest(F.lit(0.0), x["lo"] - y["hi"], y["lo"] - x["hi"])), F.lit(0.0), lambda s, g: s + g * g
-        )
-        pairs = (
-            children.join(node.select(F.col("node").alias("a"), F.col("box").alias("box_a")), "a")
-            .join(node.select(F.col("node").alias("b"), F.col("box").alias("box_b")), "b")
-            .where(gap <= far)
-            .select("a", "b")
-        )
-    return pairs
+                def block(s: str) -> Block:
+                    at = batch.column(f"block_{s}")[r].as_py()
+                    ids, ms, e = (np.frombuffer(batch.column(f"{c}_{s}")[r].as_buffer(), t) for c, t in (("ids", np.int64), ("ms", np.int64), ("es", number)))
+                    got = Block(ids, ms, e.reshape(-1, dims), axes, sieved.get(at))
+                    if len(sieved) >= KEPT and at not in sieved:
+                        sieved.clear()
+                    sieved[at] = got.sieved
+                    return got
+
+                same = batch.column("block_a")[r].as_py() == batch.column("block_b")[r].as_py()
+                a = block("a")
+                work = Blocks(a, a if same else block("b"), same, cosine)
+                work.run(0, len(work.na), 0, len(work.nb))
+                ids, n = np.concatenate([work.a.ids, work.b.ids]), np.concatenate([work.na, work.nb])
+                x, y = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in work.forest)]) for i in range(2))
+                lone = np.arange((n > 0).sum() + len(x)) < (n > 0).sum()
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[n > 0], x])), pa.array(np.concatenate([ids[n > 0], y]), mask=lone), pa.array(np.concatenate([n[n > 0], 0 * x]))], names=["a", "b", "n"])
+
+    return common.written(met.select(*(f"{c}_{s}" for s in "ab" for c in ("block", "ids", "ms", "es"))).mapInArrow(common.releasing(compare), "a bigint, b bigint, n bigint"), "found")
+
+
+def gap() -> Column:
+    """Least squared distance of two blocks' boxes (lo_a, hi_a, lo_b, hi_b)."""
+    one = lambda of: F.greatest(F.lit(0.0), of["lo_a"] - of["hi_b"], of["lo_b"] - of["hi_a"])
+    return F.aggregate(F.arrays_zip("lo_a", "hi_a", "lo_b", "hi_b"), F.lit(0.0), lambda s, x: s + one(x) * one(x))
 
 
 def op6_near_vectors(spark, sf_dir: str) -> DataFrame:

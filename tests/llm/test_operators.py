@@ -363,6 +363,32 @@ def test_near_vectors_ids_and_lengths(spark):
     assert near_vectors.join(vecs.limit(0)).count() == 0
 
 
+def test_near_vectors_of_many_blocks(spark, monkeypatch):
+    """Every link of many blocks, and shuffles that hold each vector a few times, not once for every pair of blocks."""
+    for name, value in (("BLOCK", 64), ("LEAF", 16)):
+        monkeypatch.setattr(near_vectors, name, value)
+    rng = np.random.default_rng(2)
+    e = np.vstack([rng.normal(size=(2900, 40)), np.repeat(rng.normal(size=(5, 40)), 20, 0) + rng.normal(size=(100, 40)) * 0.2]).astype(np.float32)
+    e[::97] = e[1]
+    u = e.astype(float) / np.linalg.norm(e.astype(float), axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    least = np.arange(len(e))
+    while ((now := np.minimum(least, np.where(near, least, len(e)).min(1))) != least).any():
+        least = now
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "vec_id bigint, embedding array<float>")
+
+    def shuffled() -> int:
+        core = spark.sparkContext._jsc.sc()
+        core.listenerBus().waitUntilEmpty()
+        return core.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = shuffled()
+    out = near_vectors.join(rows).collect()
+    assert shuffled() - before < 10 * e.nbytes
+    assert sorted(map(tuple, out)) == [(i, int(n), int(r), i == r) for i, (n, r) in enumerate(zip(near.sum(1), least))]
+
+
 def test_decontaminate(spark):
     item = " ".join(random.choice(WORDS) + str(k % 7) for k in range(40))
     near = " ".join(item.split()[:38])
