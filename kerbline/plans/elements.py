@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbline.functions import geo
 from kerbline.operators import areas, coverage, graph
-from kerbline.plans.catalog import legs, query, r6, rides
+from kerbline.plans.catalog import moving, query, r6
 from kerbline.plans.twins import CELL, hav
 from kerbline.sources import elements
 from kerbline.sources.domain import Domain
@@ -158,25 +158,28 @@ FROM supplier LEFT JOIN t ON s_suppkey = t.polygon_id LEFT JOIN r ON s_suppkey =
 
 def city_coverage(d: Domain) -> DataFrame:
     """Of each city (polygon): activities with their centre in it, miles of its ways (those with their middle vertex in it, whatever their class),
-    how many of those were ridden within it, and the share; a city without a polygon or ways has zeros."""
+    how many of those were ridden within it, and the share; a city without a polygon or ways has zeros. Polygons with the same ring are
+    answered once, only ways that some polygon owns are cut, and so is a leg that many traces share."""
+    rings = graph.saved(d.rings.groupBy("ring").agg(F.min("polygon_id").alias("polygon_id")))
     lines = d.way_nodes.join(d.nodes, "node_id")
     middle = lines.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("pos", "lat", "lon"))).alias("line")).where(F.size("line") >= 2)
     middle = middle.select("way_id", F.element_at("line", F.floor(F.size("line") / 2).cast("int") + 1).alias("m")).select("way_id", "m.lat", "m.lon")
-    own = areas.points_in_polygons(middle, d.rings, ["way_id"])
-    pieces = elements.segments_of(lines.select("way_id", "pos", "node_id", "lat", "lon"))
+    own = graph.saved(areas.points_in_polygons(middle, rings, ["way_id"]))
+    pieces = elements.segments_of(lines.join(own.select("way_id").distinct(), "way_id", "left_semi").select("way_id", "pos", "node_id", "lat", "lon"))
     length = geo.haversine_m(*map(F.col, coverage.ENDS))
     steps = pieces.select(F.col("way_id").alias("activity_id"), F.col("way_id").alias("athlete_id"), F.col("lat1").alias("lat0"), F.col("lon1").alias("lon0"), F.col("lat2").alias("lat"), F.col("lon2").alias("lon"), length.alias("leg_m"))
     net = coverage.cells(steps).select(F.col("activity_id").alias("way_id"), "ci", "cj")
     held = graph.saved(own.join(net, "way_id").select("polygon_id", "ci", "cj").distinct())
-    done = coverage.cells(legs(d)).select("ci", "cj").distinct().join(held.select("ci", "cj").distinct(), ["ci", "cj"], "left_semi")
+    went = d.points.join(graph.saved(moving(d).select("activity_id")), "activity_id", "left_semi")
+    done = coverage.shared_cells(coverage.legs(went)).join(held.select("ci", "cj").distinct(), ["ci", "cj"], "left_semi")
     done = done.select("ci", "cj", geo.cell_center(F.col("ci")).alias("lat"), geo.cell_center(F.col("cj")).alias("lon"))
-    within = areas.points_in_polygons(done, d.rings, ["ci", "cj"]).join(held, ["polygon_id", "ci", "cj"], "left_semi")
-    near = areas.points_in_polygons(areas.centers(rides(d)), d.rings, ["activity_id"])
+    within = areas.points_in_polygons(done, rings, ["ci", "cj"]).join(held, ["polygon_id", "ci", "cj"], "left_semi")
+    near = areas.points_in_polygons(areas.centers(went), rings, ["activity_id"])
     count = lambda rows, name: rows.groupBy("polygon_id").agg(F.count("*").alias(name))
-    out = d.rings.select("polygon_id")
+    one = rings
     for rows, name in ((near, "activities"), (held, "total"), (within, "ridden")):
-        out = out.join(count(rows, name), "polygon_id", "left")
-    out = out.na.fill(0, ["activities", "total", "ridden"])
+        one = one.join(count(rows, name), "polygon_id", "left")
+    out = d.rings.join(one.drop("polygon_id"), "ring", "left").na.fill(0, ["activities", "total", "ridden"])
     pct = F.when(F.col("total") > 0, F.col("ridden") * 100.0 / F.col("total")).otherwise(0.0)
     mi = lambda c: F.col(c) * geo.CELL_M / geo.MILE_M
     return out.select("polygon_id", "activities", r6(mi("ridden"), "ridden_mi"), r6(mi("total"), "total_mi"), r6(pct, "pct"))
